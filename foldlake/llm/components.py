@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed
+from .shared import checkpointed, narrowed
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -15,21 +15,19 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     label, so chains shorten by half; it stops when no label changes.  An empty edge table
     gives an empty result; repeated edges and loops change nothing.
     """
-    both = checkpointed(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
-    )
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
+    both = checkpointed(both)
+    rows = both.count()
+    both = narrowed(both, rows)
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+    labels = checkpointed(narrowed(labels, rows))
     for _ in range(most):
-        near = (
-            both.join(labels, both["b"] == labels["node"])
-            .groupBy("a")
-            .agg(F.min("label").alias("near"))
-        )
+        near = narrowed(both.join(labels, both["b"] == labels["node"]), rows).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
         parent = labels.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        turned = checkpointed(
-            low.join(parent, low["low"] == parent["p"]).select("node", F.least("low", "up").alias("label"), (F.least("low", "up") != F.col("label")).alias("moved"))
-        )
+        turned = narrowed(low, rows).join(parent, low["low"] == parent["p"])
+        turned = turned.select("node", F.least("low", "up").alias("label"), (F.least("low", "up") != F.col("label")).alias("moved"))
+        turned = checkpointed(narrowed(turned, rows))
         labels = turned.select("node", "label")
         if not turned.where("moved").limit(1).count():
             return labels

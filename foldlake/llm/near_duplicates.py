@@ -11,9 +11,9 @@
    A parity bitmap then bounds the symmetric difference of the two sets from below, so
    pairs that can't reach the threshold go without a look at their sets.
 4. What is left is confirmed on the full sets.  A list needs no all-pairs output for that:
-   two rounds emit the best pairs that would join different components (a spanning
-   forest, at most one pair per node and list); a last round emits every remaining pair
-   between different components, so no link between components is lost.
+   one round emits the best pairs that would join different texts (a spanning forest, at
+   most one pair per node and list); another emits every remaining pair between different
+   components, so no link between components is lost.
    Lists longer than ``BLOCK`` are cut into blocks; in the last round the texts outside a
    list's largest component meet all of its blocks.
 """
@@ -30,13 +30,12 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import checkpointed, left_join_unique
+from .shared import checkpointed, left_join_unique, narrowed
 
 COORDS, JOINED = 48, 3
 MATCHES = 27
 PARITY_BITS = 1024
 BLOCK = 1024
-ROUNDS = 2
 
 _rng = np.random.default_rng(4242)
 _XOR = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint32)
@@ -249,39 +248,36 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     )
     posts = nodes.select("node", F.explode("keys").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    posts = checkpointed(posts.join(lists, "key"))
-    edges, labels, tried, sets = None, None, None, None
-    for turn in range(ROUNDS + 1):
-        last = turn == ROUNDS
-        at = posts if labels is None else posts.join(labels, "node", "left")
-        at = at.withColumn("label", F.coalesce("label", "node") if labels is not None else F.col("node"))
-        if labels is not None:
-            sizes = labels.groupBy("label").agg(F.count("*").alias("weight"))
-            at = at.join(sizes, "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
-            mixed = at.groupBy("key").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key", "main")
-            at = at.join(mixed, "key")
-        blocks = F.ceil(F.col("length") / BLOCK)
-        own = F.pmod(F.xxhash64("node", F.lit(turn)), blocks)
-        if last:
-            at = at.withColumn("block", F.explode(F.when((blocks == 1) | (F.col("label") == F.col("main")), F.array(own)).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))))
-        else:
-            at = at.withColumn("block", own)
-        rows = at.select("key", "block", "node", "label").join(nodes.select("node", "n", "signature", "parity"), "node")
-        rows = rows.select("key", "block", "node", "label", "n", "signature", "parity").repartition("key", "block").sortWithinPartitions("key", "block", "node")
-        pairs = rows.mapInArrow(_pairs(percent, not last), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        sets = _full_sets(pairs, nodes, base, sets, size)
-        decided = checkpointed(_confirmed(pairs, sets, percent))
-        tried = decided if tried is None else tried.union(decided)
-        linked = decided.where("linked").select("a", "b")
-        if turn and not linked.limit(1).count():
-            if last:
-                break
-            continue
-        edges = linked if edges is None else edges.union(linked)
-        labels = components(edges)
+    posts = posts.join(lists, "key").join(nodes.select("node", "n", "signature", "parity"), "node")
+    posts = checkpointed(posts)
+    shared = posts.count()
+    posts = narrowed(posts, shared, 5_000)
+    blocks = F.ceil(F.col("length") / BLOCK)
+
+    def listed(at: DataFrame, forest: bool) -> DataFrame:
+        rows = at.select("key", "block", "node", "label", "n", "signature", "parity").repartition("key", "block").sortWithinPartitions("key", "block", "node")
+        found = rows.mapInArrow(_pairs(percent, forest), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return found.distinct()
+
+    own = F.pmod(F.xxhash64("node", "key"), blocks)
+    pairs = checkpointed(narrowed(listed(posts.withColumn("label", F.col("node")).withColumn("block", own), True), shared))
+    sets = _full_sets(pairs, nodes, base, None, size)
+    decided = checkpointed(_confirmed(pairs, sets, percent))
+    edges = decided.where("linked").select("a", "b")
+    labels = components(edges)
+    # what is left: every pair between different components that meet in a list
+    weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    at = posts.join(labels.join(weights, "label"), "node", "left")
+    at = at.withColumn("label", F.coalesce("label", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
+    mixed = at.groupBy("key").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    at = at.join(mixed.where("lo != hi").select("key", "main"), "key")
+    everywhere = F.sequence(F.lit(0).cast("long"), blocks - 1)
+    at = at.withColumn("block", F.explode(F.when((blocks == 1) | (F.col("label") == F.col("main")), F.array(own)).otherwise(everywhere)))
+    pairs = checkpointed(narrowed(listed(at, False).join(decided.select("a", "b"), ["a", "b"], "left_anti"), shared))
+    sets = _full_sets(pairs, nodes, base, sets, size)
+    late = checkpointed(_confirmed(pairs, sets, percent).where("linked").select("a", "b"))
+    if late.limit(1).count():
+        labels = components(edges.union(late))
     classes = nodes.select("node", "first_id", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = classes.join(smallest, "label").select(F.col("node").alias("set_id"), "component_id", "members")

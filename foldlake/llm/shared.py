@@ -31,6 +31,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def narrowed(df: DataFrame, rows: int, each: int = 50_000) -> DataFrame:
+    """``df`` of about ``rows`` rows in as few tasks as hold ``each`` rows, but enough for every core."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+    return df.coalesce(n) if n < partitions(df) else df
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal text of an id, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
