@@ -3,17 +3,115 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, mixing, quality, secrets, toxicity
+from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
-from .shared import table
+from .shared import crc_mod, table
+
+#: Of the ids, every HELD_OUT-th by crc32 is never learned from.
+HELD_OUT = 5
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the lines of ten or more sites removed but for their first document."""
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+
+
+OP4_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, source, i, trim(l[i], ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents) AS s, range(1, 200001) AS t(i)
+  WHERE i <= len(l)
+),
+bad AS (
+  SELECT line, min(doc_id) AS first_id FROM lines WHERE line <> ''
+  GROUP BY line HAVING count(DISTINCT coalesce(source, chr(0))) >= 10
+),
+marked AS (
+  SELECT lines.doc_id, i, bad.line IS NOT NULL AND lines.doc_id <> bad.first_id AS gone
+  FROM lines LEFT JOIN bad ON lines.line = bad.line
+),
+kept AS (
+  SELECT m.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(CASE WHEN NOT gone THEN d.l[m.i] END, chr(10) ORDER BY m.i) AS text
+  FROM marked AS m JOIN (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) AS d ON m.doc_id = d.doc_id
+  GROUP BY m.doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(k.text, '') END AS text,
+       coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_removed, 0) AS n_removed
+FROM documents AS d LEFT JOIN kept AS k ON d.doc_id = k.doc_id
+"""
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of 150 % of all words takes."""
+    docs = mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size")
+    drawn = mixing.plan(docs)
+    return drawn.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_source_size").cast("long").alias("source_size"),
+        F.col("_target").alias("target"),
+        (F.col("_size") * F.size("_shards")).cast("long").alias("taken"),
+    )
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with a Jaccard similarity of 0.8 on four-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each place where a document holds a benchmark item, with its edits."""
+    found = decontamination.find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.item_id", "leak.start", "leak.end", "leak.edits")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: pattern spans and those that the Markov models add."""
+    model = secrets.fit(secrets.labelled_samples(spark))
+    found = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    base = F.filter("_spans", lambda s: s["kind"] != "markov")
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("_spans")).alias("spans"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), HELD_OUT) == 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = quality.quality(docs, model, "doc_id").select("doc_id", F.col("quality_score").alias("score"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of each document, and its offending sentences."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), HELD_OUT) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = toxicity.toxicity(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
 QUERIES = {
+    "op4_line_dedup": op4_line_dedup,
+    "op5_mixing": op5_mixing,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_decontamination": op7_decontamination,
+    "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}

@@ -8,7 +8,7 @@ very long document at white space, so memory follows the slice and not the text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,9 +72,9 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte of every word; no word crosses a row."""
-    word = ~SPACE[data]
+def bounds(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every maximal run of bytes outside ``gaps``; none crosses a row."""
+    word = ~gaps[data]
     before = np.empty_like(word)
     before[:1] = False
     before[1:] = word[:-1]
@@ -88,21 +88,35 @@ def bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(word & ~after) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of one slice."""
+def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of start and end bytes that gives 64-bit hashes of these spans of one slice."""
     power, inverse = _tables(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_CODE[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts])
+    return lambda starts, ends: mix((total[ends] - total[starts]) * inverse[starts])
+
+
+def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Unfinished hashes (``mix`` finishes them) of all spans of ``size`` bytes of one slice."""
+    power, inverse = _tables(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(_CODE[data] * power[: len(data)], out=total[1:])
+    out = total[size:] - total[:-size]
+    out *= inverse[: len(out)]
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hasher(data)(starts, ends)
 
 
-def _chunks(data: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """A long text in pieces cut at white space."""
+def chunks(data: np.ndarray, most: int = SLICE_BYTES, gaps: np.ndarray = SPACE) -> Iterator[np.ndarray]:
+    """A long text in pieces that begin at a byte in ``gaps``."""
     lo = 0
     while lo < len(data):
         hi = min(lo + most, len(data))
-        while hi < len(data) and not SPACE[data[hi]]:
-            gap = np.flatnonzero(SPACE[data[hi : hi + most]])
+        while hi < len(data) and not gaps[data[hi]]:
+            gap = np.flatnonzero(gaps[data[hi : hi + most]])
             hi = hi + int(gap[0]) if len(gap) else min(hi + most, len(data))
         yield data[lo:hi]
         lo = hi
@@ -116,7 +130,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int
         at = offsets[lo : hi + 1] - offsets[lo]
         if hi == lo + 1 and len(part) > SLICE_BYTES:
             found = []
-            for piece in _chunks(part, SLICE_BYTES):
+            for piece in chunks(part):
                 piece = LOWER[piece] if lower else piece
                 starts, ends = bounds(piece, np.array([0, len(piece)]))
                 found.append(span_hashes(piece, starts, ends))
