@@ -1,6 +1,80 @@
-"""A training corpus from documents: stages in order, each a function of (spark, docs, sf_dir)."""
+"""A training corpus from documents: stages in order, each a function of (spark, docs, sf_dir).
+
+Every stage but the last returns the columns of ``documents``.  Rows without an id cannot be
+named by a group or a leak: they pass the stages that look at rows alone and leave at the
+near-duplicate stage, which keeps documents by id.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foldlake.llm import decontamination, mixing, toxicity
+from foldlake.llm.line_dedup import line_dedup
+from foldlake.llm.near_duplicates import near_duplicates
+from foldlake.llm.queries import HELD_OUT
+from foldlake.llm.shared import crc_mod, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+TOXIC = 0.5
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below ``TOXIC`` by sentences; learned as in the query of this operator."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod(F.col("doc_id"), HELD_OUT) != 0)
+    return toxicity.toxicity(docs, model).where(F.col("toxic_score") < TOXIC).select(*docs.columns)
+
+
+def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines of many sites; a document that loses every line goes."""
+    out = line_dedup(docs)
+    bare = (F.col("_n_removed") > 0) & (F.expr("trim(BOTH ' \t\r\n' FROM text)") == "")
+    out = out.where(~F.coalesce(bare, F.lit(False)))
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, length).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each component of near-duplicates."""
+    kept = near_duplicates(docs).where("kept").select("doc_id")
+    once = kept.distinct()
+    out = docs.join(once, "doc_id", "left_semi")
+    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates(["doc_id"]) if repeated else out).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    found = decontamination.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources by weight: documents with their output shard and copy, shuffled in each shard."""
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", reject_toxic),
+    ("line dedup", remove_shared_lines),
+    ("near-duplicates", keep_one_of_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+    return docs
+
+
+#: Learned scores and seeded draws are not expressible in SQL; tests hold stages against brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, secrets, toxicity
+from . import decontamination, language_model, licenses, mixing, quality, secrets, topk, toxicity
 from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
 from .shared import crc_mod, table
@@ -14,6 +14,40 @@ from .shared import crc_mod, table
 HELD_OUT = 5
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth vector, by integer inner product."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP1_SQL = """
+WITH parts AS (
+  SELECT vec_id, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
+  FROM embeddings, range(1, 65) AS t(i)
+),
+scores AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+  FROM parts AS q JOIN parts AS d ON q.i = d.i
+  WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
+  GROUP BY q.vec_id, d.vec_id
+),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each license notice in each document, with its place and containment."""
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.template", "l.start", "l.end", "l.containment")
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of each document under the backoff automaton and the unigram base."""
+    return language_model.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the lines of ten or more sites removed but for their first document."""
     out = line_dedup(table(spark, sf_dir, "documents"))
@@ -104,7 +138,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "op1_top_k": op1_top_k,
+    "op2_license_scan": op2_license_scan,
+    "op3_language_model": op3_language_model,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_near_duplicates": op6_near_duplicates,
@@ -112,6 +156,7 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+ORACLE: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL}
