@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,14 +122,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
         return Model(-1e6, np.zeros(BUCKETS, dtype=np.float32))
     sizes = rows.column("sentences").to_numpy().astype(np.int64)
     first = np.concatenate([[0], np.cumsum(sizes)])
-    lengths = np.array([len(x) for x in rows.column("bucket")], dtype=np.int64)
-    doc = np.repeat(np.arange(len(label)), lengths)
-    bucket = np.concatenate([x.values.to_numpy() for x in rows.column("bucket").chunks]).astype(np.int64)
-    sentence = np.concatenate([x.values.to_numpy() for x in rows.column("sentence").chunks]).astype(np.int64) + first[doc]
+    lengths = pa.compute.list_value_length(rows.column("bucket")).to_numpy()
+    doc = np.repeat(np.arange(len(label), dtype=np.int32), lengths)
+    bucket = rows.column("bucket").combine_chunks().flatten().to_numpy()
+    sentence = rows.column("sentence").combine_chunks().flatten().to_numpy()
+    del rows
     # words by the log-likelihood ratio of their presence in toxic documents
-    seen = np.unique(doc * BUCKETS + bucket)
-    pos = np.bincount(seen[label[seen // BUCKETS] > 0] % BUCKETS, minlength=BUCKETS) + 0.0
-    neg = np.bincount(seen[label[seen // BUCKETS] == 0] % BUCKETS, minlength=BUCKETS) + 0.0
+    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    ends = np.cumsum(lengths)
+    for k in range(len(label)):
+        (pos if label[k] > 0 else neg)[np.unique(bucket[ends[k] - lengths[k] : ends[k]])] += 1
     p, q = label.sum(), len(label) - label.sum()
     rate, expected = (pos + neg) / (p + q), lambda x, n: np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(n, 1e-9)), 0)
     gain = expected(pos, rate * p) + expected(neg, rate * q) + expected(p - pos, (1 - rate) * p) + expected(q - neg, (1 - rate) * q)
@@ -138,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     place = np.full(BUCKETS, -1, dtype=np.int64)
     place[best] = np.arange(len(best))
     keep = place[bucket] >= 0
-    feature, sentence = place[bucket[keep]], sentence[keep]
+    feature, sentence = place[bucket[keep]], sentence[keep] + first[doc[keep]]
     owner = np.repeat(np.arange(len(label)), sizes)
     theta = np.zeros(len(best) + 1)
     theta[-1] = -5.0
