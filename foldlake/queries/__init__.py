@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import segments, vector
+from . import geometry, segments, vector
 
-_PARTS = (vector, segments)
+_PARTS = (vector, segments, geometry)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

@@ -169,7 +169,7 @@ def aligned_rank(spark, d):
 
 def path_breaks(spark, d):
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 9).alias("q"), (F.col("l_suppkey") % 9).alias("t"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 9).alias("q"), (F.col("l_suppkey") % 9).alias("t"))
     jump = (F.abs(F.col("q") - F.lag("q").over(w)) > 3) | (F.abs(F.col("t") - F.lag("t").over(w)) > 3)
     return rows.select("l_orderkey", "l_linenumber", F.coalesce(jump, F.lit(False)).alias("broken"))
 
