@@ -39,7 +39,7 @@ ORDER = 2
 STRENGTH = 4.0
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
-FLUSH_KEYS = 6_000_000
+FLUSH_KEYS = 4_000_000
 
 END = np.uint64(0x6A09E667F3BCC909)
 START = np.uint64(0xBB67AE8584CAA73B)
@@ -81,12 +81,14 @@ def _grams(tokens: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarr
 
 
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys byte plane by byte plane, which compresses well."""
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys as steps, byte plane by byte plane: the high planes of small steps are zeros."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    steps = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -236,10 +238,11 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, strength: float
     every token has probability 1.  An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count_if(~F.col("held_out")).alias("train")).first()
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows"), F.count_if(~F.col("held_out")).alias("train")).first()
     blocks, buckets = (max(1, -(-size["bytes"] // n)) for n in (BLOCK_BYTES, BUCKET_BYTES))
-    # ids that are near each other share a block, so tasks count whole runs of a block; a null id goes by its text
-    run = F.coalesce(F.floor(F.col("doc_id") / 256), F.xxhash64("text"))
+    # ids that are near each other share a block, so tasks count long runs of a block; a null id goes by its text
+    near = max(64, size["rows"] // blocks // 3)
+    run = F.coalesce(F.floor(F.col("doc_id") / near), F.xxhash64("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(run), F.lit(blocks)))
     sent = rows.select("block", (~F.col("held_out")).alias("train"), "text").mapInArrow(_count(order, buckets), "bucket long, block long, keys binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, answer binary")
