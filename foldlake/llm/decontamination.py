@@ -211,6 +211,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float =
                 leaks = [a + b for a, b in zip(old, _leaks(text, shared.value), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: k - 1], pa.array(leaks, pa.list_(LEAK))], [*batch.schema.names[: k - 1], "leaks"])
 
-        held = out.select("*", F.coalesce("text", F.lit("")).alias("_text"))
+        held = out.select("*", F.coalesce("text", F.lit("")).alias("__read"))
         out = held.mapInArrow(run, f"{types}, leaks array<struct<item_id:bigint,start:bigint,end:bigint,edits:int>>")
     return out

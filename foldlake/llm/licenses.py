@@ -210,5 +210,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, size: int = S
 
     names = [c for c in docs.columns if c != "licenses"]
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    held = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce("text", F.lit("")).alias("_text"))
+    held = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce("text", F.lit("")).alias("__read"))
     return held.mapInArrow(run, f"{types}, licenses array<struct<template:string,start:bigint,end:bigint,containment:double>>")

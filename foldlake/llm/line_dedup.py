@@ -27,7 +27,7 @@ def _lines(text):
 
 
 def line_dedup(docs: DataFrame, sites: int = SITES, error: float = ERROR) -> DataFrame:
-    """``docs`` with its text cleaned, and _n_lines, _n_removed.
+    """``docs`` with its text cleaned, and _n_lines, _n_removed (which replace columns of these names).
 
     A site is a value of ``source``; null is a site of its own.  Blank lines are never
     removed.  A null text stays null with 0 lines, an empty text is one blank line.  A row
@@ -35,8 +35,8 @@ def line_dedup(docs: DataFrame, sites: int = SITES, error: float = ERROR) -> Dat
     treated alike; a line repeated inside one row counts once for a site.  An empty table
     gives an empty result.
     """
-    row_key = F.xxhash64("doc_id", "text")
-    rows = docs.withColumn("_row", row_key)
+    names = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("doc"), "doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("_row"))
     line = F.expr("trim(BOTH ' \t\r' FROM _line)")
     lines = rows.select("doc_id", "_row", F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("site"), F.posexplode(_lines(F.col("text"))).alias("pos", "_line"))
     lines = lines.withColumn("_line", line).where("_line != ''")
@@ -60,13 +60,14 @@ def line_dedup(docs: DataFrame, sites: int = SITES, error: float = ERROR) -> Dat
     bad = checkpointed(bad)
     hits = left_join_unique(lines, bad, "line", "n", total, _decoy()).where(F.col("bad") & ~F.col("doc_id").eqNullSafe(F.col("first_id")))
     drops = hits.groupBy("_row").agg(F.collect_set("pos").alias("_drop"))
-    out = rows.join(drops, "_row", "left")
+    out = rows.select("doc", "text", "_row").join(drops, "_row", "left")
     split = _lines(F.col("text"))
     keep = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_drop"))
     cleaned = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.get(split, i)), "\n"))
     out = out.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long"))
     out = out.withColumn("_n_removed", F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long"))
-    return out.withColumn("text", cleaned).select(*docs.columns, "_n_lines", "_n_removed")
+    kept = [cleaned.alias(c) if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in names]
+    return out.select(*kept, "_n_lines", "_n_removed")
 
 
 def _decoy():

@@ -6,7 +6,7 @@
    ``most`` times its own words; what is cut off is shared again by weight (water filling,
    solved on the sorted ratios of cap to weight).
 3. The target becomes an exact quota of blocks: whole passes over the source, then whole
-   blocks in permuted order, then the rows of one last block up to the nearest word count.
+   blocks in permuted order, then rows of one last block up to the nearest word count.
 4. The quotas are split from the root of a binary tree down to the output shards: each node
    sends half of its draws to either child, by a multivariate hypergeometric draw, so every
    shard is an exact random share of the mix.  A leaf takes the next blocks of each source.
@@ -22,22 +22,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import checkpointed
 
 WEIGHTS = (3, 1, 2)
 FACTOR, MOST = 1.5, 2.0
-BLOCK_WORDS = 50_000
+BLOCK_WORDS = 200_000
 BLOCKS = 4096
 SHARDS = 16
 SEED = 20240607
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with _size: the words of the text, 0 for null."""
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"))
+def words(text: Column) -> Column:
+    """The words of a text, 0 for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST) -> DataFrame:
@@ -86,23 +86,25 @@ def _split(shards: int, seed: int):
     return run
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``docs`` with _size, _source_size, _target, _shards: the output shard of each copy of the row.
+def plan(
+    docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, shards: int = SHARDS, seed: int = SEED
+) -> DataFrame:
+    """(doc, size, source_size, target, shards): doc is the row as a struct, shards the output shard of each of its copies.
 
-    Every row of the input is in the result; a row that the mix leaves out has no shard.  A
-    null source is a source of its own, the last in the order of weights; rows without words
-    have size 0 and may be drawn at no cost.  Rows are units of their own even if repeated:
-    equal rows may be drawn differently, but reruns on one table agree in every count.  An
-    empty table gives an empty result.
+    ``size`` defaults to the words of text.  Every row of the input is in the result; a row
+    that the mix leaves out has no shard.  A null source is a source of its own, the last in
+    the order of weights; rows without words have size 0 and may be drawn at no cost.  Rows
+    are units of their own even if repeated: equal rows may be drawn differently, but reruns
+    on one table agree in every count.  An empty table gives an empty result.
     """
-    docs = sized(docs) if "_size" not in docs.columns else docs
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", (words(F.col("text")) if size is None else size).cast("long").alias("_size"))
     order = F.xxhash64("doc_id", F.lit(seed))
     sizes = docs.groupBy("source").agg(F.sum("_size").alias("source_size"))
     # the source's name itself as a key that is never null
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     per_source = checkpointed(targets(sizes, weights, factor, most).withColumn("source_key", key))
-    words = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    n_blocks = int(min(BLOCKS, max(16, -(-words // BLOCK_WORDS))))
+    total = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    n_blocks = int(min(BLOCKS, max(1, -(-total // BLOCK_WORDS))))
     dealt = docs.withColumn("_key", key).withColumn("_block", F.pmod(order, F.lit(n_blocks)))
     in_source = Window.partitionBy("source_key").orderBy("block")
     blocks = dealt.groupBy(F.col("_key").alias("source_key"), F.col("_block").alias("block")).agg(F.sum("_size").alias("words"))
@@ -128,18 +130,23 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, factor: float = FA
     )
     blocks = checkpointed(blocks.join(homes, ["source_key", "block"], "left").select("source_key", "block", "source_size", "target", "passes", "whole", "room", "homes"))
     rows = dealt.join(blocks, (F.col("_key") == F.col("source_key")) & (F.col("_block") == F.col("block")))
-    inside = Window.partitionBy("source_key", "block").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.sum("_size").over(inside) - F.col("_size") / 2
-    extra = F.when(F.col("whole"), 1).when(F.col("room") > 0, (reached <= F.col("room")).cast("int")).otherwise(0)
+    # of the last block the rows that fit in order, then the one that best fills what is left
+    inside = Window.partitionBy("source_key", "block")
+    reached = F.sum("_size").over(inside.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_reached", reached).withColumn("_fits", F.col("_reached") <= F.col("room"))
+    left = F.col("room") - F.coalesce(F.max(F.when(F.col("_fits"), F.col("_reached"))).over(inside), F.lit(0))
+    rows = rows.withColumn("_left", left).withColumn("_miss", F.abs(F.col("_size") - F.col("_left")))
+    filler = F.row_number().over(inside.orderBy("_fits", "_miss", order, "doc_id"))
+    rows = rows.withColumn("_filler", ~F.col("_fits") & (F.col("_miss") < F.col("_left")) & (filler == 1))
+    extra = F.when(F.col("whole"), 1).when(F.col("room") > 0, (F.col("_fits") | F.col("_filler")).cast("int")).otherwise(0)
     rows = rows.withColumn("_copies", (F.col("passes") + extra).cast("int"))
-    rows = rows.withColumn("_shards", F.when(F.col("_copies") > 0, F.slice("homes", F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<int>")))
-    return rows.withColumnRenamed("source_size", "_source_size").withColumnRenamed("target", "_target").drop("source_key", "block", "_key", "_block", "passes", "whole", "room", "homes", "_copies")
+    homes = F.when(F.col("_copies") > 0, F.slice("homes", F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<int>"))
+    return rows.select("doc", F.col("_size").alias("size"), "source_size", "target", homes.alias("shards"))
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
     """The mixed rows: the columns of ``docs``, shard, copy (from 0), in shuffled order inside each shard."""
-    held = [c for c in docs.columns if c not in ("shard", "copy")]
-    drawn = plan(docs.select(*held), shards=shards, seed=seed, **how)
-    rows = drawn.select(*held, F.posexplode("_shards").alias("copy", "shard"))
+    held = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "copy")]
+    rows = plan(docs, shards=shards, seed=seed, **how).select("doc", F.posexplode("shards").alias("copy", "shard"))
     rows = rows.repartition(shards, "shard")
-    return rows.sortWithinPartitions("shard", F.xxhash64("doc_id", "copy", F.lit(seed + 1)), "doc_id", "copy").select(*held, "shard", "copy")
+    return rows.sortWithinPartitions("shard", F.xxhash64("doc.doc_id", "copy", F.lit(seed + 1)), "doc.doc_id", "copy").select(*held, "shard", "copy")

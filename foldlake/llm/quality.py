@@ -132,7 +132,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and a double for each of STATISTICS; a null text counts as empty."""
-    held = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("_text"))
+    held = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("text", F.lit("")).alias("__read"))
     types = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{s} double" for s in STATISTICS]
     return held.mapInArrow(_measure, ", ".join(types))
 

@@ -82,15 +82,9 @@ FROM documents AS d LEFT JOIN kept AS k ON d.doc_id = k.doc_id
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of 150 % of all words takes."""
-    docs = mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "_size")
-    drawn = mixing.plan(docs)
-    return drawn.select(
-        "doc_id",
-        F.col("_size").alias("size"),
-        F.col("_source_size").cast("long").alias("source_size"),
-        F.col("_target").alias("target"),
-        (F.col("_size") * F.size("_shards")).cast("long").alias("taken"),
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    drawn = mixing.plan(docs, F.col("size"))
+    return drawn.select("doc.doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,9 @@ def secrets(docs: DataFrame, model: list[float], ratio: float = RATIO) -> DataFr
     def of(pattern: str, kind: str, probe: str, group: int = 0, least: int = 0) -> Column:
         return F.when(text.rlike(probe), spans(text, pattern, kind, group, least)).otherwise(nothing)
 
-    out = docs.withColumn("_assign", of(ASSIGN, "assign", ASSIGN, 2, ASSIGN_CHARS))
+    names = [c for c in docs.columns if c != "_spans"]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "text")
+    out = out.withColumn("_assign", of(ASSIGN, "assign", ASSIGN, 2, ASSIGN_CHARS))
     out = out.withColumn("_access", of(LONG_ACCESS, "access", LONG_ACCESS)).withColumn("_hex", of(LONG_HEX, "hex", LONG_HEX))
     out = out.withColumn("_base", F.concat("_assign", "_access", "_hex"))
     out = out.withColumn("_tokens", of(TOKEN, "markov", TOKEN))
@@ -135,7 +137,7 @@ def secrets(docs: DataFrame, model: list[float], ratio: float = RATIO) -> DataFr
     place = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     ordered = F.array_sort(F.transform(F.concat("_base", random), lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
     ordered = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
-    return out.withColumn("_spans", ordered).drop("_assign", "_access", "_hex", "_base", "_tokens")
+    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in names], ordered.alias("_spans"))
 
 
 def joined(found: Column) -> Column:

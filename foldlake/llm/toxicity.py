@@ -201,6 +201,6 @@ def toxicity(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(-np.expm1(clean)), pa.array(found, extra)], [*batch.schema.names[:-1], "toxic_score", "offending"])
 
     names = [c for c in docs.columns if c not in ("toxic_score", "offending")]
-    held = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce("text", F.lit("")).alias("_text"))
+    held = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce("text", F.lit("")).alias("__read"))
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     return held.mapInArrow(run, f"{types}, toxic_score double, offending array<struct<start:bigint,end:bigint,score:double>>")
