@@ -130,15 +130,19 @@ def plan(
     )
     blocks = checkpointed(blocks.join(homes, ["source_key", "block"], "left").select("source_key", "block", "source_size", "target", "passes", "whole", "room", "homes"))
     rows = dealt.join(blocks, (F.col("_key") == F.col("source_key")) & (F.col("_block") == F.col("block")))
-    # of the last block the rows that fit in order, then the one that best fills what is left
-    inside = Window.partitionBy("source_key", "block")
-    reached = F.sum("_size").over(inside.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_reached", reached).withColumn("_fits", F.col("_reached") <= F.col("room"))
-    left = F.col("room") - F.coalesce(F.max(F.when(F.col("_fits"), F.col("_reached"))).over(inside), F.lit(0))
-    rows = rows.withColumn("_left", left).withColumn("_miss", F.abs(F.col("_size") - F.col("_left")))
-    filler = F.row_number().over(inside.orderBy("_fits", "_miss", order, "doc_id"))
-    rows = rows.withColumn("_filler", ~F.col("_fits") & (F.col("_miss") < F.col("_left")) & (filler == 1))
-    extra = F.when(F.col("whole"), 1).when(F.col("room") > 0, (F.col("_fits") | F.col("_filler")).cast("int")).otherwise(0)
+    # of the last block the rows that fit in random order, then the smallest of the rest, then
+    # the one that best fills what is left
+    block = ["source_key", "block"]
+    rows = rows.withColumn("_left", F.col("room")).withColumn("_in", F.lit(False))
+    for by in (order, F.col("_size")):
+        run = Window.partitionBy(*block, "_in").orderBy(by, order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("_reached", F.sum("_size").over(run)).withColumn("_new", ~F.col("_in") & (F.col("_reached") <= F.col("_left")))
+        gained = F.max(F.when(F.col("_new"), F.col("_reached"))).over(Window.partitionBy(*block))
+        rows = rows.withColumn("_left", F.col("_left") - F.coalesce(gained, F.lit(0))).withColumn("_in", F.col("_in") | F.col("_new"))
+    miss = F.abs(F.col("_size") - F.col("_left"))
+    nearest = F.row_number().over(Window.partitionBy(*block).orderBy("_in", miss, order, "doc_id"))
+    rows = rows.withColumn("_filler", ~F.col("_in") & (miss < F.col("_left")) & (nearest == 1))
+    extra = F.when(F.col("whole"), 1).when(F.col("room") > 0, (F.col("_in") | F.col("_filler")).cast("int")).otherwise(0)
     rows = rows.withColumn("_copies", (F.col("passes") + extra).cast("int"))
     homes = F.when(F.col("_copies") > 0, F.slice("homes", F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<int>"))
     return rows.select("doc", F.col("_size").alias("size"), "source_size", "target", homes.alias("shards"))
