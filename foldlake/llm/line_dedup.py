@@ -2,8 +2,8 @@
 
 Each line (trimmed of spaces, tabs and carriage returns) is hashed to 96 bits.  HyperLogLog
 registers over its sites merge by aggregation, partly before the shuffle.  Lines whose
-estimate is within three standard errors of the threshold get an exact distinct count; the
-rest are decided by the estimate.  A line on ``sites`` or more sites is boilerplate: it stays
+estimate is within four standard errors of the threshold, or three sites, get an exact
+distinct count; the rest are decided by the estimate.  A line on ``sites`` or more sites is boilerplate: it stays
 in the document of the smallest id that has it and goes from every other one.
 
 Only DataFrame functions are used.  No group of lines is gathered: a hot line costs one
@@ -45,7 +45,7 @@ def line_dedup(docs: DataFrame, sites: int = SITES, error: float = ERROR) -> Dat
     spread = lines.groupBy("line").agg(
         F.approx_count_distinct("site", error).alias("estimate"), F.count("*").alias("n"), F.min("doc_id").alias("first_id")
     )
-    margin = 3 * error * sites
+    margin = max(4 * error * sites, 3)  # few sites err by whole ones
     spread = checkpointed(spread.where((F.col("estimate") >= sites - margin) & (F.col("n") >= sites)))
     near = spread.where(F.col("estimate") <= sites + margin)
     exact = (
