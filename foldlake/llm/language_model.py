@@ -37,7 +37,7 @@ from .shared import checkpointed
 
 ORDER = 2
 STRENGTH = 4.0
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 FLUSH_KEYS = 4_000_000
 
