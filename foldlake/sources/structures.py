@@ -84,7 +84,8 @@ def cif_loop(structures: DataFrame, category: str) -> DataFrame:
     stop = text.startswith("#") | text.startswith("_") | text.startswith("loop_") | text.startswith("data_")
     body = body.withColumn("_stop", F.min(F.when(stop, F.col("at"))).over(Window.partitionBy("structure_id"))).where((F.col("_stop").isNull() | (F.col("at") < F.col("_stop"))) & (text != ""))
     values = body.select("structure_id", "at", "names", cif_tokens(F.col("line")).alias("v"))
-    return values.where(F.size("v") == F.size("names")).select("structure_id", "at", F.map_from_arrays("names", "v").alias("fields"))
+    fields = F.when(F.size("v") == F.size("names"), F.map_from_arrays("names", "v"))
+    return values.select("structure_id", "at", fields.alias("fields")).where("fields is not null")
 
 
 def residues_mmcif(structures: DataFrame, modified: DataFrame | None = None) -> DataFrame:
