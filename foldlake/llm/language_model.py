@@ -4,9 +4,11 @@ The model.  With c the counts in training texts and P0(w) = (c(w) + 0.1) / (N +
 
     P(w | h) = (c(h w) + K P(w | h')) / (c(h) + K),    h' = h without its first word,
 
-a hierarchical Dirichlet smoothing that sums to one for every context h.  As an automaton: a
-context seen in training is a state, a counted n-gram an arc, and K / (c(h) + K) the weight of
-the failure arc to the state of h'.  A text is read once from left to right; each token
+a hierarchical Dirichlet smoothing that sums to one for every context h, whatever K is there.
+K = ``STRENGTH`` c(h) ** ``GROWTH`` follows the kinds of words that a context is expected to
+have, which grow as a power of its uses.  As an automaton: a context seen in training is a
+state, a counted n-gram an arc, and K / (c(h) + K) the weight of the failure arc to the state
+of h'.  A text is read once from left to right; each token
 follows failure arcs from its state until an arc matches, adds the logarithm, and moves on.
 
 The automaton of a whole corpus fits nowhere, so it is cut by use:
@@ -36,7 +38,7 @@ from . import words as W
 from .shared import checkpointed
 
 ORDER = 2
-STRENGTH = 4.0
+STRENGTH, GROWTH = 2.0, 0.9
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 FLUSH_KEYS = 4_000_000
@@ -183,7 +185,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values[:, 0]), pa.array(values[:, 1])], ["tokens", "words"])
 
 
-def _traverse(order: int, strength: float, train_tokens: int, distinct: int, starts: int):
+def _traverse(order: int, strength: float, growth: float, train_tokens: int, distinct: int, starts: int):
     total = train_tokens + 0.1 * (distinct + 1)
     names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
@@ -207,13 +209,15 @@ def _traverse(order: int, strength: float, train_tokens: int, distinct: int, sta
         for k in range(2, order + 1):
             # the state is the (k - 1)-gram that ends at the token before, and START at the front
             state = np.where(begins, starts, np.concatenate([[0], counts[k - 2][:-1]]))
-            value[k] = (counts[k - 1] + strength * value[k - 1]) / (state + strength)
+            own = strength * np.maximum(state, 1) ** growth
+            value[k] = (counts[k - 1] + own * value[k - 1]) / (state + own)
         for k in range(order, 0, -1):
             state = np.where(begins, starts, np.concatenate([[0], counts[k - 2][:-1]])) if k > 1 else np.zeros(len(tokens))
             arc = waiting & ((counts[k - 1] > 0) | (k == 1))
             step[arc] += np.log10(value[k][arc])
             waiting &= ~arc
-            step[waiting] += np.log10(strength / (state[waiting] + strength))
+            own = strength * np.maximum(state[waiting], 1) ** growth
+            step[waiting] += np.log10(own / (state[waiting] + own))
         n = np.diff(offsets)
         sums = lambda x: np.add.reduceat(x, offsets[:-1])
         return pa.table(
@@ -230,7 +234,7 @@ def _traverse(order: int, strength: float, train_tokens: int, distinct: int, sta
     return run
 
 
-def score(docs: DataFrame, held_out: Column, order: int = ORDER, strength: float = STRENGTH) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = ORDER, strength: float = STRENGTH, growth: float = GROWTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     The model learns from the rows where ``held_out`` is not true.  A null text is empty: one
@@ -249,6 +253,6 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, strength: float
     answers = checkpointed(answers)
     sums = answers.where("block = -1").select("answer").mapInArrow(_sums, "tokens long, words long").agg(F.sum("tokens"), F.sum("words")).first()
     tokens, distinct = (x or 0 for x in sums)
-    fit = _traverse(order, strength, tokens, distinct, size["train"])
+    fit = _traverse(order, strength, growth, tokens, distinct, size["train"])
     out = rows.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(fit, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -175,7 +175,7 @@ def test_bands_reach_the_asked_probability():
 # op3
 
 
-def brute_scores(rows, strength=4.0):
+def brute_scores(rows, strength=2.0, growth=0.9):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     texts = [(i, tokens(t) + [None]) for i, t, _ in rows]
     one, two, starts = collections.Counter(), collections.Counter(), 0
@@ -189,7 +189,11 @@ def brute_scores(rows, strength=4.0):
     out = []
     for i, w in texts:
         base = sum(math.log10(p0(x)) for x in w)
-        score = sum(math.log10((two[h, x] + strength * p0(x)) / ((starts if h == "<s>" else one[h]) + strength)) for h, x in zip(["<s>", *w], w))
+        score = 0.0
+        for h, x in zip(["<s>", *w], w):
+            state = starts if h == "<s>" else one[h]
+            k = strength * max(state, 1) ** growth
+            score += math.log10((two[h, x] + k * p0(x)) / (state + k))
         out.append((str(i), held(i), len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
     return sorted(out)
 
@@ -218,8 +222,9 @@ def test_language_model_sums_to_one_and_odd(spark, odd, empty):
     p0 = lambda c: (c + 0.1) / (9 + 0.1 * 4)
     one = {"a": 4, "b": 2, None: 0}
     two = {("a", 0): 3, ("b", 0): 0, (None, 0): 0}
-    end = {k: (two[w, 0] + 4 * p0(3)) / (one[w] + 4) for k, w in ends.items()}
-    first = (2 + 4 * p0(4)) / (3 + 4)
+    strength = lambda n: 2 * max(n, 1) ** 0.9
+    end = {k: (two[w, 0] + strength(one[w]) * p0(3)) / (one[w] + strength(one[w])) for k, w in ends.items()}
+    first = (2 + strength(3) * p0(4)) / (3 + strength(3))
     total = sum(10 ** score[k] / first / end[k] for k in ends) + 10 ** score[103] / first
     assert abs(total - 1) < 1e-9
 
