@@ -7,7 +7,7 @@
    coordinates, the prefix of the merge: texts at the threshold share at least one of the
    keys but for a chance of about (1 - s**3)**16 = 1e-5.
 3. Inside a posting list collisions are counted over all coordinates.  Pairs below
-   ``MATCHES`` are skipped; at the threshold a pair falls below it with a chance of 7e-6.
+   ``MATCHES`` are skipped; at the threshold a pair falls below it with a chance of 3e-6.
    A parity bitmap then bounds the symmetric difference of the two sets from below, so
    pairs that can't reach the threshold go without a look at their sets.
 4. What is left is confirmed on the full sets.  A list needs no all-pairs output for that:

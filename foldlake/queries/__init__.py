@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import geometry, segments, structures, vector
+from . import atlas, geometry, segments, structures, vector
 
-_PARTS = (vector, segments, geometry, structures)
+_PARTS = (vector, segments, geometry, structures, atlas)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
