@@ -41,8 +41,8 @@ def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near-duplicates."""
-    kept = near_duplicates(docs).where("kept").select("doc_id")
+    """The document of the smallest id of each component of near-duplicates, by five-word shingles."""
+    kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
     once = kept.distinct()
     out = docs.join(once, "doc_id", "left_semi")
     repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()

@@ -35,13 +35,16 @@ def integers(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vecto
     """(vec_id, values): floor(scale * x) of each component as a double.
 
     Rows whose id or vector is null or empty, or holds a null or non-finite component, are left
-    out; of rows with one id that with the least vector stays.
+    out; of rows with one id that with the least vector stays.  Vectors not of the commonest
+    length (of equals the shortest) are left out too, as no product is defined for them.
     """
     whole = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~bad
     rows = vectors.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("values"))
-    return rows.groupBy("vec_id").agg(F.min("values").alias("values"))
+    rows = rows.groupBy("vec_id").agg(F.min("values").alias("values"))
+    lengths = rows.groupBy(F.size("values").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(1)
+    return rows.join(F.broadcast(lengths), F.size("values") == F.col("length")).select("vec_id", "values")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -127,8 +130,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, **columns) -> DataFr
 
     ``is_query`` is a condition on vec_id.  Values are those of ``integers``, whose scores are
     exact in doubles up to 2**53.  Ties go to the smaller vec_id; a query with fewer than k
-    other rows has them all; without rows or queries the result is empty.  All vectors must
-    have one length.
+    other rows has them all; without rows or queries the result is empty.
     """
     rows = checkpointed(integers(vectors, **columns))
     total = rows.count()

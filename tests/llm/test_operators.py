@@ -116,7 +116,7 @@ def test_top_k_equals_brute_force_with_ties(spark, monkeypatch, lane):
 
 
 def test_top_k_odd_rows(spark):
-    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (None, [1.0, 1.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0])]
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (None, [1.0, 1.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
