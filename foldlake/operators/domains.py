@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from . import geometry as G
 
-MAX_CUT, LEAST, MOST = 0.08, 40, 8
+MAX_CUT, LEAST, SHORT, MOST = 0.08, 40, 50, 8
+#: Chains of this length are held to the ceiling as it stands; see ``scale``.
+CEILING_LENGTH = 250
 
 
 def _sweep(w: np.ndarray, order: np.ndarray, least: int) -> tuple[float, int] | None:
@@ -51,41 +53,112 @@ def _bisect(w: np.ndarray, nodes: np.ndarray, least: int) -> tuple[float, np.nda
     return best
 
 
-def labels_of(n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray, ceilings: list[float], least: int = LEAST, most: int = MOST) -> list[np.ndarray]:
-    """Domain of each of n points for each ceiling: while a part can be cut under it, the cheapest cut is made."""
+def eigengap(w: np.ndarray, most: int = MOST) -> int:
+    """How many parts the spectrum suggests: the first largest gap between Laplacian eigenvalues."""
+    degree = w.sum(axis=1)
+    scale = np.where(degree > 0, 1 / np.sqrt(np.maximum(degree, 1e-300)), 0)
+    values = np.sort(1 - np.linalg.eigvalsh(w * scale[:, None] * scale[None, :]))
+    return int(np.argmax(np.diff(values)[:most])) + 1 if len(values) > 2 else 1
+
+
+def absorbed(w: np.ndarray, label: np.ndarray, least: int = LEAST, short: int = SHORT) -> np.ndarray:
+    """Runs under ``short`` join the domain they touch most, the shortest first; a run that is its whole domain needs ``least``.
+
+    Ties go to the lowest domain, and a run without contact to another stays.
+    """
+    label = label.copy()
+    for _ in range(len(label)):
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(label)) + 1])
+        length = np.diff(np.append(begin, len(label)))
+        floor = np.where(length == np.bincount(label)[label[begin]], least, short)
+        small = np.flatnonzero(length < floor)
+        if not len(small):
+            break
+        k = small[np.argmin(length[small])]
+        run = slice(begin[k], begin[k] + length[k])
+        pull = np.bincount(label, w[run].sum(axis=0), minlength=label.max() + 1)
+        pull[label[run.start]] = 0
+        if pull.max() <= 0:
+            break
+        label[run] = int(np.argmax(pull))
+    return label
+
+
+def trimmed(w: np.ndarray, label: np.ndarray, degree: int, apart: int = 4, least: int = LEAST, keep: float = 0.45) -> np.ndarray:
+    """Ends with under ``degree`` contacts of more than ``apart`` residues inside their domain are unassigned (-1), the looser end first."""
+    label = label.copy()
+    n = len(label)
+    far = (w > 0) & (np.abs(np.arange(n)[:, None] - np.arange(n)[None, :]) > apart)
+    for d in np.unique(label[label >= 0]):
+        own = np.flatnonzero(label == d)
+        floor = max(least, int(np.ceil(keep * len(own))))
+        count = far[np.ix_(own, own)].sum(axis=1)
+        lo, hi = 0, len(own) - 1
+        while hi - lo + 1 > floor:
+            end = lo if count[lo] <= count[hi] else hi
+            if count[end] >= degree:
+                break
+            label[own[end]] = -1
+            count -= far[own, own[end]]
+            lo, hi = (lo + 1, hi) if end == lo else (lo, hi - 1)
+    return label
+
+
+def renumbered(label: np.ndarray) -> np.ndarray:
+    """Domains numbered by their first residue; -1 stays."""
+    names, first = np.unique(label, return_index=True)
+    order = [x for x in names[np.argsort(first)] if x >= 0]
+    place = {x: k for k, x in enumerate(order)} | {-1: -1}
+    return np.array([place[x] for x in label], dtype=np.int64)
+
+
+def labels_of(
+    n: int, i: np.ndarray, j: np.ndarray, weight: np.ndarray, ceilings: list[float], least: int = LEAST, most: int = MOST, short: int = SHORT, scale: float = 0.0, by_spectrum: bool = False, trim: int = 0
+) -> list[np.ndarray]:
+    """Domain of each of n points for each ceiling: while a part can be cut under it, the cheapest cut is made.
+
+    ``scale`` raises the ceiling of short parts; ``by_spectrum`` cuts to the count of the
+    spectrum whatever a cut costs; ``trim`` unassigns loose ends.
+    """
     w = np.zeros((n, n))
     w[i, j] = weight
     memo: dict[bytes, tuple | None] = {}
+    limit = min(most, eigengap(w, most)) if by_spectrum else most
     out = []
     for ceiling in ceilings:
         parts = [np.arange(n)]
-        while len(parts) < most:
+        while len(parts) < limit:
             cuts = []
             for k, part in enumerate(parts):
                 key = part.tobytes()
                 if key not in memo:
                     memo[key] = _bisect(w, part, least)
-                if memo[key] is not None and memo[key][0] <= ceiling:
+                allowed = np.inf if by_spectrum else ceiling * (CEILING_LENGTH / max(1, len(part))) ** (scale / 3)
+                if memo[key] is not None and memo[key][0] <= allowed:
                     cuts.append((memo[key][0], k))
             if not cuts:
                 break
             k = min(cuts)[1]
             parts[k : k + 1] = memo[parts[k].tobytes()][1:]
         label = np.zeros(n, dtype=np.int64)
-        for at, part in enumerate(sorted(parts, key=lambda x: x[0])):
+        for at, part in enumerate(parts):
             label[part] = at
-        out.append(label)
+        label = absorbed(w, label, least, short)
+        out.append(renumbered(trimmed(w, label, trim, least=least) if trim else label))
     return out
 
 
-def parse(points: DataFrame, key: str, ceilings: tuple[float, ...] = (MAX_CUT,), distance: float = 8.0) -> DataFrame:
-    """(key, rung, i, label): the domains of each chain under each ceiling, numbered by first residue."""
+def parse(points: DataFrame, key: str, ceilings: tuple[float, ...] = (MAX_CUT,), distance: float = 8.0, **how) -> DataFrame:
+    """(key, rung, i, label): the domains of each chain under each ceiling, numbered by first residue.
+
+    ``how`` is passed to ``labels_of``.
+    """
     edges = G.soft_contacts(points, key, distance)
     steps = [float(c) for c in ceilings]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(max(pdf["i"].max(), pdf["j"].max())) + 1
-        found = labels_of(n, pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["w"].to_numpy(), steps)
+        found = labels_of(n, pdf["i"].to_numpy(), pdf["j"].to_numpy(), pdf["w"].to_numpy(), steps, **how)
         return pd.concat([pd.DataFrame({key: pdf[key].iloc[0], "rung": r, "i": np.arange(n), "label": x}) for r, x in enumerate(found)])
 
     kind = points.schema[key].dataType.simpleString()

@@ -123,6 +123,16 @@ def domain_parse(spark, d):
     return S.runs(found, "chain", "i", "label")
 
 
+def domain_by_spectrum(spark, d):
+    found = D.parse(_pieces(spark, d), "chain", by_spectrum=True)
+    return found.groupBy("chain").agg(F.count_distinct("label").alias("domains"))
+
+
+def domain_trimmed(spark, d):
+    found = D.parse(_pieces(spark, d), "chain", scale=1.0, trim=3)
+    return found.groupBy("chain").agg(F.count_if(F.col("label") < 0).alias("loose"), F.count("*").alias("n"))
+
+
 LADDER = tuple(round(0.02 + 0.01 * k, 2) for k in range(29))
 
 
@@ -148,7 +158,7 @@ def domain_consensus(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     trace_contacts, contact_degree_norm, torsion_tau, pos_encoding, terminal_flags, chain_breaks, secondary_structure, ss_run_lengths, ss_smoothed, virtual_cb,
-    soft_contacts, beta_pairs, cut_profile, best_contiguous_cut, cut_score_at, rg_penalty, principal_axes_cov, score_field, domain_parse, domain_ladder,
+    soft_contacts, beta_pairs, cut_profile, best_contiguous_cut, cut_score_at, rg_penalty, principal_axes_cov, score_field, domain_parse, domain_by_spectrum, domain_trimmed, domain_ladder,
     ladder_plateaus, domain_consensus,
 )}
 

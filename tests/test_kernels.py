@@ -72,6 +72,26 @@ def test_two_blobs_are_two_domains():
     assert label[:60].max() == 0 and label[60:].min() == 1
 
 
+def test_short_runs_join_their_neighbours():
+    w = np.zeros((150, 150))
+    for k in range(149):
+        w[k, k + 1] = w[k + 1, k] = 2
+    w[60:70, 100:140] = w[100:140, 60:70].T + 1
+    label = np.array([0] * 60 + [1] * 10 + [0] * 20 + [2] * 60)
+    got = domains.absorbed(np.maximum(w, w.T), label)
+    assert got[:90].max() == 0 or got[60] == 2
+    assert set(np.unique(domains.absorbed(np.zeros((90, 90)), np.array([0] * 50 + [1] * 40)))) == {0, 1}
+
+
+def test_spectrum_counts_blobs_and_ends_are_trimmed():
+    w = np.kron(np.eye(3), np.ones((50, 50))) + 1e-3
+    assert domains.eigengap(w) == 3
+    loose = np.zeros((80, 80))
+    loose[10:, 10:] = 1
+    got = domains.trimmed(loose, np.zeros(80, dtype=int), 3)
+    assert (got[:10] == -1).all() and (got[10:] == 0).all()
+
+
 def test_cut_profile_equals_direct_sums(spark):
     x = walk(110, 7)
     p = points(spark, x)
