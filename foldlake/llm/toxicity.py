@@ -26,7 +26,7 @@ SAMPLE = 6000
 LONGEST = 200_000
 BUCKETS = 1 << 18
 FEATURES = 4096
-STEMS = (4, 5, 6, 7, 8)
+STEMS = (4, 6, 8)
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[10, 33, 46, 63]] = True
