@@ -195,7 +195,7 @@ ORACLE = {
     "trace_contacts": f"WITH {_CONTACTS} SELECT label, count(*) AS n, count(*) FILTER (WHERE j - i >= 4) AS far FROM contacts GROUP BY label",
     "contact_degree_norm": f"WITH {_CONTACTS}, g AS (SELECT label, i, count(*) AS degree FROM contacts GROUP BY label, i) SELECT label, i, degree, round(CAST(degree AS DOUBLE) / max(degree) OVER (PARTITION BY label), 6) AS share FROM g",
     "torsion_tau": f"WITH {_TAU} SELECT label, i, round(coalesce(tau, 0.0), 4) AS tau FROM t",
-    "pos_encoding": f"WITH {TRACE_SQL} SELECT label, i, round(sin(i + 1), 4) AS c0, round(sin((i + 1) * pow(2000.0, -62.0 / 64)), 4) AS c31, round(cos(i + 1), 4) AS c32, round(cos((i + 1) * pow(2000.0, -62.0 / 64)), 4) AS c63 FROM trace",
+    "pos_encoding": f"WITH {TRACE_SQL} SELECT label, i, round(sin(i + 1), 4) + 0.0 AS c0, round(sin((i + 1) * pow(2000.0, -62.0 / 64)), 4) + 0.0 AS c31, round(cos(i + 1), 4) + 0.0 AS c32, round(cos((i + 1) * pow(2000.0, -62.0 / 64)), 4) + 0.0 AS c63 FROM trace",
     "terminal_flags": f"WITH {TRACE_SQL} SELECT label, i, i = 0 AS first, i = max(i) OVER (PARTITION BY label) AS last FROM trace",
     "chain_breaks": """WITH p AS (SELECT label, vec_id, 20 * CAST(embedding[1] AS DOUBLE) AS x, 20 * CAST(embedding[2] AS DOUBLE) AS y, 20 * CAST(embedding[3] AS DOUBLE) AS z, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS i FROM embeddings),
         q AS (SELECT label, i, CASE WHEN (x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2 > 25 THEN 1 ELSE 0 END AS new FROM p WINDOW w AS (PARTITION BY label ORDER BY i)),

@@ -89,7 +89,7 @@ def half_floats(spark, d):
     del d
     rows = spark.range(65536).select(F.col("id").cast("int").alias("code"))
     value = C.half_float(F.col("code"))
-    return rows.select("code", F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value).alias("value"))
+    return rows.select("code", F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).when(value == 0, 0.0).otherwise(value).alias("value"))
 
 
 def embed_batch(spark, d):

@@ -215,14 +215,14 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLE = {
-    "union_of_tops": f"WITH {_DUAL}, {_tops(5)} SELECT rank, vec_id, round(score_inv, 6) AS score_inv, round(score_ord, 6) AS score_ord, round(delta, 6) AS delta, score_ord < 0.45 AND score_inv > 0.99 AS is_cp FROM tops",
+    "union_of_tops": f"WITH {_DUAL}, {_tops(5)} SELECT rank, vec_id, round(score_inv, 6) AS score_inv, round(score_ord, 6) AS score_ord, round(delta, 6) + 0.0 AS delta, score_ord < 0.45 AND score_inv > 0.99 AS is_cp FROM tops",
     "topk_cosine": f"WITH {_DUAL} SELECT vec_id, round(score_ord, 6) AS score_ord FROM scored ORDER BY scored.score_ord DESC, vec_id LIMIT 10",
     "topk_min_similarity": f"WITH {_DUAL} SELECT vec_id, round(score_ord, 6) AS score_ord FROM scored WHERE scored.score_ord >= 0.8 ORDER BY scored.score_ord DESC, vec_id LIMIT 100",
     "topk_batch_queries": """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, (1 + list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) / 2 AS score
         FROM embeddings AS a, embeddings AS b WHERE a.vec_id % 20 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
         SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 5""",
-    "dual_score_delta": f"WITH {_DUAL} SELECT vec_id, round(score_inv, 6) AS score_inv, round(score_ord, 6) AS score_ord, round(delta, 6) AS delta FROM scored",
-    "pinned_table": f"WITH {_DUAL}, {_tops(10)}, placed AS (SELECT *, CAST(row_number() OVER (ORDER BY delta DESC, rank) AS INTEGER) AS place FROM tops) SELECT place, rank, vec_id, round(delta, 6) AS delta FROM placed WHERE place <= 5 OR vec_id = {QUERY}",
+    "dual_score_delta": f"WITH {_DUAL} SELECT vec_id, round(score_inv, 6) AS score_inv, round(score_ord, 6) AS score_ord, round(delta, 6) + 0.0 AS delta FROM scored",
+    "pinned_table": f"WITH {_DUAL}, {_tops(10)}, placed AS (SELECT *, CAST(row_number() OVER (ORDER BY delta DESC, rank) AS INTEGER) AS place FROM tops) SELECT place, rank, vec_id, round(delta, 6) + 0.0 AS delta FROM placed WHERE place <= 5 OR vec_id = {QUERY}",
     "cp_candidates": f"WITH {_DUAL} SELECT vec_id, round(score_inv, 6) AS score_inv, round(score_ord, 6) AS score_ord FROM scored WHERE scored.score_ord < 0.45 AND scored.score_inv > 0.99",
     "cp_total": f"WITH {_DUAL} SELECT count(*) FILTER (WHERE score_ord < 0.6 AND score_inv > 0.9) AS cp_default, count(*) FILTER (WHERE score_ord < 0.45 AND score_inv > 0.99) AS cp_tight, count(*) AS scanned FROM scored",
     "score_tint": f"""WITH {_DUAL} SELECT vec_id, round(log10(1 / greatest(2e-3, 1 - score_ord)) / log10(500.0), 6) AS closeness,
