@@ -41,7 +41,7 @@ ORDER = 2
 STRENGTH, GROWTH = 2.0, 0.9
 BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
-FLUSH_KEYS = 4_000_000
+FLUSH_KEYS = 3_000_000
 
 END = np.uint64(0x6A09E667F3BCC909)
 START = np.uint64(0xBB67AE8584CAA73B)
@@ -127,7 +127,7 @@ def _count(order: int, buckets: int):
 
         for batch in batches:
             blocks = batch.column(0).to_numpy()
-            trains = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            trains = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             data_size = 0
             step = max(1, min(batch.num_rows, 512))
             for lo in range(0, batch.num_rows, step):

@@ -31,7 +31,9 @@ WEIGHTS = (3, 1, 2)
 FACTOR, MOST = 1.5, 2.0
 BLOCK_WORDS = 200_000
 BLOCKS = 4096
-SHARDS = 16
+#: Output shards hold about SHARD_WORDS words each, between FEWEST and SHARDS of them; larger
+#: ones are shuffled in slots of that size, one task each.
+SHARD_WORDS, FEWEST, SHARDS = 10_000_000, 16, 65_536
 SEED = 20240607
 
 
@@ -87,10 +89,11 @@ def _split(shards: int, seed: int):
 
 
 def plan(
-    docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, shards: int = SHARDS, seed: int = SEED
+    docs: DataFrame, size: Column | None = None, weights: tuple[int, ...] = WEIGHTS, factor: float = FACTOR, most: float = MOST, shards: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """(doc, size, source_size, target, shards): doc is the row as a struct, shards the output shard of each of its copies.
+    """(doc, size, source_size, target, shards, slots): doc is the row as a struct, shards the output shard of each of its copies.
 
+    slots is one number for all rows, the tasks that a shard is worth.
     ``size`` defaults to the words of text.  Every row of the input is in the result; a row
     that the mix leaves out has no shard.  A null source is a source of its own, the last in
     the order of weights; rows without words have size 0 and may be drawn at no cost.  Rows
@@ -104,6 +107,9 @@ def plan(
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     per_source = checkpointed(targets(sizes, weights, factor, most).withColumn("source_key", key))
     total = per_source.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    if shards is None:
+        shards = int(min(SHARDS, max(FEWEST, -(-factor * total // SHARD_WORDS))))
+    slots = int(max(1, -(-factor * total // (shards * SHARD_WORDS))))
     n_blocks = int(min(BLOCKS, max(1, -(-total // BLOCK_WORDS))))
     dealt = docs.withColumn("_key", key).withColumn("_block", F.pmod(order, F.lit(n_blocks)))
     in_source = Window.partitionBy("source_key").orderBy("block")
@@ -145,12 +151,13 @@ def plan(
     extra = F.when(F.col("whole"), 1).when(F.col("room") > 0, (F.col("_in") | F.col("_filler")).cast("int")).otherwise(0)
     rows = rows.withColumn("_copies", (F.col("passes") + extra).cast("int"))
     homes = F.when(F.col("_copies") > 0, F.slice("homes", F.lit(1), F.col("_copies"))).otherwise(F.array().cast("array<int>"))
-    return rows.select("doc", F.col("_size").alias("size"), "source_size", "target", homes.alias("shards"))
+    return rows.select("doc", F.col("_size").alias("size"), "source_size", "target", homes.alias("shards"), F.lit(slots).alias("slots"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **how) -> DataFrame:
-    """The mixed rows: the columns of ``docs``, shard, copy (from 0), in shuffled order inside each shard."""
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED, **how) -> DataFrame:
+    """The mixed rows: the columns of ``docs``, shard, copy (from 0), in shuffled order inside each shard's slots."""
     held = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("shard", "copy")]
-    rows = plan(docs, shards=shards, seed=seed, **how).select("doc", F.posexplode("shards").alias("copy", "shard"))
-    rows = rows.repartition(shards, "shard")
-    return rows.sortWithinPartitions("shard", F.xxhash64("doc.doc_id", "copy", F.lit(seed + 1)), "doc.doc_id", "copy").select(*held, "shard", "copy")
+    rows = plan(docs, shards=shards, seed=seed, **how).select("doc", "slots", F.posexplode("shards").alias("copy", "shard"))
+    place = F.xxhash64("doc.doc_id", "copy", F.lit(seed + 1))
+    rows = rows.withColumn("_slot", F.pmod(place, "slots")).withColumn("_place", place).repartition("shard", "_slot")
+    return rows.sortWithinPartitions("shard", "_slot", "_place", "doc.doc_id", "copy").select(*held, "shard", "copy")
