@@ -122,9 +122,21 @@ def scan_codes(codes: DataFrame, query: Sequence[float], lo: float, step: float)
 
 
 def assign_clusters(db: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], vector: str = "embedding") -> DataFrame:
-    """``db`` with cluster: the centroid of the largest inner product, ties to the first given."""
-    scores = F.array(*[F.struct(X.dot_with(F.col(vector), v).alias("s"), F.lit(-k).alias("k")) for k, v in centroids])
-    return db.withColumn("cluster", (-F.array_max(scores)["k"]).cast("long"))
+    """``db`` with cluster: the centroid of the largest inner product, ties to the first given.
+
+    One matrix product for each Arrow batch; the centroids are a fixed list and travel with the
+    task.
+    """
+    names = np.array([k for k, _ in centroids], dtype=np.int64)
+    matrix = np.array([v for _, v in centroids], dtype=np.float64).T
+
+    @F.pandas_udf("long")
+    def nearest(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype="int64")
+        return pd.Series(names[np.argmax(np.stack(v.to_numpy()).astype(np.float64) @ matrix, axis=1)])
+
+    return db.withColumn("cluster", nearest(vector))
 
 
 def probe(clustered: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], query: Sequence[float], nprobe: int) -> DataFrame:
