@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,3 +185,19 @@ def covariance(points: DataFrame, key: str) -> DataFrame:
     pairs = [(a, b) for k, a in enumerate(XYZ) for b in XYZ[k:]]
     sums = points.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{c}") for c in XYZ], *[F.sum(F.col(a) * F.col(b)).alias(f"p{a}{b}") for a, b in pairs])
     return sums.select(key, "n", *[(F.col(f"p{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("n")).alias(f"{a}{b}") for a, b in pairs])
+
+
+def principal_axes(points: DataFrame, key: str) -> DataFrame:
+    """(key, axes, spread): three unit axes, the longest first and right-handed, and the deviation along each."""
+    names = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+    @F.pandas_udf("axes array<double>, spread array<double>")
+    def turned(n: pd.Series, xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+        m = np.stack([xx, xy, xz, xy, yy, yz, xz, yz, zz], axis=1).reshape(-1, 3, 3)
+        values, vectors = np.linalg.eigh(m)
+        axes = vectors[:, :, ::-1].transpose(0, 2, 1)
+        axes[:, 2] *= np.sign(np.linalg.det(axes))[:, None]
+        spread = np.sqrt(np.maximum(values[:, ::-1], 0) / n.to_numpy()[:, None])
+        return pd.DataFrame({"axes": list(axes.reshape(-1, 9)), "spread": list(spread)})
+
+    return covariance(points, key).select(key, turned("n", *names).alias("a")).select(key, "a.axes", "a.spread")

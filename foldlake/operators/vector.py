@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,6 +123,82 @@ def scan_codes(codes: DataFrame, query: Sequence[float], lo: float, step: float)
     return codes.withColumn("score", F.lit(bias) + X.dot_with(F.col("code"), weights))
 
 
+@dataclass
+class Basis:
+    """A linear code: components about a mean, and the range of each as levels of one byte."""
+
+    mean: np.ndarray
+    rows: np.ndarray
+    lo: np.ndarray
+    step: np.ndarray
+
+    def weights(self, query: Sequence[float]) -> tuple[float, list[float]]:
+        """Bias and weights with which codes score as (1 + query . decoded) / 2."""
+        q = np.asarray(query, dtype=np.float64)
+        z = self.rows @ q
+        return float((1 + q @ self.mean + z @ self.lo) / 2), (z * self.step / 2).tolist()
+
+
+def fit_basis(db: DataFrame, dims: int, vector: str = "embedding") -> Basis:
+    """The ``dims`` leading principal components of all vectors, and the range of each over them.
+
+    Tasks reduce each batch to one matrix of sums; Spark adds these up element by element, so
+    the driver sees a matrix of the vectors' width, whatever their number.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["m"])
+
+    parts = db.where(F.col(vector).isNotNull()).select(vector).mapInArrow(sums, "m array<double>")
+    flat = parts.select(F.posexplode("m").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    m = np.array([r["v"] for r in flat])
+    width = int(round(len(m) ** 0.5))
+    m = m.reshape(width, width)
+    mean = m[0, 1:] / m[0, 0]
+    vectors = np.linalg.eigh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))[1][:, ::-1][:, :dims].T
+    vectors = vectors * np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(axis=1)])[:, None]
+    basis = Basis(mean, vectors, np.zeros(len(vectors)), np.ones(len(vectors)))
+    ends = project(db, basis, vector).select(F.posexplode("projected").alias("at", "v")).groupBy("at").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("at").collect()
+    lo, hi = (np.array([r[c] for r in ends]) for c in ("lo", "hi"))
+    return Basis(mean, vectors, lo, np.maximum(hi - lo, 1e-12) / 255)
+
+
+def project(db: DataFrame, basis: Basis, vector: str = "embedding") -> DataFrame:
+    """``db`` with projected: the components of each vector about the mean."""
+    mean, rows = basis.mean, basis.rows.T
+
+    @F.pandas_udf("array<double>")
+    def components(v: pd.Series) -> pd.Series:
+        return pd.Series(list((np.stack(v.to_numpy()).astype(np.float64) - mean) @ rows) if len(v) else [], dtype=object)
+
+    return db.withColumn("projected", components(vector))
+
+
+def encode(db: DataFrame, basis: Basis, vector: str = "embedding") -> DataFrame:
+    """``db`` with code: the components as levels of 0 to 255."""
+    lo, step = (F.array(*[F.lit(float(x)) for x in v]) for v in (basis.lo, basis.step))
+    level = F.zip_with(F.zip_with("projected", lo, lambda x, a: x - a), step, lambda x, s: F.greatest(F.lit(0), F.least(F.lit(255), X.half_up(x / s))).cast("smallint"))
+    return project(db, basis, vector).withColumn("code", level).drop("projected")
+
+
+def scan_basis(codes: DataFrame, query: Sequence[float], basis: Basis) -> DataFrame:
+    """``codes`` with score against a query, without decoding."""
+    bias, weights = basis.weights(query)
+    return codes.withColumn("score", F.lit(bias) + X.dot_with(F.col("code"), weights))
+
+
+def save_clusters(clustered: DataFrame, path: str) -> None:
+    """Writes one folder for each cluster, so that a probe reads only those it names."""
+    clustered.repartition("cluster").sortWithinPartitions("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+
 def assign_clusters(db: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], vector: str = "embedding") -> DataFrame:
     """``db`` with cluster: the centroid of the largest inner product, ties to the first given.
 

@@ -103,6 +103,11 @@ def principal_axes_cov(spark, d):
     return G.covariance(_trace(spark, d), "label").select("label", "n", *[F.round(c, 2).alias(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")])
 
 
+def principal_axes(spark, d):
+    found = G.principal_axes(_trace(spark, d), "label")
+    return found.select("label", *[F.round(F.get("spread", F.lit(k)), 3).alias(f"s{k}") for k in range(3)])
+
+
 def score_field(spark, d):
     points = _trace(spark, d)
     sizes = {r["label"]: r["n"] for r in points.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -158,7 +163,7 @@ def domain_consensus(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     trace_contacts, contact_degree_norm, torsion_tau, pos_encoding, terminal_flags, chain_breaks, secondary_structure, ss_run_lengths, ss_smoothed, virtual_cb,
-    soft_contacts, beta_pairs, cut_profile, best_contiguous_cut, cut_score_at, rg_penalty, principal_axes_cov, score_field, domain_parse, domain_by_spectrum, domain_trimmed, domain_ladder,
+    soft_contacts, beta_pairs, cut_profile, best_contiguous_cut, cut_score_at, rg_penalty, principal_axes_cov, principal_axes, score_field, domain_parse, domain_by_spectrum, domain_trimmed, domain_ladder,
     ladder_plateaus, domain_consensus,
 )}
 

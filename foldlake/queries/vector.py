@@ -121,6 +121,18 @@ scan AS (
 )"""
 
 
+def pca_scan(spark, d):
+    db = _db(spark, d)
+    basis = V.fit_basis(db, DIMS)
+    return V.ranked(V.scan_basis(V.encode(db, basis), _query(db), basis), 10, "score").select("vec_id", F.round("score", 4).alias("score"))
+
+
+def pca_layout(spark, d):
+    db = _db(spark, d)
+    found = V.project(db, V.fit_basis(db, 3))
+    return found.select("vec_id", *[F.round(F.get("projected", F.lit(k)), 4).alias(c) for k, c in enumerate("xyz")])
+
+
 def _centroids(db: DataFrame, n: int = 16) -> list[tuple[int, list[float]]]:
     return [(r[0], [float(x) for x in r[1]]) for r in db.where(F.col("vec_id") < n).select("vec_id", "embedding").orderBy("vec_id").collect()]
 
@@ -210,7 +222,7 @@ tops AS (SELECT CAST(row_number() OVER (ORDER BY spot) AS INTEGER) AS rank, s.*
 
 QUERIES = {f.__name__: f for f in (
     union_of_tops, topk_cosine, topk_min_similarity, topk_batch_queries, dual_score_delta, pinned_table, cp_candidates, cp_total, score_tint,
-    score_plane_bins, stride_sample, quantised_scan, quantised_vs_exact, ivf_assign, ivf_probe_topk, ivf_recall, knn12, kth_neighbour,
+    score_plane_bins, stride_sample, quantised_scan, quantised_vs_exact, pca_scan, pca_layout, ivf_assign, ivf_probe_topk, ivf_recall, knn12, kth_neighbour,
     partners_above, partner_counts, group_centroid_p92, crop_ball,
 )}
 

@@ -111,3 +111,47 @@ def test_reads_are_counted(spark):
     df, seen = metrics.counted(spark.createDataFrame([("ab",), (None,), ("é",)], "t string"), "reads", "t")
     df.where(F.col("t").isNotNull()).count()
     assert seen.get == {"rows": 3, "bytes": 4}
+
+
+def test_basis_codes_score_as_decoded_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((200, 12)) @ np.diag(np.linspace(2, 0.1, 12)) + 0.3
+    db = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    basis = vector.fit_basis(db, 5)
+    top = np.linalg.eigh(np.cov(x.T, bias=True))[1][:, ::-1][:, :5]
+    assert np.allclose(np.abs((basis.rows * top.T).sum(axis=1)), 1, atol=1e-9)
+    q = rng.standard_normal(12)
+    for r in vector.scan_basis(vector.encode(db, basis), q.tolist(), basis).collect():
+        decoded = basis.mean + (basis.lo + basis.step * np.array(r.code)) @ basis.rows
+        assert abs(r.score - (1 + q @ decoded) / 2) < 1e-9
+        kept = basis.mean + (x[r.vec_id] - basis.mean) @ basis.rows.T @ basis.rows
+        assert np.abs(decoded - kept).max() < 0.06
+    cents = [(k, x[k].tolist()) for k in range(4)]
+    vector.save_clusters(vector.assign_clusters(db, cents), f"{tmp_path}/c")
+    near = vector.probe(spark.read.parquet(f"{tmp_path}/c"), cents, q.tolist(), 1)
+    plan = near._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    assert near.count() == vector.probe(vector.assign_clusters(db, cents), cents, q.tolist(), 1).count()
+
+
+def test_principal_axes(spark):
+    from foldlake.operators import geometry
+
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 3)) * [5, 2, 0.5]
+    df = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(x)], "k int, i int, x double, y double, z double")
+    r = geometry.principal_axes(df, "k").first()
+    axes = np.array(r.axes).reshape(3, 3)
+    assert np.allclose(axes @ axes.T, np.eye(3), atol=1e-9) and np.linalg.det(axes) > 0
+    assert np.allclose(np.sort(x @ axes.T - (x @ axes.T).mean(axis=0), axis=0).std(axis=0), r.spread, atol=1e-9)
+
+
+def test_sql_functions_equal_columns(spark):
+    from foldlake.functions import expressions as X
+    from foldlake.functions import sql
+
+    sql.register(spark)
+    df = spark.range(1, 400).select(F.col("id").cast("double").alias("n"))
+    for name, f in (("search_scale", X.search_scale), ("final_scale", X.final_scale), ("score_cutoff", X.score_cutoff)):
+        assert df.where(F.abs(F.expr(f"{name}(n)") - f(F.col("n"))) > 1e-12).count() == 0
+    assert spark.sql("select similarity(0.5D), half_up(-0.5D), is_permutation_candidate(0.95D, 0.5D), field_value(0D, 2D)").first()[:] == (0.75, 0, True, 255)
