@@ -233,8 +233,9 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     similarity of at least ``percent`` / 100 are linked; component_id is the smallest id
     reachable, and kept marks it.  A text of fewer words is one shingle; a null or wordless
     text has no shingle, is linked with nothing and stays.  Rows with equal ids are rows of
-    their own and are linked by their texts; a row whose id is null takes part, and is kept
-    only if no row of its component has an id.  An empty table gives an empty result.
+    their own and are linked by their texts; a row whose id is null takes part but is
+    never kept.  An empty table gives an empty result.  Joins on component labels are plain
+    equi-joins whose hot side adaptive execution may split.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id long, text_key long, n_shingles long, set_id binary, keys array<bigint>, signature binary, parity binary"
