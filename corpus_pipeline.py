@@ -1,8 +1,8 @@
 """A training corpus from documents: stages in order, each a function of (spark, docs, sf_dir).
 
-Every stage but the last returns the columns of ``documents``.  Rows without an id cannot be
-named by a group or a leak: they pass the stages that look at rows alone and leave at the
-near-duplicate stage, which keeps documents by id.
+Every stage but the last returns the columns of ``documents``.  Rows without an id, and rows
+that share one, are rows of their own in every stage; the near-duplicate stage tells them
+apart by their texts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldlake.llm import decontamination, mixing, toxicity
 from foldlake.llm.line_dedup import line_dedup
-from foldlake.llm.near_duplicates import near_duplicates
+from foldlake.llm.near_duplicates import one_of_each
 from foldlake.llm.queries import HELD_OUT
 from foldlake.llm.shared import crc_mod, table
 
@@ -41,12 +41,8 @@ def remove_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component of near-duplicates, by five-word shingles."""
-    kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
-    once = kept.distinct()
-    out = docs.join(once, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return (out.dropDuplicates(["doc_id"]) if repeated else out).select(*docs.columns)
+    """One document of each component of near-duplicates, by five-word shingles: that of the smallest id, null last."""
+    return one_of_each(docs, size=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

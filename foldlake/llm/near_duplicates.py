@@ -226,16 +226,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (doc_id, n_shingles, component_id, kept).
+def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame]:
+    """The sketched rows, their number, and (node, members, label, component_id, representative) of each set of shingles.
 
-    Documents whose sets of distinct ``size``-word shingles (ASCII lower case) have a Jaccard
-    similarity of at least ``percent`` / 100 are linked; component_id is the smallest id
-    reachable, and kept marks it.  A text of fewer words is one shingle; a null or wordless
-    text has no shingle, is linked with nothing and stays.  Rows with equal ids are rows of
-    their own and are linked by their texts; a row whose id is null takes part but is
-    never kept.  An empty table gives an empty result.  Joins on component labels are plain
-    equi-joins whose hot side adaptive execution may split.
+    A representative is the (doc_id, text_key) of the smallest id, null last, then the smallest key of its component.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
     schema = "doc_id long, text_key long, n_shingles long, set_id binary, keys array<bigint>, signature binary, parity binary"
@@ -279,11 +273,52 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     late = checkpointed(_confirmed(pairs, sets, percent).where("linked").select("a", "b"))
     if late.limit(1).count():
         labels = components(edges.union(late))
-    classes = nodes.select("node", "first_id", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = classes.join(smallest, "label").select(F.col("node").alias("set_id"), "component_id", "members")
+    classes = nodes.select("node", "first_id", "first", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    order = F.struct(F.col("first.doc_id").isNull(), "first.doc_id", "first.text_key")
+    smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min_by("first", order).alias("representative"))
+    return sketches, total, classes.join(smallest, "label").select("node", "members", "label", "component_id", "representative")
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (doc_id, n_shingles, component_id, kept).
+
+    Documents whose sets of distinct ``size``-word shingles (ASCII lower case) have a Jaccard
+    similarity of at least ``percent`` / 100 are linked; component_id is the smallest id
+    reachable, and kept marks it.  A text of fewer words is one shingle; a null or wordless
+    text has no shingle, is linked with nothing and stays.  Rows with equal ids are rows of
+    their own and are linked by their texts; a row whose id is null takes part but is
+    never kept.  An empty table gives an empty result.  Joins on component labels are plain
+    equi-joins whose hot side adaptive execution may split.
+    """
+    sketches, total, classes = _classes(docs, size, percent, id_col, text_col)
+    classes = classes.select(F.col("node").alias("set_id"), "component_id", "members")
     rows = sketches.select("doc_id", "n_shingles", "set_id")
     decoy = F.lpad(F.xxhash64("doc_id", "n_shingles").cast("string"), 24, "-").cast("binary")
     out = left_join_unique(rows, classes, "set_id", "members", total, decoy)
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row for each component of ``near_duplicates``, and every row without a shingle.
+
+    The row is that of the smallest id, null last, and among equal ids the one of the smallest
+    hash of its text; of rows that agree in both, the smallest by all columns.  So rows
+    without an id and rows that share an id are kept or dropped by their texts alone.
+    """
+    sketches, _, classes = _classes(docs, size, percent, id_col, text_col)
+    key = [F.col("representative.doc_id").alias("_id"), F.col("representative.text_key").alias("_key")]
+    chosen = classes.select(*key).distinct()
+    bare = sketches.where("set_id is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    copies = sketches.where("set_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count")
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_key"] == b["_key"])
+    repeated = checkpointed(chosen.join(copies, same(chosen, copies), "left_semi"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"))
+    found = repeated.limit(1).count()
+    if found:
+        chosen = chosen.join(repeated, same(chosen, repeated), "left_anti")
+    wanted = chosen.union(bare)
+    out = keyed.join(wanted, same(keyed, wanted), "left_semi").select("doc")
+    if found:
+        out = out.union(keyed.join(repeated, same(keyed, repeated), "left_semi").groupBy("_id", "_key").agg(F.min("doc").alias("doc")).select("doc"))
+    return out.select("doc.*")

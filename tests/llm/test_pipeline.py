@@ -66,3 +66,18 @@ def test_empty_documents(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, folder)
     assert docs.count() == 0
+
+
+def test_rows_without_an_own_id_are_kept_by_their_texts(spark, folder):
+    words = vocabulary(400, 33)
+    rng = random.Random(33)
+    a, b, c, d, e, f, g = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(7))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, e), (3, e), (3, f), (4, f + " more"), (5, g), (None, g), (6, g), (6, g), (None, None), (None, ""), (7, ""), (7, " ")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", None) for k, (i, t) in enumerate(rows)], DOCS)
+    out = corpus_pipeline.keep_one_of_near_duplicates(spark, docs, folder)
+    assert out.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in out.collect())
+    kept = [(None, a), (None, b), (1, c), (1, d), (2, e), (3, f), (5, g), (None, None), (None, ""), (7, ""), (7, " ")]
+    assert got == sorted((str(i), str(t)) for i, t in kept)
+    source = {r.source for r in out.where("text = '" + b + "'").collect()}
+    assert source == {"s1"}
