@@ -61,6 +61,22 @@ _CLASSES = (
 _LINE = _lut("\n\r")
 
 
+class _Spans:
+    """Sorted distinct hashes of one text over its slices; merged as they grow, so memory follows the distinct ones."""
+
+    def __init__(self) -> None:
+        self.known, self.fresh = np.zeros(0, np.uint64), []
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.fresh.append(np.unique(hashes))
+        if sum(map(len, self.fresh)) > len(self.known):
+            self.merge()
+
+    def merge(self) -> int:
+        self.known, self.fresh = np.unique(np.concatenate([self.known, *self.fresh])), []
+        return len(self.known)
+
+
 def _distinct(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
     own = W.mix(hashes + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     first = np.unique(own, return_index=True)[1]
@@ -68,7 +84,7 @@ def _distinct(row: np.ndarray, hashes: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(rows, 8 + 7) additive counts; of a text beyond one slice distinct words and lines count per slice."""
+    """(rows, 8 + 7) counts of whole texts."""
     rows = len(offsets) - 1
     out = np.zeros((rows, 15))
     for k, lut in enumerate(_CLASSES):
@@ -92,6 +108,44 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _long_counts(data: np.ndarray) -> np.ndarray:
+    """The counts of one text, slice by slice: sums, and the distinct words and lines of all its slices.
+
+    Slices end at white space, so no word is cut; a line that crosses slices is hashed as one.
+    """
+    out, words, lines = np.zeros(15), _Spans(), _Spans()
+    last = np.zeros(0, np.uint64)
+    line, reach = np.zeros(0, np.uint64), 0  # the line that is open at the end of a slice, and its bytes
+    for piece in W.chunks(data):
+        offsets = np.array([0, len(piece)])
+        for k, lut in enumerate(_CLASSES):
+            out[k] += np.count_nonzero(lut[piece])
+        sums = W.span_sums(piece)
+        starts, ends = W.bounds(piece, offsets)
+        word = W.mix(sums(starts, ends))
+        both = np.concatenate([last, word])
+        out[8] += len(word)
+        out[9] += (ends - starts).sum()
+        out[11] += np.count_nonzero(both[1:] == both[:-1])
+        words.add(word)
+        last = both[-1:]
+        starts, ends = W.bounds(piece, offsets, _LINE)
+        own, size = sums(starts, ends), ends - starts
+        if reach and len(starts) and starts[0] == 0:
+            own[0] = W.joined_sums(line, reach, own[:1])[0]
+            size[0] += reach
+        else:
+            own, size = np.concatenate([line, own]), np.concatenate([np.full(len(line), reach), size])
+        cut = len(own) - int(len(ends) and ends[-1] == len(piece))
+        line, reach = own[cut:], int(size[cut:].sum())
+        out[12] += cut
+        lines.add(W.mix(own[:cut]))
+    out[12] += len(line)
+    lines.add(W.mix(line))
+    out[10], out[13], out[14] = words.merge(), lines.merge(), len(data)
+    return out
+
+
 def _statistics(c: np.ndarray) -> np.ndarray:
     upper, lower, digits, marks, symbols, pipes, shouts, stops, words, word_bytes, distinct, repeats, lines, own_lines, size = c.T
     w, n = np.maximum(words, 1), np.maximum(size, 1)
@@ -122,8 +176,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in W.slices(offsets):
             part = data[offsets[lo] : offsets[hi]]
             if hi == lo + 1 and len(part) > W.SLICE_BYTES:
-                for piece in W.chunks(part):
-                    counts[lo] += _counts(piece, np.array([0, len(piece)]))[0]
+                counts[lo] = _long_counts(part)
             else:
                 counts[lo:hi] = _counts(part, offsets[lo : hi + 1] - offsets[lo])
         found = _statistics(counts)

@@ -88,12 +88,23 @@ def bounds(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> t
     return starts, np.flatnonzero(word & ~after) + 1
 
 
-def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """A function of start and end bytes that gives 64-bit hashes of these spans of one slice."""
+def span_sums(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of start and end bytes that gives unfinished hashes (``mix`` finishes them) of these spans of one slice."""
     power, inverse = _tables(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_CODE[data] * power[: len(data)], out=total[1:])
-    return lambda starts, ends: mix((total[ends] - total[starts]) * inverse[starts])
+    return lambda starts, ends: (total[ends] - total[starts]) * inverse[starts]
+
+
+def joined_sums(left: np.ndarray, size: int, right: np.ndarray) -> np.ndarray:
+    """The unfinished hashes of spans of ``size`` bytes followed by others."""
+    return left + right * np.uint64(pow(_BASE, size, 1 << 64))
+
+
+def span_hasher(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of start and end bytes that gives 64-bit hashes of these spans of one slice."""
+    sums = span_sums(data)
+    return lambda starts, ends: mix(sums(starts, ends))
 
 
 def window_hashes(data: np.ndarray, size: int) -> np.ndarray:

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,6 +535,23 @@ def test_quality_learns_held_out_labels(spark, odd, empty):
     assert quality.fit(docs, labels.limit(0), ~held).rules == []
 
 
+@pytest.mark.parametrize("most", [1, 7, 64, 1000])
+def test_statistics_do_not_depend_on_the_slice(monkeypatch, most):
+    rng = random.Random(12)
+    words = [*vocabulary(40, 12), "Émile", "x" * 90, "A|B!", "9.5?"]
+    block = "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "\r\n", "\t", "\n\n"]) for _ in range(300))
+    texts = [block * 5, "\n" + block, "one line of a few words " * 50, "x" * 500, "same same\nsame same\n" * 30, " ", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["__read"])
+    whole = next(quality._measure([batch])).to_pydict()
+    assert whole["distinct_line_share"][0] < 0.3
+    # a slice size is a default of these functions
+    slices, chunks = W.slices, W.chunks
+    monkeypatch.setattr(W, "SLICE_BYTES", most)
+    monkeypatch.setattr(W, "slices", lambda offsets: slices(offsets, most))
+    monkeypatch.setattr(W, "chunks", lambda data: chunks(data, most))
+    assert next(quality._measure([batch])).to_pydict() == whole
+
+
 def test_rules_as_columns_equal_rules_as_python(spark):
     docs, labels = labelled(spark, 200)
     model = quality.fit(docs, labels, F.lit(True))
