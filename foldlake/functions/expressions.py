@@ -90,6 +90,20 @@ def unpack_index(packed: Column) -> Column:
     return F.shiftright(packed, 1).bitwiseAND(F.lit(255)).cast("int")
 
 
+def piece_key(label: Column, number: Column, span: int) -> Column:
+    """One long for piece ``number`` of a chain: label * span + number below ``span``, every further ``span`` pieces 2**40 higher.
+
+    No two pieces share a key while abs(label) * span stays under 2**39.
+    """
+    label, number = label.cast("long"), number.cast("long")
+    return label * span + number % span + F.floor(number / span) * F.lit(1 << 40)
+
+
+def next_piece(key: Column, span: int) -> Column:
+    """The ``piece_key`` of the following piece of the chain."""
+    return F.when(F.pmod(key - F.shiftright(key + F.lit(1 << 39), 40) * F.lit(1 << 40), F.lit(span)) < span - 1, key + 1).otherwise(key + F.lit((1 << 40) - span + 1))
+
+
 def cluster_path(cluster: Column, fanout: int = 256) -> Column:
     """Two lower-case hex digits of cluster / fanout, then the cluster."""
     return F.concat(F.lpad(F.lower(F.hex(F.floor(cluster / fanout))), 2, "0"), F.lit("/"), cluster.cast("string"))

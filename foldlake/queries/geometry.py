@@ -120,7 +120,7 @@ def score_field(spark, d):
 
 
 def _pieces(spark, d):
-    return _trace(spark, d).select((F.col("label") * 100 + F.floor(F.col("i") / 240)).cast("int").alias("chain"), (F.col("i") % 240).cast("int").alias("i"), *"xyz")
+    return _trace(spark, d).select(X.piece_key(F.col("label"), F.floor(F.col("i") / 240), 100).alias("chain"), (F.col("i") % 240).cast("int").alias("i"), *"xyz")
 
 
 def domain_parse(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as X
 from ..operators import align as A
 from ..operators import embed as E
 from ..operators import geometry as G
@@ -14,10 +15,13 @@ from ..sources import structures as T
 from ..streaming import verdicts as V
 
 
+SPAN = 1000
+
+
 def _pieces(spark, d, size=60):
     """The traced chains in pieces of ``size`` residues: (piece, i, x, y, z)."""
     points = trace(table(spark, d, "embeddings"))
-    return points.select((F.col("label") * 1000 + F.floor(F.col("i") / size)).cast("int").alias("piece"), (F.col("i") % size).cast("int").alias("i"), *"xyz")
+    return points.select(X.piece_key(F.col("label"), F.floor(F.col("i") / size), SPAN).alias("piece"), (F.col("i") % size).cast("int").alias("i"), *"xyz")
 
 
 def _text(rows, line, head="", tail=""):
@@ -47,7 +51,7 @@ def _cif(spark, d):
 
 
 def _residue_rows(rows):
-    return rows.select(F.col("structure_id").cast("int").alias("piece"), "i", F.col("seq").cast("int").alias("seq"), *[F.round(c, 3).alias(c) for c in "xyz"])
+    return rows.select(F.col("structure_id").cast("long").alias("piece"), "i", F.col("seq").cast("int").alias("seq"), *[F.round(c, 3).alias(c) for c in "xyz"])
 
 
 def pdb_roundtrip(spark, d):
@@ -59,8 +63,8 @@ def mmcif_roundtrip(spark, d):
 
 
 def mixed_formats(spark, d):
-    texts = _pdb(spark, d).where("cast(structure_id as int) < 5000").unionByName(_cif(spark, d).where("cast(structure_id as int) >= 5000"))
-    return T.residues(texts).groupBy(F.col("structure_id").cast("int").alias("piece")).agg(F.count("*").alias("n"))
+    texts = _pdb(spark, d).where("cast(structure_id as long) < 5000").unionByName(_cif(spark, d).where("cast(structure_id as long) >= 5000"))
+    return T.residues(texts).groupBy(F.col("structure_id").cast("long").alias("piece")).agg(F.count("*").alias("n"))
 
 
 def longest_chain(spark, d):
@@ -127,7 +131,8 @@ def cp_align_pairs(spark, d):
 def verify_filter(spark, d):
     points = _pieces(spark, d)
     chains = A.packed_chains(points, "piece")
-    pairs = chains.select("piece", F.col("xyz").alias("query")).join(chains.select((F.col("piece") - 1).alias("piece"), F.col("xyz").alias("target")), "piece", "left")
+    queries = chains.select("piece", X.next_piece(F.col("piece"), SPAN).alias("next"), F.col("xyz").alias("query"))
+    pairs = queries.join(chains.select(F.col("piece").alias("next"), F.col("xyz").alias("target")), "next", "left").select("piece", "query", "target")
     return A.verified(A.scored_pairs(pairs, "piece", fast=True)).select("piece", F.round("verdict", 3).alias("verdict"))
 
 

@@ -155,3 +155,20 @@ def test_sql_functions_equal_columns(spark):
     for name, f in (("search_scale", X.search_scale), ("final_scale", X.final_scale), ("score_cutoff", X.score_cutoff)):
         assert df.where(F.abs(F.expr(f"{name}(n)") - f(F.col("n"))) > 1e-12).count() == 0
     assert spark.sql("select similarity(0.5D), half_up(-0.5D), is_permutation_candidate(0.95D, 0.5D), field_value(0D, 2D)").first()[:] == (0.75, 0, True, 255)
+
+
+def test_pieces_of_long_chains_have_keys_of_their_own(spark, tmp_path):
+    from foldlake.functions import expressions as X
+    from foldlake.queries import geometry, structures
+
+    label = F.when(F.col("id") < 2900, 0).otherwise(1)
+    rows = spark.range(2905).select(F.col("id").alias("vec_id"), label.alias("label"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.sin(k * 7 + F.col("id"))).alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    for found, key, size in ((geometry._pieces(spark, str(tmp_path)), "chain", 240), (structures._pieces(spark, str(tmp_path)), "piece", 60)):
+        counts = found.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct("i").alias("own")).collect()
+        assert len(counts) == -(-2900 * 21 // size) + -(-5 * 21 // size) and all(r.n == r.own <= size for r in counts)
+    numbers = spark.range(-3, 3).select(F.col("id").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(2100))).alias("k"))
+    key = lambda k: X.piece_key(F.col("label"), k, 1000)
+    assert numbers.where(X.next_piece(key(F.col("k")), 1000) != key(F.col("k") + 1)).count() == 0
+    assert numbers.select(key(F.col("k")).alias("key")).distinct().count() == numbers.count()
+    assert numbers.where((F.col("k") < 1000) & (key(F.col("k")) != F.col("label") * 1000 + F.col("k"))).count() == 0
