@@ -121,13 +121,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hasher(data)(starts, ends)
 
 
-def chunks(data: np.ndarray, most: int = SLICE_BYTES, gaps: np.ndarray = SPACE) -> Iterator[np.ndarray]:
-    """A long text in pieces that begin at a byte in ``gaps``."""
-    lo = 0
+def chunks(data: np.ndarray, most: int = SLICE_BYTES, gaps: np.ndarray = SPACE, behind: bool = False) -> Iterator[np.ndarray]:
+    """A long text in pieces that begin at a byte in ``gaps``, or right ``behind`` one."""
+    lo, back = 0, int(behind)
     while lo < len(data):
-        hi = min(lo + most, len(data))
-        while hi < len(data) and not gaps[data[hi]]:
-            gap = np.flatnonzero(gaps[data[hi : hi + most]])
+        hi = min(lo + max(most, back + 1), len(data))
+        while hi < len(data) and not gaps[data[hi - back]]:
+            gap = np.flatnonzero(gaps[data[hi - back : hi - back + most]])
             hi = hi + int(gap[0]) if len(gap) else min(hi + most, len(data))
         yield data[lo:hi]
         lo = hi
