@@ -1,10 +1,9 @@
 """Secrets in texts: fixed patterns, and character Markov models of what a key looks like.
 
-Patterns give three kinds of span.  Beyond these, tokens of ``SHORTEST`` or more key
-characters that mix letters and digits are scored by two first-order character Markov
-models, one of random strings and one of ordinary identifiers; a token whose mean
-log-likelihood ratio exceeds ``RATIO`` a character is a span of kind "markov", unless it
-overlaps a pattern's span.
+Patterns give three kinds of span.  Beyond these, tokens of 16 or more key characters are
+scored whole by two first-order character Markov models, one of random strings and one of
+ordinary identifiers; a token whose mean log-likelihood ratio exceeds ``RATIO`` a character is
+a span of kind "markov", unless it overlaps a pattern's span.
 
 Everything is DataFrame functions.  The position of a match comes from the lengths of the
 pieces that ``split`` leaves between the matches of ``regexp_extract_all``.  The models are
@@ -19,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import fields, whole
+
 # The patterns of the contract.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -28,8 +29,8 @@ ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
 LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 
-SHORTEST, RATIO, SMOOTH = 16, 0.35, 0.5
-TOKEN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])(?=[0-9+/_=-]{0,64}[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+RATIO, SMOOTH = 0.7, 0.5
+TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
 
 # Parts of ordinary identifiers, for the labelled sample.
@@ -42,21 +43,43 @@ PARTS = (
     " filter sort group sum average minimum maximum random hash cache queue stack thread process task job batch stream event message"
     " http https www com org net html json xml csv utf page2 v2 v1 sha256 md5 base64 x86 64bit 2020 2021 2022 2023 2024 10 100 1000"
 ).split()
+ALPHABETS = (
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-",
+    "abcdefghijklmnopqrstuvwxyz0123456789",
+    "0123456789abcdef",
+)
+
 
+def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
+    """(text, random): strings of random characters over several alphabets, and ordinary tokens.
 
-def labelled_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """(text, random): strings of random key characters, and identifiers joined from ordinary parts."""
+    Ordinary are identifiers in several styles, paths, rules of one character, numbers and dates.
+    """
     ids = spark.range(rows)
-    digest = F.sha2(F.concat(F.lit("sample"), F.col("id").cast("string")), 256)
-    base64 = F.base64(F.unhex(digest))
-    strings = ids.select(F.when(F.col("id") % 4 == 0, F.substring(digest, 1, 40)).when(F.col("id") % 4 == 1, F.upper(F.substring(base64, 1, 24))).otherwise(F.substring(base64, 1, 40)).alias("text"), F.lit(True).alias("random"))
+    pick = lambda n, *k: F.pmod(F.xxhash64("id", *[F.lit(x) if isinstance(x, int) else x for x in k]), F.lit(n))
+    alphabet = F.element_at(F.array(*[F.lit(x) for x in ALPHABETS]), (F.col("id") % len(ALPHABETS) + 1).cast("int"))
+    drawn = lambda i: F.substr(alphabet, (F.pmod(F.xxhash64("id", i), F.length(alphabet)) + 1).cast("int"), F.lit(1))
+    strings = ids.select(F.array_join(F.transform(F.sequence(F.lit(1), (pick(29, 0) + 20).cast("int")), drawn), "").alias("text"), F.lit(True).alias("random"))
     parts = F.array(*[F.lit(p) for p in PARTS])
-    part = lambda k: F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
-    snake = F.concat_ws("_", part(1), part(2), part(3), part(4))
-    camel = F.concat(part(1), F.initcap(part(2)), F.initcap(part(3)), part(5))
-    route = F.concat_ws("/", part(1), part(2), part(3), part(4))
-    dashed = F.concat_ws("-", part(1), part(2), part(6), part(7))
-    plain = ids.select(F.when(F.col("id") % 4 == 0, snake).when(F.col("id") % 4 == 1, camel).when(F.col("id") % 4 == 2, route).otherwise(dashed).alias("text"), F.lit(False).alias("random"))
+    part = lambda k: F.element_at(parts, (pick(len(PARTS), k) + 1).cast("int"))
+    words = [part(k) for k in range(1, 5)]
+    styles = [
+        F.concat_ws("_", *words),
+        F.concat_ws("_", *[F.upper(w) for w in words]),
+        F.concat(words[0], *[F.initcap(w) for w in words[1:]]),
+        F.concat(*[F.initcap(w) for w in words]),
+        F.concat_ws("/", *words),
+        F.concat_ws("-", *words),
+        F.concat(*words),
+        F.concat(F.concat_ws("/", *words[:3]), F.lit("-"), pick(10_000, 9).cast("string")),
+        F.repeat(F.element_at(F.split(F.lit("- = _ + / x 0 a"), " "), (pick(8, 10) + 1).cast("int")), 24),
+        F.concat_ws("-", (pick(80, 11) + 1950).cast("string"), F.lpad((pick(12, 12) + 1).cast("string"), 2, "0"), F.lpad((pick(28, 13) + 1).cast("string"), 2, "0"), words[0], words[1]),
+    ]
+    style = F.col("id") % len(styles)
+    plain = ids.select(F.coalesce(*[F.when(style == k, x) for k, x in enumerate(styles)]).alias("text"), F.lit(False).alias("random"))
     return strings.union(plain)
 
 
@@ -85,6 +108,10 @@ def fit(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
     return out
 
 
+#: Matches of one text that are placed in one go; the work on a text grows with its matches times this.
+TOGETHER = 128
+
+
 def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """Array of (start, end, kind, value) of the matches of ``pattern``; value is the group's text."""
     whole, value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
@@ -99,7 +126,16 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0)
 
     parts = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("match"), value.alias("value"))
     parts = F.transform(parts, lambda p: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), p["value"].alias("value")))
-    found = F.aggregate(parts, none, step, lambda acc: acc["out"])
+    # runs of TOGETHER matches from their own starts, and then each run moved by the length of those before
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / TOGETHER).cast("int")), lambda k: F.aggregate(F.slice(parts, k * TOGETHER + 1, F.lit(TOGETHER)), none, step))
+    zero = F.array(F.lit(0))
+    origins = F.aggregate(runs, zero, lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+    moved = F.zip_with(
+        runs,
+        F.slice(origins, F.lit(1), F.size(runs)),
+        lambda r, at: F.transform(r["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))),
+    )
+    found = F.flatten(moved)
     return F.filter(found, lambda s: F.length(s["value"]) >= least) if least else found
 
 
@@ -124,8 +160,7 @@ def secrets(docs: DataFrame, model: list[float], ratio: float = RATIO) -> DataFr
     def of(pattern: str, kind: str, probe: str, group: int = 0, least: int = 0) -> Column:
         return F.when(text.rlike(probe), spans(text, pattern, kind, group, least)).otherwise(nothing)
 
-    names = [c for c in docs.columns if c != "_spans"]
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), "text")
+    out = docs.select(whole(docs), "text")
     out = out.withColumn("_assign", of(ASSIGN, "assign", ASSIGN, 2, ASSIGN_CHARS))
     out = out.withColumn("_access", of(LONG_ACCESS, "access", LONG_ACCESS)).withColumn("_hex", of(LONG_HEX, "hex", LONG_HEX))
     out = out.withColumn("_base", F.concat("_assign", "_access", "_hex"))
@@ -137,7 +172,7 @@ def secrets(docs: DataFrame, model: list[float], ratio: float = RATIO) -> DataFr
     place = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
     ordered = F.array_sort(F.transform(F.concat("_base", random), lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
     ordered = F.transform(ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")))
-    return out.select(*[F.col(f"doc.`{c}`").alias(c) for c in names], ordered.alias("_spans"))
+    return out.select(*fields(docs, without=("_spans",)), ordered.alias("_spans"))
 
 
 def joined(found: Column) -> Column:
