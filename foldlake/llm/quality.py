@@ -4,8 +4,9 @@ Boosted trees of depth ``DEPTH`` over text statistics give their paths as conjun
 a lasso-penalised logistic regression keeps a few of them, and the kept rules become one
 Spark column expression over the statistics.
 
-Statistics are taken over whole texts in Arrow batches.  Fitting reads at most ``SAMPLE``
-labelled rows' statistics (a fixed number of doubles each), the first by a hash of the id.
+Statistics are taken over whole texts in Arrow batches.  Fitting learns from at most
+``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of their text, the first by a hash of the id;
+what reaches the driver is their statistics, a fixed number of doubles each.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .shared import labelled_sample
 
-SAMPLE = 8000
+SAMPLE, SAMPLE_BYTES = 8000, 256 << 20
 TREES, DEPTH, BINS = 40, 3, 32
 PENALTY = 0.002
 
@@ -240,22 +242,16 @@ def _grow(binned: np.ndarray, edges: list[np.ndarray], pull: np.ndarray, weight:
     return nodes, step
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE) -> Ensemble:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Ensemble:
     """Rules learned from ``labels`` (doc_id, quality) on the rows where ``train`` (over doc_id) holds.
 
-    Rows with a null label or id are left out, a repeated id counts once with its smallest
-    label.  Without labels of both kinds every score is 0.5.
+    Rows with a null label or id are left out, a repeated id counts with its smallest label,
+    once for each of its different texts.  Without labels of both kinds every score is 0.5.
     """
-    chosen = (
-        labels.where(train & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id")
-        .limit(sample)
-    )
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "quality").toPandas()
+    chosen = labelled_sample(docs, labels, train, F.min("quality"), sample, most_bytes, 9)
+    rows = statistics(chosen, "label").toPandas()
     rows = rows.sort_values(list(rows.columns), ignore_index=True)
-    y, x = rows["quality"].to_numpy(dtype=np.float64), rows[list(STATISTICS)].to_numpy()
+    y, x = rows["label"].to_numpy(dtype=np.float64), rows[list(STATISTICS)].to_numpy()
     if not 0 < y.sum() < len(y):
         return Ensemble(0.0, [])
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
