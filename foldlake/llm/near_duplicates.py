@@ -14,8 +14,14 @@
    one round emits the best pairs that would join different texts (a spanning forest, at
    most one pair per node and list); another emits every remaining pair between different
    components, so no link between components is lost.
-   Lists longer than ``BLOCK`` are cut into blocks; in the last round the texts outside a
-   list's largest component meet all of its blocks.
+   Lists longer than ``BLOCK`` are cut into blocks.  In the last round the texts of a list's
+   largest component and those outside are dealt into groups; a cell of the grid of groups
+   holds two of them, and a pair of texts is compared in the one cell that owns it.
+
+Sets are held as 64-bit hashes of shingles and named by 128 bits of them; shingles are not
+compared letter by letter, so two unlike ones are taken for one with a chance of 2**-64.
+Hubs, labels of large components, keys of long lists and texts of many copies are hot keys:
+they join by ``left_join_unique`` or, where sets travel, by numbered copies of the set.
 """
 
 from __future__ import annotations
@@ -30,12 +36,14 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import checkpointed, left_join_unique, narrowed
+from .shared import checkpointed, fields, left_join_unique, narrowed, whole
 
 COORDS, JOINED = 48, 3
 MATCHES = 25
 PARITY_BITS = 1024
 BLOCK = 1024
+#: Pairs that one copy of a set answers.
+PAIRS = 256
 
 _rng = np.random.default_rng(4242)
 _XOR = _rng.integers(0, 1 << 32, COORDS, dtype=np.uint32)
@@ -113,13 +121,16 @@ def _sketch(size: int):
 
 
 def _pairs(percent: int, forest: bool):
-    """Candidate pairs of each posting list; rows come sorted by (key, block)."""
+    """Candidate pairs of each posting list; rows come sorted by (key, block).
+
+    Texts of one side are compared with those of the other; where all have side 0, with each other.
+    """
 
     def of(table: pa.Table) -> pa.RecordBatch:
         key = np.stack([table.column("key").to_numpy(), table.column("block").to_numpy()])
         node = table.column("node").to_pylist()
         label = np.unique(np.array(table.column("label").to_pylist(), dtype=object), return_inverse=True)[1]
-        n = table.column("n").to_numpy()
+        n, side = table.column("n").to_numpy(), table.column("side").to_numpy()
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
         bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), dtype=np.uint64).reshape(-1, PARITY_BITS // 64)
         left, right, rank = [], [], []
@@ -133,7 +144,7 @@ def _pairs(percent: int, forest: bool):
             alive = i[same]
             i, j = alive, alive + step
             small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (label[i] != label[j]) & (100 * small >= percent * large)
+            ok = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (100 * small >= percent * large)
             i, j = i[ok], j[ok]
             for lo in range(0, len(i), 20000):
                 a, b = i[lo : lo + 20000], j[lo : lo + 20000]
@@ -215,17 +226,52 @@ def _full_sets(pairs: DataFrame, nodes: DataFrame, base: DataFrame, known: DataF
     return found if known is None else known.union(found)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """``pairs`` with the set of the node in the column ``end``.
+
+    A hub's set comes in numbered copies, one for about PAIRS of its pairs, so none is a hot key.
+    """
+    degrees = pairs.groupBy(end).agg(F.count("*").alias("_degree"))
+    own = sets.select(F.col("node").alias(end), F.col("shingles").alias(name))
+    if (degrees.agg(F.max("_degree")).first()[0] or 0) <= PAIRS:
+        return pairs.join(own, end)
+    copies = degrees.select(end, "_degree", F.ceil(F.col("_degree") / PAIRS).alias("_copies"))
+    other = "b" if end == "a" else "a"
+    dealt = left_join_unique(pairs, copies, end, "_degree", pairs.count()).withColumn("_copy", F.pmod(F.xxhash64(other), F.col("_copies")))
+    own = own.join(copies, end).withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))).select(end, "_copy", name)
+    return dealt.join(own, [end, "_copy"]).drop("_degree", "_copies", "_copy")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, linked) decided on full sets."""
-    both = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        .withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    )
+    both = _with_sets(_with_sets(pairs, sets, "a", "sa"), sets, "b", "sb").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     union = F.size("sa") + F.size("sb") - F.col("common")
     return both.select("a", "b", (100 * F.col("common") >= percent * union).alias("linked"))
 
 
+def _cells(at: DataFrame) -> DataFrame:
+    """Rows of long lists in the cells of their list: block is the cell, side tells its two groups apart.
+
+    Texts outside the main component are cut into groups of about BLOCK, and so are those in it.
+    A cell holds two groups: two of those outside, or one outside and one of the main
+    component.  Pairs inside a group outside meet in that group's own cell, of side 0 only.
+    A list of at most BLOCK texts is one cell, of side 0.
+    """
+    groups = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
+    out_groups, main_groups = groups(F.col("outside")), groups(F.col("rows") - F.col("outside"))
+    out = F.col("out") == 1
+    group = F.pmod(F.xxhash64("node", "key"), F.when(out, out_groups).otherwise(main_groups))
+    cell = lambda kind, a, b, side: F.struct((F.lit(kind << 60) + F.shiftleft(a, 30) + b).alias("block"), side.cast("long").alias("side"))
+    one, two = F.lit(1), F.lit(2)
+    among = F.transform(F.sequence(F.lit(0).cast("long"), out_groups - 1), lambda g: cell(1, F.least(F.col("_group"), g), F.greatest(F.col("_group"), g), F.when(g == F.col("_group"), 0).when(g < F.col("_group"), 1).otherwise(2)))
+    toward = F.transform(F.sequence(F.lit(0).cast("long"), main_groups - 1), lambda g: cell(2, F.col("_group"), g, one))
+    against = F.transform(F.sequence(F.lit(0).cast("long"), out_groups - 1), lambda g: cell(2, g, F.col("_group"), two))
+    small = F.array(F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("side")))
+    cells = F.when(F.col("rows") <= BLOCK, small).when(out, F.concat(among, toward)).otherwise(against)
+    at = at.withColumn("_group", group).withColumn("_cell", F.explode(cells))
+    return at.withColumn("block", F.col("_cell.block")).withColumn("side", F.col("_cell.side"))
+
+
 def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame]:
     """The sketched rows, their number, and (node, members, label, component_id, representative) of each set of shingles.
 
@@ -241,33 +287,37 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
             F.min("doc_id").alias("first_id"), F.min_by(F.struct("doc_id", "text_key"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first"), F.count("*").alias("members"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("signature").alias("signature"), F.first("parity").alias("parity")
         )
     )
+    kinds = nodes.count()
     posts = nodes.select("node", F.explode("keys").alias("key"))
     lists = posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    posts = posts.join(lists, "key").join(nodes.select("node", "n", "signature", "parity"), "node")
-    posts = checkpointed(posts)
+    posts = left_join_unique(posts, lists, "key", "length", kinds * (COORDS // JOINED)).where("length is not null")
+    posts = checkpointed(posts.join(nodes.select("node", "n", "signature", "parity"), "node"))
     shared = posts.count()
     posts = narrowed(posts, shared, 5_000)
-    blocks = F.ceil(F.col("length") / BLOCK)
 
     def listed(at: DataFrame, forest: bool) -> DataFrame:
-        rows = at.select("key", "block", "node", "label", "n", "signature", "parity").repartition("key", "block").sortWithinPartitions("key", "block", "node")
+        rows = at.select("key", "block", "side", "node", "label", "n", "signature", "parity").repartition("key", "block").sortWithinPartitions("key", "block", "node")
         found = rows.mapInArrow(_pairs(percent, forest), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return found.distinct()
 
-    own = F.pmod(F.xxhash64("node", "key"), blocks)
-    pairs = checkpointed(narrowed(listed(posts.withColumn("label", F.col("node")).withColumn("block", own), True), shared))
+    zero = F.lit(0).cast("long")
+    own = F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("length") / BLOCK))
+    pairs = checkpointed(narrowed(listed(posts.withColumn("label", F.col("node")).withColumn("side", zero).withColumn("block", own), True), shared))
     sets = _full_sets(pairs, nodes, base, None, size)
     decided = checkpointed(_confirmed(pairs, sets, percent))
     edges = decided.where("linked").select("a", "b")
     labels = components(edges)
     # what is left: every pair between different components that meet in a list
     weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
-    at = posts.join(labels.join(weights, "label"), "node", "left")
+    labelled = left_join_unique(labels, weights, "label", "weight", kinds)
+    at = posts.join(labelled, "node", "left")
     at = at.withColumn("label", F.coalesce("label", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
-    mixed = at.groupBy("key").agg(F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    at = at.join(mixed.where("lo != hi").select("key", "main"), "key")
-    everywhere = F.sequence(F.lit(0).cast("long"), blocks - 1)
-    at = at.withColumn("block", F.explode(F.when((blocks == 1) | (F.col("label") == F.col("main")), F.array(own)).otherwise(everywhere)))
+    mains = at.groupBy("key").agg(F.max("length").alias("rows"), F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    at = left_join_unique(at, mains.where("lo != hi").select("key", "rows", "main"), "key", "rows", shared).where("main is not null")
+    at = at.withColumn("out", (F.col("label") != F.col("main")).cast("long"))
+    outside = at.groupBy("key").agg(F.max("rows").alias("_rows"), F.sum("out").alias("outside"))
+    at = left_join_unique(at, outside, "key", "_rows", shared)
+    at = _cells(at)
     pairs = checkpointed(narrowed(listed(at, False).join(decided.select("a", "b"), ["a", "b"], "left_anti"), shared))
     sets = _full_sets(pairs, nodes, base, sets, size)
     late = checkpointed(_confirmed(pairs, sets, percent).where("linked").select("a", "b"))
@@ -275,8 +325,9 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
         labels = components(edges.union(late))
     classes = nodes.select("node", "first_id", "first", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("first.doc_id").isNull(), "first.doc_id", "first.text_key")
-    smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min_by("first", order).alias("representative"))
-    return sketches, total, classes.join(smallest, "label").select("node", "members", "label", "component_id", "representative")
+    smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min_by("first", order).alias("representative"), F.count("*").alias("kinds"))
+    classes = left_join_unique(classes, smallest, "label", "kinds", kinds)
+    return sketches, total, classes.select("node", "members", "label", "component_id", "representative")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,14 +338,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80, id_col: s
     reachable, and kept marks it.  A text of fewer words is one shingle; a null or wordless
     text has no shingle, is linked with nothing and stays.  Rows with equal ids are rows of
     their own and are linked by their texts; a row whose id is null takes part but is
-    never kept.  An empty table gives an empty result.  Joins on component labels are plain
-    equi-joins whose hot side adaptive execution may split.
+    never kept.  An empty table gives an empty result.
     """
     sketches, total, classes = _classes(docs, size, percent, id_col, text_col)
     classes = classes.select(F.col("node").alias("set_id"), "component_id", "members")
     rows = sketches.select("doc_id", "n_shingles", "set_id")
-    decoy = F.lpad(F.xxhash64("doc_id", "n_shingles").cast("string"), 24, "-").cast("binary")
-    out = left_join_unique(rows, classes, "set_id", "members", total, decoy)
+    out = left_join_unique(rows, classes, "set_id", "members", total)
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
@@ -306,19 +355,15 @@ def one_of_each(docs: DataFrame, size: int = 4, percent: int = 80, id_col: str =
     hash of its text; of rows that agree in both, the smallest by all columns.  So rows
     without an id and rows that share an id are kept or dropped by their texts alone.
     """
-    sketches, _, classes = _classes(docs, size, percent, id_col, text_col)
-    key = [F.col("representative.doc_id").alias("_id"), F.col("representative.text_key").alias("_key")]
-    chosen = classes.select(*key).distinct()
-    bare = sketches.where("set_id is null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    copies = sketches.where("set_id is not null").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).count().where("count > 1").drop("count")
-    same = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_key"] == b["_key"])
-    repeated = checkpointed(chosen.join(copies, same(chosen, copies), "left_semi"))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"))
-    found = repeated.limit(1).count()
-    if found:
-        chosen = chosen.join(repeated, same(chosen, repeated), "left_anti")
-    wanted = chosen.union(bare)
-    out = keyed.join(wanted, same(keyed, wanted), "left_semi").select("doc")
-    if found:
-        out = out.union(keyed.join(repeated, same(keyed, repeated), "left_semi").groupBy("_id", "_key").agg(F.min("doc").alias("doc")).select("doc"))
-    return out.select("doc.*")
+    sketches, total, classes = _classes(docs, size, percent, id_col, text_col)
+    key = lambda i, k: F.struct(i.isNull().alias("none"), F.coalesce(i, F.lit(0)).alias("id"), k.alias("key"))
+    per_key = sketches.select(key(F.col("doc_id"), F.col("text_key")).alias("_own"), F.col("set_id").isNull().alias("_bare")).groupBy("_own", "_bare").agg(F.count("*").alias("_n"))
+    chosen = classes.select(key(F.col("representative.doc_id"), F.col("representative.text_key")).alias("_own")).distinct()
+    wanted = checkpointed(per_key.where("_bare").unionByName(per_key.where("not _bare").join(chosen, "_own", "left_semi")))
+    keyed = docs.select(whole(docs), key(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`"))).alias("_own"))
+    found = left_join_unique(keyed, wanted, "_own", "_n", total).where("_n is not null")
+    several = ~F.col("_bare") & (F.col("_n") > 1)
+    out = found.where(~several).select("doc")
+    if wanted.where(several).limit(1).count():
+        out = out.union(found.where(several).groupBy("_own").agg(F.min("doc").alias("doc")).select("doc"))
+    return out.select(*fields(docs))
