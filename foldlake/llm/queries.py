@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import decontamination, language_model, licenses, mixing, quality, secrets, topk, toxicity
 from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
-from .shared import crc_mod, table
+from .shared import checkpointed, crc_mod, table
 
 #: Of the ids, every HELD_OUT-th by crc32 is never learned from.
 HELD_OUT = 5
@@ -82,8 +82,8 @@ FROM documents AS d LEFT JOIN kept AS k ON d.doc_id = k.doc_id
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of 150 % of all words takes."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
-    drawn = mixing.plan(docs, F.col("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
+    drawn = mixing.plan(checkpointed(docs), F.col("size"), F.col("mark"))
     return drawn.select("doc.doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("size") * F.size("shards")).cast("long").alias("taken"))
 
 
