@@ -5,34 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, left_join_unique, narrowed
+from .shared import checkpointed, narrowed
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the smallest node reachable.
 
     Each turn takes the smallest label among a node's neighbours and then the label of that
-    label, so chains shorten by half; it stops when no label changes.  Hubs and the labels of
-    large components are hot keys and join by ``left_join_unique``.  An empty edge table gives
-    an empty result; repeated edges and loops change nothing.
+    label, so chains shorten by half; it stops when no label changes.  Rows are two ids wide;
+    adaptive execution splits the side of a hub or of a large component's label.  An empty
+    edge table gives an empty result; repeated edges and loops change nothing.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
     both = checkpointed(both)
     rows = both.count()
     both = narrowed(both, rows)
-    labels = both.groupBy("a").agg(F.min("b").alias("b"), F.count("*").alias("degree")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"), "degree")
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
     labels = checkpointed(narrowed(labels, rows))
-    nodes = labels.count()
     for _ in range(most):
-        seen = left_join_unique(both, labels.select(F.col("node").alias("b"), "label", "degree"), "b", "degree", rows)
-        near = narrowed(seen, rows).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", "label", "degree", F.least("label", "near").alias("low"))
-        low = checkpointed(narrowed(low, rows))
-        parent = low.groupBy("low").agg(F.count("*").alias("members")).join(labels.select(F.col("node").alias("low"), F.col("label").alias("up")), "low")
-        turned = left_join_unique(low, parent, "low", "members", nodes)
-        turned = turned.select("node", F.least("low", "up").alias("label"), "degree", (F.least("low", "up") != F.col("label")).alias("moved"))
+        near = narrowed(both.join(labels, both["b"] == labels["node"]), rows).groupBy("a").agg(F.min("label").alias("near"))
+        low = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
+        parent = labels.select(F.col("node").alias("p"), F.col("label").alias("up"))
+        turned = narrowed(low, rows).join(parent, low["low"] == parent["p"])
+        turned = turned.select("node", F.least("low", "up").alias("label"), (F.least("low", "up") != F.col("label")).alias("moved"))
         turned = checkpointed(narrowed(turned, rows))
-        labels = turned.drop("moved")
+        labels = turned.select("node", "label")
         if not turned.where("moved").limit(1).count():
-            return labels.select("node", "label")
+            return labels
     raise RuntimeError(f"no fixed point after {most} turns")

@@ -20,8 +20,8 @@
 
 Sets are held as 64-bit hashes of shingles and named by 128 bits of them; shingles are not
 compared letter by letter, so two unlike ones are taken for one with a chance of 2**-64.
-Hubs, labels of large components, keys of long lists and texts of many copies are hot keys:
-they join by ``left_join_unique`` or, where sets travel, by numbered copies of the set.
+Labels of large components, keys of long lists and texts of many copies are hot keys: they
+join by ``left_join_unique``, and the sets of hubs by numbered copies of the set.
 """
 
 from __future__ import annotations
@@ -312,11 +312,11 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     labelled = left_join_unique(labels, weights, "label", "weight", kinds)
     at = posts.join(labelled, "node", "left")
     at = at.withColumn("label", F.coalesce("label", "node")).withColumn("weight", F.coalesce("weight", F.lit(1)))
-    mains = at.groupBy("key").agg(F.max("length").alias("rows"), F.max_by("label", F.struct("weight", "label")).alias("main"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-    at = left_join_unique(at, mains.where("lo != hi").select("key", "rows", "main"), "key", "rows", shared).where("main is not null")
+    own_rows = at.groupBy("key", "label").agg(F.count("*").alias("own"), F.max("weight").alias("weight"))
+    rank = F.struct("weight", "label")
+    mains = own_rows.groupBy("key").agg(F.sum("own").alias("rows"), F.max_by("label", rank).alias("main"), (F.sum("own") - F.max_by("own", rank)).alias("outside"))
+    at = left_join_unique(at, mains.where("outside > 0"), "key", "rows", shared).where("main is not null")
     at = at.withColumn("out", (F.col("label") != F.col("main")).cast("long"))
-    outside = at.groupBy("key").agg(F.max("rows").alias("_rows"), F.sum("out").alias("outside"))
-    at = left_join_unique(at, outside, "key", "_rows", shared)
     at = _cells(at)
     pairs = checkpointed(narrowed(listed(at, False).join(decided.select("a", "b"), ["a", "b"], "left_anti"), shared))
     sets = _full_sets(pairs, nodes, base, sets, size)
