@@ -20,18 +20,20 @@ def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = """
-WITH parts AS (
-  SELECT vec_id, i, CAST(floor(256 * CAST(embedding[i] AS DOUBLE)) AS BIGINT) AS x
-  FROM embeddings, range(1, 65) AS t(i)
+WITH good AS (
+  SELECT row_number() OVER () AS r, vec_id, len(embedding) AS n, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ),
+parts AS (SELECT r, vec_id, n, unnest(v) AS x, unnest(generate_series(1, n)) AS i FROM good),
 scores AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
-  FROM parts AS q JOIN parts AS d ON q.i = d.i
-  WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id
-  GROUP BY q.vec_id, d.vec_id
+  SELECT q.r, q.vec_id AS query_id, d.vec_id AS vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS score
+  FROM parts AS q JOIN parts AS d ON q.i = d.i AND q.n = d.n
+  WHERE q.vec_id % 50 = 0 AND q.r <> d.r
+  GROUP BY q.r, q.vec_id, d.r, d.vec_id
 ),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
@@ -56,9 +58,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH lines AS (
-  SELECT doc_id, source, i, trim(l[i], ' ' || chr(9) || chr(13)) AS line
-  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents) AS s, range(1, 200001) AS t(i)
-  WHERE i <= len(l)
+  SELECT doc_id, source, i, trim(x, ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, source, unnest(l) AS x, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents) AS s) AS t
 ),
 bad AS (
   SELECT line, min(doc_id) AS first_id FROM lines WHERE line <> ''
@@ -97,7 +98,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ),
 sets AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM words, range(1, 200001) AS t(i) WHERE len(w) > 0 AND i <= greatest(len(w) - 3, 1)
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM words WHERE len(w) > 0) AS t
 ),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets AS a JOIN sets AS b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),

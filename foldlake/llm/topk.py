@@ -1,16 +1,22 @@
 """Exact top-k by inner product with block-at-a-time pruning.
 
-Vectors are documents and their components are terms.  Documents are put in an order that
-brings like vectors together and cut into ranges of ``BLOCK`` documents.  A block keeps the
-largest and the smallest value of every term, and its forward index: the rows of values.
-For a query the term maxima, summed with its own values, bound every score in the block.
-Blocks are scored in the order of their bounds until a bound falls below the query's k-th
-score; a bound that ties with it matters only while a smaller id may be in the block.
-
-The stated queries meet all rows on a grid of (lane of blocks, group of queries): a task sees
-at most ``LANE_ROWS`` rows and ``GROUP_ROWS`` queries.  The first bar of each query comes from
-a sample of at most ``SAMPLE`` rows, whose broadcast size is thereby fixed; it only saves
-work, as any k rows bound the k-th score from below.
+Vectors are documents and their components are terms.
+
+1. Order.  Each vector goes to the nearest of ``PIVOTS`` sampled ones, and rows are sorted by
+   their two nearest pivots and cut into ranges of ``BLOCK`` documents.  A block keeps the
+   largest and the smallest value of every term, and its forward index: the rows of values.
+   The first bar of a query is its k-th score in its own block, where its likes are.
+2. Bounds.  For a query the term maxima, summed with its own values, bound every score in a
+   block.  Bounds meet queries on a grid of lanes of blocks and groups of queries; no forward
+   index travels.  A block is alive for a group if its bound reaches the bar of a query there.
+3. Scores.  The forward indexes of living blocks, and queries, go to the cells that have any.
+   There blocks are scored in the order of their bounds until a bound falls below the query's
+   k-th score; a bound that ties with it matters only while a smaller id may be in the block.
+
+A task sees at most ``LANE_BLOCKS`` blocks and about ``GROUP_ROWS`` queries.  Pivots only save
+work: whatever they are, the result is exact.  How much is saved depends on the vectors, and
+``pruning`` measures it: where terms are spread alike over all vectors, as in noise of many
+dimensions, no sum of term maxima falls below a k-th score, and every pair is scored.
 """
 
 from __future__ import annotations
@@ -25,61 +31,125 @@ from pyspark.sql import functions as F
 
 from .shared import checkpointed
 
-BLOCK = 128
-LANE_ROWS = 8192
+BLOCK = 32
+LANE_BLOCKS = 256
 GROUP_ROWS = 4096
-SAMPLE = 2048
+PIVOTS = 512
+_PLACES = 8  # bits for the place in a block
+EXACT = 1 << 53
 
 
 def integers(vectors: DataFrame, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, values): floor(scale * x) of each component as a double.
 
     Rows whose id or vector is null or empty, or holds a null or non-finite component, are left
-    out; of rows with one id that with the least vector stays.  Vectors not of the commonest
-    length (of equals the shortest) are left out too, as no product is defined for them.
+    out.  Rows that share an id stay rows of their own.
     """
     whole = F.transform(vector_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
     bad = F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~bad
-    rows = vectors.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("values"))
-    rows = rows.groupBy("vec_id").agg(F.min("values").alias("values"))
-    lengths = rows.groupBy(F.size("values").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(1)
-    return rows.join(F.broadcast(lengths), F.size("values") == F.col("length")).select("vec_id", "values")
+    return vectors.where(fit).select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("values"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(len(column), -1)
+
+
+def _fitting(*parts: np.ndarray) -> type:
+    """The type in which all inner products of rows of ``parts`` are exact."""
+    most = [max((int(p.max(initial=0)), -int(p.min(initial=0)))) for p in parts]
+    limit = max(most) ** 2 * parts[0].shape[1]
+    if limit >= 1 << 63:
+        raise ValueError("inner products exceed 63 bits")
+    return np.float64 if limit < EXACT else np.int64
 
 
-def _blocks(lanes: int):
-    """Rows in document order to blocks: (lane, ids, values) as raw int64 and float64."""
+def _nearest(pivots: np.ndarray):
+    """(vec_id, values, query) with length and the two pivots of the largest cosine; rows of another length have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-9)
+        for batch in batches:
+            values = batch.column(1)
+            length = np.diff(values.offsets.to_numpy())
+            first, second = np.full(len(length), -1), np.full(len(length), -1)
+            own = np.flatnonzero(length == pivots.shape[1])
+            if len(own):
+                scores = _matrix(values.take(pa.array(own))).astype(np.float64) @ unit.T
+                first[own] = scores.argmax(axis=1)
+                scores[np.arange(len(own)), first[own]] = -np.inf
+                second[own] = scores.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(length.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(second.astype(np.int32))], [*batch.schema.names, "length", "first", "second"])
+
+    return run
+
+
+def kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row, or the least value where there are fewer."""
+    least = np.iinfo(np.int64).min if scores.dtype == np.int64 else -np.inf
+    return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.full(len(scores), least)
+
+
+def _blocks(k: int):
+    """Rows in order to blocks (block, length, ids, rows, most, least), with the places and the bars of the queries in them."""
+    names = ["block", "length", "ids", "rows", "most", "least", "places", "bars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
-        ids, rows = np.zeros(0, np.int64), None
+        held: list[tuple[int, np.ndarray, bool]] = []
 
-        def cut(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal ids, rows, n
-            while len(ids) >= BLOCK or last and len(ids):
-                lane = (part * 7919 + n) % lanes
-                n += 1
-                yield pa.RecordBatch.from_arrays([pa.array([lane]), pa.array([ids[:BLOCK].tobytes()]), pa.array([rows[:BLOCK].tobytes()])], ["lane", "ids", "rows"])
-                ids, rows = ids[BLOCK:], rows[BLOCK:]
+        def cut() -> pa.RecordBatch:
+            nonlocal n
+            ids, rows = np.array([h[0] for h in held], np.int64), np.stack([h[1] for h in held])
+            places = np.flatnonzero([h[2] for h in held])
+            kind = _fitting(rows)
+            scores = rows[places].astype(kind) @ rows.astype(kind).T
+            own = np.ones(scores.shape, dtype=bool)
+            own[np.arange(len(places)), places] = False
+            bars = kth(scores[own].reshape(len(places), -1), k) if len(places) else np.zeros(0)
+            bars = np.where(bars <= np.iinfo(np.int64).min, np.iinfo(np.int64).min, bars).astype(np.int64)
+            parts = [ids, rows, rows.max(axis=0), rows.min(axis=0), places, bars]
+            block = (part << 32) + n
+            n += 1
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([rows.shape[1]], pa.int32()), *(pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in parts)], names)
 
         for batch in batches:
-            if batch.num_rows:
-                ids = np.concatenate([ids, batch.column(0).to_numpy()])
-                rows = _matrix(batch.column(1)) if rows is None else np.concatenate([rows, _matrix(batch.column(1))])
-                yield from cut(False)
-        yield from cut(True)
+            query = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, values, q in zip(batch.column(0).to_numpy(), batch.column(1), query, strict=True):
+                row = values.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                if held and (len(held) == BLOCK or len(row) != len(held[0][1])):
+                    yield cut()
+                held.append((int(i), row, bool(q)))
+        if held:
+            yield cut()
 
     return run
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks to their queries: (query, query_id, length, values, bar); query is the row's own number."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for row in batch.to_pylist():
+            ids, places, bars = (np.frombuffer(row[c], np.int64) for c in ("ids", "places", "bars"))
+            values = np.frombuffer(row["rows"], np.int64).reshape(len(ids), -1)
+            for p, bar in zip(places, bars, strict=True):
+                for x, y in zip(out, ((row["block"] << _PLACES) + int(p), int(ids[p]), row["length"], values[p].tobytes(), int(bar)), strict=True):
+                    x.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["query", "query_id", "length", "values", "bar"])
+
+
+def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The summed term maxima of each (query, block)."""
+    kind = _fitting(queries, most, least)
+    q = queries.astype(kind)
+    return np.maximum(q, 0) @ most.astype(kind).T + np.minimum(q, 0) @ least.astype(kind).T
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k largest scores of one query, ties to the smaller id."""
     if len(scores) > 4 * k:
@@ -90,89 +160,118 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return scores[order], ids[order]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, bars: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
-    """Each query's best (scores, ids) among ``blocks``, and how many (query, block) pairs were scored."""
-    most = np.stack([rows.max(axis=0) for _, rows in blocks])
-    least = np.stack([rows.min(axis=0) for _, rows in blocks])
-    first = np.array([ids.min() for ids, _ in blocks])
-    limits = np.maximum(queries, 0) @ most.T + np.minimum(queries, 0) @ least.T
+def search(queries: np.ndarray, own: np.ndarray, bars: np.ndarray, blocks: list[tuple[int, np.ndarray, np.ndarray]], k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Each query's best (scores, ids) among ``blocks`` (number, ids, rows), and how many (query, block) pairs were scored.
+
+    ``own`` are the numbers of the queries' own rows, which are left out.
+    """
+    most, least = np.stack([rows.max(axis=0) for _, _, rows in blocks]), np.stack([rows.min(axis=0) for _, _, rows in blocks])
+    first = np.array([ids.min() for _, ids, _ in blocks])
+    kind = _fitting(queries, most, least)
+    limits, q_values = bounds(queries, most, least).astype(kind), queries.astype(kind)
     order = np.argsort(-limits, axis=1, kind="stable")
-    found = [(np.zeros(0), np.zeros(0, np.int64)) for _ in queries]
-    kth = bars.astype(np.float64).copy()
-    kth_id = np.full(len(queries), np.iinfo(np.int64).max)
+    found = [(np.zeros(0, kind), np.zeros(0, np.int64)) for _ in queries]
+    bar = bars.astype(kind)
+    bar_id = np.full(len(queries), np.iinfo(np.int64).max)
     alive, scored = np.arange(len(queries)), 0
     for turn in range(len(blocks)):
         at = order[alive, turn]
         limit = limits[alive, at]
-        ok = limit >= kth[alive]  # bounds only fall from here on
+        ok = limit >= bar[alive]  # bounds only fall from here on
         alive, at, limit = alive[ok], at[ok], limit[ok]
         if not len(alive):
             break
-        tied = (limit == kth[alive]) & (first[at] > kth_id[alive])
+        tied = (limit == bar[alive]) & (first[at] > bar_id[alive])
         for b in np.unique(at[~tied]):
             q = alive[(at == b) & ~tied]
-            ids, rows = blocks[b]
-            scores = queries[q] @ rows.T
+            number, ids, rows = blocks[b]
+            scores = q_values[q] @ rows.astype(kind).T
             scored += len(q)
-            worth = (scores >= kth[q][:, None]).any(axis=1)
-            for j in np.flatnonzero(worth):
+            mine = (np.int64(number) << _PLACES) + np.arange(len(ids))
+            for j in np.flatnonzero((scores >= bar[q][:, None]).any(axis=1)):
                 i = q[j]
-                keep = (scores[j] >= kth[i]) & (ids != query_ids[i])
+                keep = (scores[j] >= bar[i]) & (mine != own[i])
                 s, x = best(np.concatenate([found[i][0], scores[j][keep]]), np.concatenate([found[i][1], ids[keep]]), k)
                 found[i] = (s, x)
-                if len(s) == k and s[-1] >= kth[i]:
-                    kth[i], kth_id[i] = s[-1], x[-1]
+                if len(s) == k and s[-1] >= bar[i]:
+                    bar[i], bar_id[i] = s[-1], x[-1]
     return found, scored
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, **columns) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its ``k`` best other rows by inner product.
+def _numbers(column: pd.Series, shape: tuple[int, ...] = (-1,)) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64).reshape(shape) for x in column]
 
-    ``is_query`` is a condition on vec_id.  Values are those of ``integers``, whose scores are
-    exact in doubles up to 2**53.  Ties go to the smaller vec_id; a query with fewer than k
-    other rows has them all; without rows or queries the result is empty.
-    """
-    rows = checkpointed(integers(vectors, **columns))
+
+def _searched(vectors: DataFrame, is_query: Column, k: int, **columns) -> tuple[DataFrame, int]:
+    """(query, query_id, vec_id, score, scored): the best of each cell, and on a row of its own the pairs it scored; and all pairs."""
+    rows = checkpointed(integers(vectors, **columns).withColumn("query", F.coalesce(is_query, F.lit(False))))
     total = rows.count()
-    lanes = max(1, -(-total // LANE_ROWS))
-    # like vectors together: the strongest terms first
-    strength = F.transform("values", lambda x: F.abs(x))
-    lead = F.array_position(strength, F.array_max(strength)).cast("long")
-    place = F.struct(F.when(F.element_at("values", lead.cast("int")) < 0, -lead).otherwise(lead).alias("lead"), F.transform(F.slice("values", 1, 8), lambda x: x >= 0).alias("signs"), "vec_id")
-    ordered = rows.withColumn("_place", place).repartitionByRange(max(1, min(lanes, 4096)), "_place").sortWithinPartitions("_place")
-    blocks = ordered.select("vec_id", "values").mapInArrow(_blocks(lanes), "lane long, ids binary, rows binary")
-    queries = rows.where(is_query)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    spark = vectors.sparkSession
-    seeds = spark.sparkContext.broadcast((sample.column("vec_id").to_numpy(), _matrix(sample.column("values")), k))
-
-    def barred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, values, k = seeds.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            own, q = batch.column(0).to_numpy(), _matrix(batch.column(1))
-            scores = np.where(own[:, None] == ids[None, :], -np.inf, q @ values.T)
-            bar = np.partition(scores, -k, axis=1)[:, -k] if len(ids) >= k else np.full(len(own), -np.inf)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bar)], ["vec_id", "values", "bar"])
-
-    barred_queries = queries.select("vec_id", "values").mapInArrow(barred, "vec_id long, values array<bigint>, bar double")
-    groups = max(1, -(-queries.count() // GROUP_ROWS))
-    barred_queries = barred_queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)))
-    left = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    right = barred_queries.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    lengths = rows.groupBy(F.size("values").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").limit(1)
+    sample = rows.join(F.broadcast(lengths), F.size("values") == F.col("length")).orderBy(F.xxhash64("vec_id"), "vec_id", "values").limit(PIVOTS).select("values").toArrow()
+    pivots = _matrix(sample.column("values").combine_chunks()).astype(np.float64) if sample.num_rows else np.zeros((0, 0))
+    lanes = max(1, -(-total // (LANE_BLOCKS * BLOCK)))
+    near = rows.mapInArrow(_nearest(pivots), "vec_id long, values array<bigint>, query boolean, length int, first int, second int")
+    place = ["length", "first", "second", "vec_id", "values"]
+    ranges = min(lanes, 4096)
+    ordered = near.repartitionByRange(ranges, *place).sortWithinPartitions(*place).select("vec_id", "values", "query")
+    binary = ", ".join(f"{c} binary" for c in ("ids", "rows", "most", "least", "places", "bars"))
+    blocks = checkpointed(ordered.mapInArrow(_blocks(k), f"block long, length int, {binary}"))
+    # lanes are blocks that follow each other, groups the queries of ranges that do
+    lane = (F.shiftright("block", 32) * F.lit(1 << 32) + F.floor(F.col("block").bitwiseAND(F.lit((1 << 32) - 1)) / LANE_BLOCKS)).alias("lane")
+    blocks = blocks.select("*", lane)
+    queries = checkpointed(blocks.where(F.octet_length("places") > 0).select("block", "length", "ids", "rows", "places", "bars").mapInArrow(_asked, "query long, query_id long, length int, values binary, bar long"))
+    asked = queries.count()
+    groups = max(1, -(-asked // GROUP_ROWS))
+    queries = queries.withColumn("part", F.floor(F.shiftright("query", 32 + _PLACES) * groups / ranges))
+    # lanes and groups are few and known by length; every lane meets every group of its length
+    all_lanes = blocks.select("length", "lane").distinct().groupBy("length").agg(F.collect_list("lane").alias("lanes"))
+    all_parts = queries.select("length", "part").distinct().groupBy("length").agg(F.collect_list("part").alias("parts"))
+    summaries = blocks.select("length", "lane", "block", "most", "least").join(F.broadcast(all_parts), "length").withColumn("part", F.explode("parts")).drop("parts")
+    to_all = queries.join(F.broadcast(all_lanes), "length").withColumn("lane", F.explode("lanes")).drop("lanes")
+
+    def living(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(b) or not len(q):
+            return pd.DataFrame({"length": [], "lane": [], "part": [], "block": []}).astype("int64")
+        limits = bounds(np.stack(_numbers(q["values"])), np.stack(_numbers(b["most"])), np.stack(_numbers(b["least"])))
+        some = (limits >= q["bar"].to_numpy()[:, None]).any(axis=0)
+        return b.loc[some, ["length", "lane", "part", "block"]]
+
+    alive = checkpointed(summaries.groupBy("length", "lane", "part").cogroup(to_all.groupBy("length", "lane", "part")).applyInPandas(living, "length int, lane long, part long, block long"))
+    sent = alive.join(blocks.select("block", "ids", "rows"), "block")
+    met = queries.join(alive.select(*[F.col(c).alias(c) for c in ("length", "lane", "part")]).distinct(), ["length", "part"])
 
     def cell(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        width = len(q["values"].iloc[0])
-        parts = [(np.frombuffer(i, np.int64), np.frombuffer(r, np.float64).reshape(-1, width)) for i, r in zip(b["ids"], b["rows"], strict=True)]
-        own = q["vec_id"].to_numpy()
-        found, _ = search(np.stack(q["values"].to_numpy()).astype(np.float64), own, q["bar"].to_numpy(), parts, k)
+            return pd.DataFrame({c: [] for c in ("query", "query_id", "vec_id", "score", "scored")}).astype("Int64")
+        values = np.stack(_numbers(q["values"]))
+        b = b.sort_values("block")
+        parts = [(int(n), i, r) for n, i, r in zip(b["block"], _numbers(b["ids"]), _numbers(b["rows"], (-1, values.shape[1])), strict=True)]
+        own = q["query"].to_numpy()
+        found, scored = search(values, own, q["bar"].to_numpy(), parts, k)
         n = [len(s) for s, _ in found]
-        score = np.concatenate([s for s, _ in found]).astype(np.int64)
-        return pd.DataFrame({"query_id": np.repeat(own, n), "vec_id": np.concatenate([x for _, x in found]), "score": score})
+        column = lambda *x: pd.array(np.concatenate(x).astype(np.int64), dtype="Int64")
+        out = pd.DataFrame({"query": column(np.repeat(own, n)), "query_id": column(np.repeat(q["query_id"].to_numpy(), n)), "vec_id": column(*(x for _, x in found)), "score": column(*(s for s, _ in found))})
+        return pd.concat([out, pd.DataFrame({"scored": pd.array([scored], dtype="Int64")})], ignore_index=True)[["query", "query_id", "vec_id", "score", "scored"]]
+
+    cells = sent.groupBy("length", "lane", "part").cogroup(met.groupBy("length", "lane", "part")).applyInPandas(cell, "query long, query_id long, vec_id long, score long, scored long")
+    return cells, asked * blocks.count()
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, **columns) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each query row its ``k`` best other rows by inner product.
+
+    ``is_query`` is a condition on vec_id.  Values are those of ``integers``; scores are exact,
+    and those beyond 63 bits an error.  Only vectors of one length have a product.  Ties go to
+    the smaller vec_id; a query with fewer than k other rows has them all.  A row that repeats
+    an id is a candidate and, if asked for, a query of its own.  Without rows or queries the
+    result is empty.
+    """
+    cells, _ = _searched(vectors, is_query, k, **columns)
+    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return cells.where("query is not null").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
-    cells = left.groupBy("lane", "part").cogroup(right.groupBy("lane", "part")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return cells.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def pruning(vectors: DataFrame, is_query: Column, k: int = 5, **columns) -> tuple[int, int]:
+    """How many (query, block) pairs are scored, and how many there are."""
+    cells, pairs = _searched(vectors, is_query, k, **columns)
+    return cells.agg(F.coalesce(F.sum("scored"), F.lit(0))).first()[0], pairs
