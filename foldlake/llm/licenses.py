@@ -9,10 +9,11 @@ to ``CONTAINMENT`` has a known floor.  Bands of one MinHash coordinate each, as
 floor needs for a collision probability of ``COLLISION``, retrieve (window, template) pairs.
 
 A retrieved template is then placed exactly in its text.  A span runs from one of the
-template's shingles to another and is no longer than an occurrence may be; it holds the share
-of the template's distinct shingles that lie in it.  Of the spans that hold ``CONTAINMENT``
-the fullest is a place, of equals the shortest, then the first; the next place is sought
-among the spans that overlap none before.  So each of several adjacent notices has its place.
+template's shingles to another that it does not hold before, and is no longer than an
+occurrence may be; it holds the share of the template's distinct shingles that lie in it.  Of
+the spans that hold ``CONTAINMENT`` the fullest is a place, of equals the one nearest to the
+template's length, then the first; the next place is sought among the spans that overlap none
+before.  So each of several adjacent notices has its place.
 
 The templates are a fixed, short list that travels with the task; documents are read in
 place, whole, and nothing is shuffled.
@@ -139,6 +140,7 @@ class Group:
 
     names: list[str]
     sets: list[np.ndarray]
+    own: list[int]
     longest: list[int]
     window: int
     stride: int
@@ -171,7 +173,7 @@ def groups(templates: dict[str, str], size: int = SHINGLE, share: float = CONTAI
         common = math.ceil(share * shortest)
         bands = bands_for(common / (window + shortest - common), probability)
         minima = np.array([[_coordinate((s >> np.uint64(32)).astype(np.uint32), i).min() for s in (x[2] for x in part)] for i in range(bands)], dtype=np.uint32)
-        out.append(Group([x[1] for x in part], [x[2] for x in part], most, window, stride, bands, minima))
+        out.append(Group([x[1] for x in part], [x[2] for x in part], [x[0] for x in part], most, window, stride, bands, minima))
     return out
 
 
@@ -187,10 +189,10 @@ def _window_minima(values: np.ndarray, window: int, stride: int) -> np.ndarray:
     return low[::stride]
 
 
-def places(at: np.ndarray, kind: np.ndarray, need: float, longest: int) -> list[tuple[int, int, int]]:
+def places(at: np.ndarray, kind: np.ndarray, need: float, own: int, longest: int) -> list[tuple[int, int, int]]:
     """(first, last, held) of one template: ``at`` are the ascending shingles that it has, ``kind`` which of its own each is.
 
-    ``held`` is the number of kinds from first to last, at least ``need``; spans have at most ``longest`` shingles.
+    ``held`` is the number of kinds from first to last, at least ``need``; the template has ``own`` shingles, spans at most ``longest``.
     """
     n = len(at)
     before = np.full(n, -1, dtype=np.int64)  # where the same kind was last
@@ -199,19 +201,18 @@ def places(at: np.ndarray, kind: np.ndarray, need: float, longest: int) -> list[
     before[order[1:][again]] = at[order[:-1][again]]
     reach = np.searchsorted(at, at + longest)  # the hits behind the longest span from each
 
-    def best(i: int, stop: int) -> tuple[int, int, int] | None:
+    def best(i: int, stop: int) -> tuple[int, int, int, int] | None:
         new = np.flatnonzero(before[i:stop] < at[i])
-        return (-len(new), int(at[i + new[-1]] - at[i]), i) if len(new) >= need else None
+        return (-len(new), abs(int(at[i + new[-1]] - at[i]) + 1 - own), i, int(at[i + new[-1]])) if len(new) >= need else None
 
     heap = [x for i in range(n) if reach[i] - i >= need and (x := best(i, int(reach[i])))]
     heapq.heapify(heap)
     firsts, lasts, out = [], [], []
     while heap:
-        held, length, i = heapq.heappop(heap)
+        held, _, i, last = heapq.heappop(heap)
         k = bisect.bisect_right(firsts, at[i])
         if k and lasts[k - 1] >= at[i]:
             continue
-        last = int(at[i]) + length
         if k < len(firsts) and firsts[k] <= last:  # what is left of it before the next place
             left = best(i, int(np.searchsorted(at, firsts[k])))
             if left:
@@ -245,7 +246,7 @@ def _matches(hashes: np.ndarray, offsets: np.ndarray, parts: list[Group], share:
             at = np.flatnonzero(g.sets[t][kind] == own)
             need = share * len(g.sets[t])
             if len(at) >= need:
-                out += [(row, g.names[t], first, last, held / len(g.sets[t])) for first, last, held in places(at, kind[at], need, g.longest[t])]
+                out += [(row, g.names[t], first, last, held / len(g.sets[t])) for first, last, held in places(at, kind[at], need, g.own[t], g.longest[t])]
     return out
 
 
