@@ -150,7 +150,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     place = np.full(BUCKETS, -1, dtype=np.int64)
     place[best] = np.arange(len(best))
     rows = chosen.mapInArrow(_examples(place), "label int, plain long, sentence array<int>, feature array<int>")
-    rows = rows.orderBy("label", "plain", "sentence", "feature").toArrow()
+    rows = rows.toArrow()
+    order = sorted(range(rows.num_rows), key=lambda k: [rows.column(c)[k].as_py() for c in rows.column_names])
+    rows = rows.take(order)
     label, plain = (rows.column(c).to_numpy().astype(np.float64) for c in ("label", "plain"))
     lengths = pa.compute.list_value_length(rows.column("feature")).to_numpy()
     feature, number = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("feature", "sentence"))
