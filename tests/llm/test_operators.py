@@ -103,12 +103,12 @@ def brute_top(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("lane", [8192, 16])
+@pytest.mark.parametrize("lane", [256, 2])
 def test_top_k_equals_brute_force_with_ties(spark, monkeypatch, lane):
-    monkeypatch.setattr(topk, "LANE_ROWS", lane)
+    monkeypatch.setattr(topk, "LANE_BLOCKS", lane)
     monkeypatch.setattr(topk, "BLOCK", 8)
-    monkeypatch.setattr(topk, "GROUP_ROWS", lane)
-    monkeypatch.setattr(topk, "SAMPLE", 10)
+    monkeypatch.setattr(topk, "GROUP_ROWS", 16 * lane)
+    monkeypatch.setattr(topk, "PIVOTS", 10)
     rng = np.random.default_rng(0)
     vectors = {i: rng.integers(-3, 4, 6).tolist() for i in range(90)} | {i: [1, 1, 1, 1, 1, 1] for i in range(90, 140)}
     df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in vectors.items()], "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
@@ -117,18 +117,35 @@ def test_top_k_equals_brute_force_with_ties(spark, monkeypatch, lane):
 
 
 def test_top_k_odd_rows(spark):
-    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (None, [1.0, 1.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [])]
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, None), (None, [1.0, 1.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, []), (8, [3.0]), (0, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 256 * 128 + 512 * 128)]
+    half, whole = 256 * 128 + 512 * 128, 256 * 128
+    want = [(0, 1, 1, half), (0, 2, 1, half), (0, 3, 0, 256 * 256), (0, 1, 0, 256 * 256), (0, 2, 1, whole), (0, 3, 1, whole), (6, 1, 8, 768 * 256)]
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id").isin(0, 6)).collect()) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(df, F.col("vec_id") == 99).count() == 0
 
 
+def test_top_k_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(0, 1, (20, 16))
+    rows = [(i, (centers[i % 20] + rng.normal(0, 0.02, 16)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scored, pairs = topk.pruning(df, F.col("vec_id") % 20 == 0)
+    assert 0 < scored < 0.5 * pairs
+
+
+def test_search_is_exact_beyond_doubles():
+    rows = np.array([[1 << 29, 1], [1 << 29, 2], [1 << 29, 0]])
+    found, _ = topk.search(np.array([[1 << 30, 1]]), np.array([-1]), np.array([np.iinfo(np.int64).min]), [(0, np.arange(3), rows)], 2)
+    assert found[0][0].tolist() == [(1 << 59) + 2, (1 << 59) + 1] and found[0][1].tolist() == [1, 0]
+
+
 def test_pruning_skips_blocks():
     rng = np.random.default_rng(1)
-    blocks = [(np.arange(64) + 64 * b, rng.normal(10 * (b == 3), 1, (64, 8)).round()) for b in range(8)]
-    queries = np.full((4, 8), 5.0)
-    found, scored = topk.search(queries, np.array([-1] * 4), np.full(4, -np.inf), blocks, 5)
+    blocks = [(b, np.arange(64) + 64 * b, rng.normal(10 * (b == 3), 1, (64, 8)).round().astype(np.int64)) for b in range(8)]
+    queries = np.full((4, 8), 5)
+    found, scored = topk.search(queries, np.array([-1] * 4), np.full(4, np.iinfo(np.int64).min), blocks, 5)
     assert scored < 4 * 8 and all(64 * 3 <= x < 64 * 4 for _, ids in found for x in ids)
 
 
@@ -160,6 +177,46 @@ def test_license_scan_equals_containment(spark):
         assert cut(r.text[r.l.start : r.l.end])[0] in cut(licenses.TEMPLATES[r.l.template]) or r.l.containment < 1
 
 
+def brute_places(at, kind, need, own, longest):
+    spans = []
+    for i in range(len(at)):
+        for j in range(i, len(at)):
+            if at[j] - at[i] < longest and kind[j] not in kind[i:j] and (k := len(set(kind[i : j + 1]))) >= need:
+                spans.append((-k, abs(at[j] - at[i] + 1 - own), at[i], at[j]))
+    out = []
+    for k, _, a, b in sorted(spans):
+        if all(b < x or y < a for x, y, _ in out):
+            out.append((a, b, -k))
+    return sorted(out)
+
+
+def test_license_places_equal_brute_force():
+    rng = random.Random(0)
+    for _ in range(400):
+        kinds = rng.randint(1, 8)
+        found = [x for _ in range(rng.randint(0, 9)) for x in rng.choice([list(range(kinds)), [rng.randrange(-1, kinds)] * rng.randint(1, 3)])]
+        at = np.array([i for i, x in enumerate(found) if x >= 0], dtype=np.int64)
+        kind = np.array([x for x in found if x >= 0], dtype=np.int64)
+        got = licenses.places(at, kind, 0.8 * kinds, kinds, kinds + kinds // 2)
+        assert sorted(got) == brute_places(at.tolist(), kind.tolist(), 0.8 * kinds, kinds, kinds + kinds // 2)
+
+
+def test_adjacent_notices_and_notices_with_insertions(spark):
+    rows, want = [], []
+    for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
+        rows.append((i, f"{text}\n{text}", "s"))
+        want += [(i, name, 0, len(text.rstrip(".")), 1.0), (i, name, len(text) + 1, 2 * len(text) + 1 - text.endswith("."), 1.0)]
+        words = text.split()
+        if len(words) >= 40:
+            rows.append((100 + i, " ".join([*words[: len(words) // 2], *(f"new{k}" for k in range(len(words) // 3)), *words[len(words) // 2 :]]), "s"))
+    found = licenses.scan(frame(spark, rows)).select("doc_id", F.explode("licenses").alias("l")).select("doc_id", "l.*").collect()
+    names = list(licenses.TEMPLATES)
+    assert sorted(tuple(r) for r in found if r.doc_id < 100 and r.template == names[r.doc_id]) == sorted(want)
+    for i, _, _ in rows:
+        if i >= 100:
+            assert [r.template for r in found if r.doc_id == i and r.template == names[i - 100]] == [names[i - 100]]
+
+
 def test_license_scan_odd(spark, odd, empty):
     assert licenses.scan(odd).where(F.size("licenses") > 0).count() == 0 and licenses.scan(odd).count() == 10
     assert licenses.scan(empty).count() == 0
@@ -176,58 +233,95 @@ def test_bands_reach_the_asked_probability():
 # op3
 
 
-def brute_scores(rows, strength=2.0, growth=0.9):
+def brute_scores(rows, order=3, strength=2.0, growth=0.9):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
     texts = [(i, tokens(t) + [None]) for i, t, _ in rows]
-    one, two, starts = collections.Counter(), collections.Counter(), 0
+    counts, starts = collections.Counter(), 0
     for i, w in texts:
         if not held(i):
-            one.update(w)
-            two.update(zip(["<s>", *w], w))
             starts += 1
-    n, v = sum(one.values()), len(one)
-    p0 = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+            padded = ["<s>"] * (order - 1) + w
+            counts.update(tuple(padded[e - k : e]) for e in range(order, len(padded) + 1) for k in range(1, order + 1))
+    words = [k for k in counts if len(k) == 1]
+    n, v = sum(counts[k] for k in words), len(words)
+    root = lambda w: (counts[(w,)] + 0.1) / (n + 0.1 * (v + 1))
+
+    def chance(h, w):
+        if not h:
+            return root(w)
+        uses = starts if set(h) == {"<s>"} else counts[h]
+        k = strength * max(uses, 1) ** growth
+        return (counts[(*h, w)] + k * chance(h[1:], w)) / (uses + k)
+
     out = []
     for i, w in texts:
-        base = sum(math.log10(p0(x)) for x in w)
-        score = 0.0
-        for h, x in zip(["<s>", *w], w):
-            state = starts if h == "<s>" else one[h]
-            k = strength * max(state, 1) ** growth
-            score += math.log10((two[h, x] + k * p0(x)) / (state + k))
-        out.append((str(i), held(i), len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
+        padded = ["<s>"] * (order - 1) + w
+        score = sum(math.log10(chance(tuple(padded[e : e + order - 1]), x)) for e, x in enumerate(w))
+        out.append((str(i), held(i), len(w), sum(counts[(x,)] > 0 for x in w), n, round(sum(math.log10(root(x)) for x in w), 6), round(score, 6)))
     return sorted(out)
 
 
+def test_automaton_has_states_arcs_and_failures():
+    tokens_, offsets = language_model._tokens(pa.array(["a b a b c", "a b", "zz"]))
+    grams = language_model._grams(tokens_, offsets, 3)
+    (words, number), (longer, number_longer) = language_model._distinct(grams)
+    numbers = np.concatenate([number, number_longer + len(words)]).reshape(3, -1)
+    train = np.repeat([True, True, False], np.diff(offsets))
+    counts = np.bincount(numbers.ravel(), np.tile(train, 3), minlength=len(words) + len(longer)).astype(np.int64)
+    base = (counts[: len(words)] + 0.1) / (9 + 0.1 * 5)
+    m = language_model.automaton(numbers, offsets, counts, base, 2, 2.0, 0.9)
+    a, ab, aba, bab, b = numbers[0, 0], numbers[1, 1], numbers[2, 2], numbers[2, 3], numbers[0, 1]
+    assert (m.counts[ab], m.length[ab], m.counts[aba], m.length[aba]) == (3, 2, 1, 3)
+    # an arc leads to the longest suffix that is a state, a failure arc to the state without its first word
+    assert m.target[aba] == numbers[1, 2] and m.target[bab] == ab and m.target[a] == a and m.target[numbers[0, 9]] == m.root
+    assert m.failure[ab] == b and m.failure[b] == m.root and m.failure[m.start] == m.start - 1 and m.failure[m.start - 1] == m.root
+    own = 2.0 * 3**0.9
+    assert abs(m.backoff[ab] - math.log10(own / (3 + own))) < 1e-12
+    # every word behind a state, by its arc or by failure arcs, has the probabilities of one distribution
+    known = [numbers[0, k] for k in (0, 1, 4, 5)]
+    arcs = {(ab, a): aba, (ab, numbers[0, 4]): numbers[2, 4], (ab, numbers[0, 5]): numbers[2, 8], (b, a): numbers[1, 2], (b, numbers[0, 4]): numbers[1, 4], (b, numbers[0, 5]): numbers[1, 8]}
+
+    def chance(state, word):
+        if state == m.root:
+            return 10 ** m.weight[word]
+        arc = arcs.get((state, word))
+        return 10 ** m.weight[arc] if arc is not None else 10 ** m.backoff[state] * chance(m.failure[state], word)
+
+    unknown = 10 ** (m.backoff[ab] + m.backoff[b]) * 0.1 / 9.5
+    assert abs(sum(chance(ab, w) for w in known) + unknown - 1) < 1e-9
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 512])
+def test_stretches_of_a_long_text_read_as_one(monkeypatch, stretch):
+    rng = random.Random(stretch)
+    texts = [" ".join(rng.choice("abcde") for _ in range(n)) for n in (0, 1, 6, 7, 8, 300)]
+    tokens_, offsets = language_model._tokens(pa.array(texts))
+    (words, number), (longer, number_longer) = language_model._distinct(language_model._grams(tokens_, offsets, 3))
+    numbers = np.concatenate([number, number_longer + len(words)]).reshape(3, -1)
+    counts = np.bincount(numbers.ravel(), minlength=len(words) + len(longer)) // 2
+    m = language_model.automaton(numbers, offsets, counts, np.full(len(words), 0.1), 6, 2.0, 0.9)
+    whole = m.read(numbers, offsets)
+    monkeypatch.setattr(language_model, "STRETCH", stretch)
+    assert np.array_equal(m.read(numbers, offsets), whole)
+
+
 @pytest.mark.parametrize("block", [8 << 20, 2000])
 def test_language_model_equals_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", block)
     monkeypatch.setattr(language_model, "BUCKET_BYTES", block)
+    monkeypatch.setattr(language_model, "SMALL", 0 if block == 2000 else 100)
     words = vocabulary(60, 4)
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))), "s") for i in range(150)] + [(None, "aa bb", "s"), (200, None, "s"), (3, "aa aa", "s"), (201, "\t", None)]
+    rows += [(9000, " ".join(rng.choice(words) for _ in range(40)), "s") for _ in range(60)]  # one id over many blocks
     df = cluttered(frame(spark, rows))
     found = language_model.score(df, crc_mod(F.col("doc_id"), 10) == 0).collect()
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in found) == brute_scores(rows)
 
 
-def test_language_model_sums_to_one_and_odd(spark, odd, empty):
+def test_language_model_odd(odd, empty):
     assert language_model.score(empty, F.lit(False)).count() == 0
     assert language_model.score(odd, F.col("doc_id") == 4).count() == 10
-    train = frame(spark, [(i, t, "s") for i, t in enumerate(["a b a", "b a", "a"])])
-    probe = frame(spark, [(100 + k, f"a {w}" if w else "a", "s") for k, w in enumerate(["a", "b", "never", ""])])
-    both = language_model.score(train.union(probe), F.col("doc_id") >= 100).collect()
-    score = {r.doc_id: r.score for r in both}
-    # after "a": a, b and an unknown word each followed by an end, and the end itself
-    ends = {100: "a", 101: "b", 102: None}
-    p0 = lambda c: (c + 0.1) / (9 + 0.1 * 4)
-    one = {"a": 4, "b": 2, None: 0}
-    two = {("a", 0): 3, ("b", 0): 0, (None, 0): 0}
-    strength = lambda n: 2 * max(n, 1) ** 0.9
-    end = {k: (two[w, 0] + strength(one[w]) * p0(3)) / (one[w] + strength(one[w])) for k, w in ends.items()}
-    first = (2 + strength(3) * p0(4)) / (3 + strength(3))
-    total = sum(10 ** score[k] / first / end[k] for k in ends) + 10 ** score[103] / first
-    assert abs(total - 1) < 1e-9
 
 
 # op4
