@@ -42,6 +42,18 @@ def log_closeness(v: Column, eps: float = 2e-3) -> Column:
     return F.log10(1 / F.greatest(F.lit(eps), 1 - v)) / F.log10(F.lit(1 / eps))
 
 
+def sharp_ramp(v: Column, cutoff: float, eps: float = 2e-3) -> Column:
+    """A score's tint: up to 0.28 below the cutoff and from 0.62 on above, along ``log_closeness``."""
+    p, at = log_closeness(v, eps), log_closeness(F.lit(cutoff), eps)
+    over = 0.62 + 0.38 * F.least(F.lit(1.0), (p - at) / F.greatest(F.lit(1e-6), 1 - at))
+    return F.when(p <= 0, F.lit(0.0)).when(v < cutoff, 0.28 * (p / at)).otherwise(over)
+
+
+def delta_ramp(d: Column, cutoff: float) -> Column:
+    """A difference's tint: linear up to four cutoffs, weaker below the cutoff, none unless positive."""
+    return F.when(d <= 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), d / (cutoff * 4)) * F.when(d >= cutoff, 1.0).otherwise(0.45))
+
+
 def signed(x: Column, digits: int = 2) -> Column:
     """Fixed digits with a sign, none on zero."""
     text = F.format_string(f"%.{digits}f", F.abs(x))
@@ -68,6 +80,11 @@ def field_value(d2: Column, d0: Column) -> Column:
     return half_up(255 / (1 + d2 / (d0 * d0))).cast("int")
 
 
+def cosine_value(cosine: Column) -> Column:
+    """A cosine on a byte scale, negative ones at 0."""
+    return F.when(cosine <= 0, F.lit(0)).otherwise(F.least(F.lit(255), half_up(cosine * 255))).cast("int")
+
+
 BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

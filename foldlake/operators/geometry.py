@@ -6,6 +6,7 @@ A chain is the rows of one key, numbered from 0 in ``i``, with x, y and z.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -110,24 +111,11 @@ def secondary_structure(points: DataFrame, key: str) -> DataFrame:
 def smoothed(sequence: Column) -> Column:
     """A structure string with gaps of one bridged from left to right, then lone H and E dropped.
 
-    Bridging sees its own earlier edits, so it folds over the characters; dropping does too.
+    A bridge makes three alike, so the next one can begin with its last at the earliest; and
+    dropping a lone one leaves no other lone.  Hence one pass each.
     """
-    n = F.length(sequence)
-    cell = lambda s, k: F.substring(s, k, F.lit(1))
-    put = lambda s, k, c: F.concat(F.substring(s, F.lit(1), k - 1), c, F.substring(s, k + 1, n))
-    places = lambda last: F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-
-    def bridge(s: Column, k: Column) -> Column:
-        a, b, c = cell(s, k), cell(s, k + 1), cell(s, k + 2)
-        return F.when(a.isin("H", "E") & (a == c) & (b != a), put(s, k + 1, a)).otherwise(s)
-
-    def lone(s: Column, k: Column) -> Column:
-        a = cell(s, k)
-        left = F.when(k > 1, cell(s, k - 1)).otherwise("")
-        right = F.when(k < n, cell(s, k + 1)).otherwise("")
-        return F.when(a.isin("H", "E") & (left != a) & (right != a), put(s, k, F.lit("C"))).otherwise(s)
-
-    return F.aggregate(places(n), F.aggregate(places(n - 2), sequence, bridge), lone)
+    bridged = F.regexp_replace(sequence, r"([HE])(?!\1).(?=\1)", "$1$1")
+    return F.regexp_replace(bridged, r"(?<!H)H(?!H)|(?<!E)E(?!E)", "C")
 
 
 def virtual_side(points: DataFrame, key: str, offset: float = 3.5) -> DataFrame:
@@ -201,3 +189,21 @@ def principal_axes(points: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({"axes": list(axes.reshape(-1, 9)), "spread": list(spread)})
 
     return covariance(points, key).select(key, turned("n", *names).alias("a")).select(key, "a.axes", "a.spread")
+
+
+def fields(points: DataFrame, pairs: DataFrame, key: str, value: Callable[[Column, Column], Column], *columns: str, cells: int = 480_000) -> DataFrame:
+    """(q, t, i, j, value) for each pair (q, t) of chains, at the stride that keeps its field under ``cells``.
+
+    ``value`` is of the structs of ``columns`` of either point.  Pairs meet by an equi-join on
+    the pair, so a task holds fields of that size and the result follows the pairs.
+    """
+    sizes = points.groupBy(key).agg(F.count("*").alias("_n"))
+    sized = pairs.join(sizes.select(F.col(key).alias("q"), F.col("_n").alias("_nq")), "q").join(sizes.select(F.col(key).alias("t"), F.col("_n").alias("_nt")), "t")
+    stride = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_nq").cast("double") * F.col("_nt") / cells)))
+    sized = sized.select("q", "t", stride.alias("_stride"))
+    point = points.select(F.col(key).alias("_key"), F.col("i"), F.struct(*columns).alias("_p"))
+    sides = []
+    for end, i, p in (("q", "i", "_a"), ("t", "j", "_b")):
+        own = sized.join(point, F.col(end) == F.col("_key")).where(F.col("i") % F.col("_stride") == 0)
+        sides.append(own.select("q", "t", F.col("i").alias(i), F.col("_p").alias(p)))
+    return sides[0].join(sides[1], ["q", "t"]).select("q", "t", "i", "j", value(F.col("_a"), F.col("_b")).alias("value"))

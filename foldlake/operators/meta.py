@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 
 def prefix_offsets(rows: DataFrame, at: str, size: str, block: int = 4096) -> DataFrame:
     """``rows`` with offset: the sum of ``size`` over all rows before.
@@ -41,23 +43,36 @@ def locate(rows: DataFrame, shards: DataFrame, at: str = "row", first: str = "ro
 def greedy_shards(rows: DataFrame, at: str, size: str, capacity: int) -> DataFrame:
     """``rows`` with shard: a new one begins where the next record would not fit; no record straddles two.
 
-    Each cut depends on all cuts before, so the sizes of the rows pass one task in order, as a
-    stream of batches with two numbers of state; other columns stay away and are joined back.
-    """
-
-    def cut(batches):
-        shard, used = 0, 0
-        for batch in batches:
-            shards = []
-            for s in batch["size"]:
-                if used and used + s > capacity:
-                    shard, used = shard + 1, 0
-                used += s
-                shards.append(shard)
-            yield batch[["at"]].assign(shard=shards)
+    What comes first in a shard that is still empty always fits, however large.
 
-    ordered = rows.select(F.col(at).cast("long").alias("at"), F.col(size).cast("long").alias("size")).coalesce(1).sortWithinPartitions("at")
-    return rows.join(ordered.mapInPandas(cut, "at long, shard long").withColumnRenamed("at", at), at)
+    Every row has a pointer to the row at which a shard that began with it would end, found
+    among the prefix sums.  The rows that do begin a shard are those that pointers lead to from
+    the first; each turn doubles the length of the pointers and the part of the way that is
+    known, so a million shards take twenty joins of two numbers a row.
+    """
+    own = rows.select(F.col(at).cast("long").alias("_at"), F.col(size).cast("long").alias("_size"), F.lit(1).cast("long").alias("_one"))
+    own = prefix_offsets(prefix_offsets(own, "_at", "_one").withColumnRenamed("offset", "place"), "_at", "_size")
+    own = cut(own.select("_at", "place", F.col("offset").alias("low"), (F.col("offset") + F.col("_size")).alias("high")))
+    ends = own.groupBy("high").agg(F.max("place").alias("last"))
+    ends = cut(ends.select(F.col("high").alias("row0"), "last"))
+    upto = lambda rows: F.coalesce(F.col("shard.last"), F.lit(-1)).alias(rows)
+    fits = locate(own.select("place", "low", (F.col("low") + capacity).alias("row")), ends).select("place", F.col("low").alias("row"), upto("fits"))
+    nothing = locate(fits, ends).select("place", "fits", upto("nothing"))
+    jump = cut(nothing.select("place", (F.greatest(F.col("fits"), F.col("nothing") + 1) + 1).cast("long").alias("next")))
+    total = own.count()
+    begun = own.where("place = 0").select("place")
+    reached = 1 if total else 0
+    while True:
+        begun = cut(begun.union(begun.join(jump, "place").where(F.col("next") < total).select(F.col("next").alias("place"))).distinct())
+        n = begun.count()
+        if n == reached:
+            break
+        reached = n
+        to = jump.select(F.col("place").alias("next"), F.col("next").alias("far"))
+        jump = cut(jump.join(to, "next", "left").select("place", F.coalesce("far", F.lit(total)).alias("next")))
+    first = own.join(begun.withColumn("_new", F.lit(1).cast("long")), "place", "left").select("_at", F.coalesce("_new", F.lit(0).cast("long")).alias("_new"))
+    numbered = prefix_offsets(first, "_at", "_new").select(F.col("_at").alias(at), (F.col("offset") + F.col("_new") - 1).alias("shard"))
+    return rows.join(numbered, at)
 
 
 def classify(rows: DataFrame, paths: DataFrame, names: DataFrame) -> DataFrame:

@@ -217,6 +217,45 @@ def assign_clusters(db: DataFrame, centroids: Sequence[tuple[int, Sequence[float
     return db.withColumn("cluster", nearest(vector))
 
 
+def fit_clusters(db: DataFrame, clusters: int, sample: int = 20_000, turns: int = 20, vector: str = "embedding", row: str = "vec_id") -> list[tuple[int, list[float]]]:
+    """Centroids of length 1 by spherical k-means on at most ``sample`` rows, the first by a hash of their number."""
+    rows = db.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(row), row).limit(sample).select(vector).toPandas()
+    if not len(rows):
+        return []
+    x = np.stack(rows[vector].to_numpy()).astype(np.float64)
+    c = x[:clusters].copy()
+    for _ in range(turns):
+        near = np.argmax(x @ c.T, axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(length > 0, sums / np.maximum(length, 1e-12), c)
+    return [(k, v.tolist()) for k, v in enumerate(c)]
+
+
+def probes_for(db: DataFrame, clustered: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], queries: DataFrame, k: int = 10, recall: float = 0.9, vector: str = "embedding", row: str = "vec_id") -> int:
+    """The fewest clusters to probe so that ``queries`` find the share ``recall`` of their ``k`` best rows of all."""
+    names = np.array([c for c, _ in centroids], dtype=np.int64)
+    matrix = np.array([v for _, v in centroids], dtype=np.float64).T
+
+    @F.pandas_udf("array<long>")
+    def nearest_first(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(names[np.argsort(-(np.stack(v.to_numpy()).astype(np.float64) @ matrix), axis=1, kind="stable")]))
+
+    exact = top_k_batch(db, queries, k, vector=vector, row=row)
+    order = queries.select(F.col(row).alias("query_id"), nearest_first(vector).alias("order"))
+    place = exact.join(clustered.select(row, "cluster"), row).join(order, "query_id").select(F.array_position("order", F.col("cluster")).alias("place"))
+    seen = {r["place"]: r["n"] for r in place.groupBy("place").agg(F.count("*").alias("n")).collect()}
+    total, met = sum(seen.values()), 0
+    for p in range(1, len(centroids) + 1):
+        met += seen.get(p, 0)
+        if met >= recall * total:
+            return p
+    return len(centroids)
+
+
 def probe(clustered: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], query: Sequence[float], nprobe: int) -> DataFrame:
     """The rows of the ``nprobe`` clusters nearest to the query: a filter on the partition column."""
     near = sorted(centroids, key=lambda c: (-float(np.dot(c[1], query)), c[0]))[:nprobe]

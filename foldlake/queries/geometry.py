@@ -108,15 +108,23 @@ def principal_axes(spark, d):
     return found.select("label", *[F.round(F.get("spread", F.lit(k)), 3).alias(f"s{k}") for k in range(3)])
 
 
+def _neighbours(spark, d):
+    """Pairs of a label and the next."""
+    own = table(spark, d, "embeddings").select("label").distinct()
+    return own.select(F.col("label").alias("q"), (F.col("label") + 1).alias("t")).join(own.select(F.col("label").alias("t")), "t").select("q", "t")
+
+
 def score_field(spark, d):
-    points = _trace(spark, d)
-    sizes = {r["label"]: r["n"] for r in points.where("label in (0, 1)").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    stride = max(1, int(-(-((sizes[0] * sizes[1] / 480000) ** 0.5) // 1)))
-    side = lambda k, i, s: points.where((F.col("label") == k) & (F.col("i") % stride == 0)).select(F.col("i").alias(i), *[F.col(c).alias(f"{c}{s}") for c in "xyz"])
-    d2 = sum((F.col(f"{c}0") - F.col(f"{c}1")) ** 2 for c in "xyz")
-    # two chains at a stride that keeps the field under 480,000 cells
-    field = side(0, "q", 0).crossJoin(F.broadcast(side(1, "t", 1))).select("q", "t", X.field_value(d2, F.lit(6.0)).alias("value"))
-    return field.groupBy("value").agg(F.count("*").alias("n"))
+    near = lambda a, b: X.field_value(sum((a[c] - b[c]) ** 2 for c in "xyz"), F.lit(6.0))
+    return G.fields(_trace(spark, d), _neighbours(spark, d), "label", near, *"xyz").groupBy("q", "t", "value").agg(F.count("*").alias("n"))
+
+
+def cosine_field(spark, d):
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = table(spark, d, "embeddings").select("label", place.alias("i"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = rows.withColumn("m", F.sqrt(X.dot(F.col("v"), F.col("v")))).withColumn("m", F.when(F.col("m") == 0, 1.0).otherwise(F.col("m")))
+    alike = lambda a, b: X.cosine_value(F.round(X.dot(a["v"], b["v"]) / (a["m"] * b["m"]), 9))
+    return G.fields(rows, _neighbours(spark, d), "label", alike, "v", "m").groupBy("q", "t", "value").agg(F.count("*").alias("n"))
 
 
 def _pieces(spark, d):
@@ -163,7 +171,7 @@ def domain_consensus(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     trace_contacts, contact_degree_norm, torsion_tau, pos_encoding, terminal_flags, chain_breaks, secondary_structure, ss_run_lengths, ss_smoothed, virtual_cb,
-    soft_contacts, beta_pairs, cut_profile, best_contiguous_cut, cut_score_at, rg_penalty, principal_axes_cov, principal_axes, score_field, domain_parse, domain_by_spectrum, domain_trimmed, domain_ladder,
+    soft_contacts, beta_pairs, cut_profile, best_contiguous_cut, cut_score_at, rg_penalty, principal_axes_cov, principal_axes, score_field, cosine_field, domain_parse, domain_by_spectrum, domain_trimmed, domain_ladder,
     ladder_plateaus, domain_consensus,
 )}
 
@@ -219,6 +227,12 @@ ORACLE = {
     "rg_penalty": f"""WITH {TRACE_SQL}, g AS (SELECT label, CAST(floor(i / 100) AS BIGINT) AS piece, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(x * x + y * y + z * z) AS sq FROM trace GROUP BY 1, 2)
         SELECT label, piece, n, round(greatest(1.0, sqrt(greatest(0, sq - mx * mx - my * my - mz * mz)) / (2.2 * pow(n, 0.38))), 5) AS penalty FROM g""",
     "principal_axes_cov": f"WITH {TRACE_SQL} SELECT label, count(*) AS n, {', '.join(f'round(sum({a} * {b}) - sum({a}) * sum({b}) / count(*), 2) AS {a}{b}' for a, b in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM trace GROUP BY label",
-    "score_field": f"""WITH {TRACE_SQL}, s AS (SELECT greatest(1, CAST(ceil(sqrt(CAST(count(*) FILTER (WHERE label = 0) AS DOUBLE) * count(*) FILTER (WHERE label = 1) / 480000)) AS INTEGER)) AS stride FROM trace),
-        f AS (SELECT CAST(floor(255 / (1 + ({_D2}) / 36.0) + 0.5) AS INTEGER) AS value FROM trace AS a, trace AS b, s WHERE a.label = 0 AND b.label = 1 AND a.i % stride = 0 AND b.i % stride = 0) SELECT value, count(*) AS n FROM f GROUP BY value""",
+    "score_field": f"""WITH {TRACE_SQL}, sized AS (SELECT label, count(*) AS n FROM trace GROUP BY label),
+        p AS (SELECT a.label AS q, b.label AS t, greatest(1, CAST(ceil(sqrt(CAST(a.n AS DOUBLE) * b.n / 480000)) AS INTEGER)) AS stride FROM sized AS a JOIN sized AS b ON b.label = a.label + 1),
+        f AS (SELECT q, t, CAST(floor(255 / (1 + ({_D2}) / 36.0) + 0.5) AS INTEGER) AS value FROM p JOIN trace AS a ON a.label = q AND a.i % stride = 0 JOIN trace AS b ON b.label = t AND b.i % stride = 0) SELECT q, t, value, count(*) AS n FROM f GROUP BY q, t, value""",
+    "cosine_field": """WITH r AS (SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        m AS (SELECT *, coalesce(nullif(sqrt(list_dot_product(v, v)), 0), 1) AS m FROM r), sized AS (SELECT label, count(*) AS n FROM r GROUP BY label),
+        p AS (SELECT a.label AS q, b.label AS t, greatest(1, CAST(ceil(sqrt(CAST(a.n AS DOUBLE) * b.n / 480000)) AS INTEGER)) AS stride FROM sized AS a JOIN sized AS b ON b.label = a.label + 1),
+        c AS (SELECT q, t, round(list_dot_product(a.v, b.v) / (a.m * b.m), 9) AS cosine FROM p JOIN m AS a ON a.label = q AND a.i % stride = 0 JOIN m AS b ON b.label = t AND b.i % stride = 0),
+        f AS (SELECT q, t, CAST(CASE WHEN cosine <= 0 THEN 0 ELSE least(255, floor(cosine * 255 + 0.5)) END AS INTEGER) AS value FROM c) SELECT q, t, value, count(*) AS n FROM f GROUP BY q, t, value""",
 }

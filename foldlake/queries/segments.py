@@ -188,7 +188,7 @@ def permute_chain(spark, d):
 
 def greedy_shards(spark, d):
     rows = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("s"))
-    return M.greedy_shards(rows, "p_partkey", "s", 500).groupBy("shard").agg(F.count("*").alias("n"), F.sum("s").cast("long").alias("used"))
+    return M.greedy_shards(rows, "p_partkey", "s", _SHARD).groupBy("shard").agg(F.count("*").alias("n"), F.sum("s").cast("long").alias("used"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -197,6 +197,7 @@ QUERIES = {f.__name__: f for f in (
     id_display, id_path, format_guess, sha_prefix, distance_scales, aligned_rank, path_breaks, cp_window_cut, permute_chain, greedy_shards,
 )}
 
+_SHARD = 500
 _VOTES = """
 votes AS (
   SELECT l_orderkey, l_linenumber AS i, run, CASE WHEN (l_partkey + run) % 7 = 0 THEN NULL ELSE CAST(floor(((l_partkey + run * l_suppkey) % 11) / 4.0) AS INTEGER) END AS label
@@ -259,4 +260,9 @@ ORACLE = {
         w AS (SELECT a.user_id, a.p - a.n + 1 AS cut, a.s - coalesce(b.s, 0) AS held FROM s AS a LEFT JOIN s AS b ON a.user_id = b.user_id AND b.p = a.p - a.n WHERE a.p - a.n + 1 BETWEEN 0 AND a.n - 2),
         o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY held DESC, cut) AS r FROM w) SELECT user_id, cut, CAST(held AS BIGINT) AS n_in FROM o WHERE r = 1""",
     "permute_chain": "SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 + 3) % count(*) OVER (PARTITION BY user_id) AS at FROM events",
+    "greedy_shards": f"""WITH RECURSIVE p AS (SELECT p_size AS s, row_number() OVER (ORDER BY p_partkey) AS i FROM part),
+        walk AS (SELECT i, s, CAST(0 AS BIGINT) AS shard, CAST(s AS BIGINT) AS used FROM p WHERE i = 1
+          UNION ALL SELECT p.i, p.s, CASE WHEN walk.used > 0 AND walk.used + p.s > {_SHARD} THEN walk.shard + 1 ELSE walk.shard END, CASE WHEN walk.used > 0 AND walk.used + p.s > {_SHARD} THEN p.s ELSE walk.used + p.s END
+          FROM walk JOIN p ON p.i = walk.i + 1)
+        SELECT shard, count(*) AS n, CAST(sum(s) AS BIGINT) AS used FROM walk GROUP BY shard""",
 }

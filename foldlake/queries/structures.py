@@ -106,6 +106,21 @@ def residue_contribution(spark, d):
     return found.select("piece", F.posexplode("contribution").alias("i", "v")).select("piece", "i", F.round("v", 3).alias("contribution"))
 
 
+def subset_embeddings(spark, d):
+    """Vectors of two parts of each piece, and of one that is too short, out of one pass over the piece."""
+    points = _pieces(spark, d, 120)
+    vectors = E.residue_vectors(points, "piece", E.seeded())
+    part = F.when(F.col("i") < 3, "short").when(F.col("i") < 60, "front").otherwise("back")
+    found = E.pooled(vectors, points.select("piece", "i", part.alias("part")), "piece", "part", E.seeded())
+    return found.select("piece", "part", "nres", "too_short", F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x, 3)).alias("head"))
+
+
+def contact_messages(spark, d):
+    """How much the messages of each layer weigh, by piece."""
+    norms = E.message_norms(_pieces(spark, d, 120), "piece", E.seeded())
+    return norms.groupBy("piece", "layer").agg(F.count("*").alias("n"), F.round(F.avg("norm"), 4).alias("norm"))
+
+
 def _pairs(spark, d, turn):
     """Each piece against itself, its order turned by ``turn`` residues."""
     points = _pieces(spark, d)
@@ -154,7 +169,7 @@ def newest_requests(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pdb_roundtrip, mmcif_roundtrip, mixed_formats, longest_chain, ideal_helix, coordinates_roundtrip, half_floats, embed_batch, residue_contribution,
+    pdb_roundtrip, mmcif_roundtrip, mixed_formats, longest_chain, ideal_helix, coordinates_roundtrip, half_floats, embed_batch, residue_contribution, subset_embeddings, contact_messages,
     kabsch_rmsd, tm_self, cp_align_pairs, verify_filter, event_windows, event_sliding, event_sessions, newest_requests,
 )}
 
