@@ -45,9 +45,9 @@ from .shared import checkpointed, left_join_unique
 
 ORDER = 3
 STRENGTH, GROWTH = 2.0, 0.9
-BLOCK_BYTES = 6 << 20
-BUCKET_BYTES = 8 << 20
-FLUSH_KEYS = 3_000_000
+BLOCK_BYTES = 5 << 20
+BUCKET_BYTES = 6 << 20
+FLUSH_KEYS = 2_500_000
 SPARE = 22
 STRETCH = 512
 #: Runs of ids that are broadcast at most.
@@ -91,15 +91,24 @@ def _grams(tokens: np.ndarray, offsets: np.ndarray, order: int, bits: int = 64)
     return out
 
 
+def _planes(values: np.ndarray, raw: int) -> bytes:
+    """Numbers byte plane by byte plane: the ``raw`` low ones as they are, the skewed high ones compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return planes[:raw].tobytes() + zlib.compress(planes[raw:].tobytes(), 1)
+
+
+def _unplaned(data: bytes, n: int, raw: int) -> np.ndarray:
+    planes = data[: raw * n] + zlib.decompress(data[raw * n :])
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+
+
 def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as steps, byte plane by byte plane: the high planes of small steps are zeros."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys as steps; the low four bytes of a step are as good as random."""
+    return len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=np.uint64(0)), 4)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    steps = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-    return np.cumsum(steps, dtype=np.uint64)
+    return np.cumsum(_unplaned(data[8:], int.from_bytes(data[:8], "little"), 4), dtype=np.uint64)
 
 
 def _bucket(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
@@ -137,7 +146,7 @@ def _count(order: int, buckets: int, bits: int):
                         pa.array([block] * len(rows), pa.int64()),
                         pa.array([_packed(own(words, at, b)) for b in rows], pa.binary()),
                         pa.array([_packed(own(longer, at_longer, b)) for b in rows], pa.binary()),
-                        pa.array([zlib.compress(np.concatenate([own(n_words, at, b), own(n_longer, at_longer, b)]).tobytes(), 1) for b in rows], pa.binary()),
+                        pa.array([_planes(np.concatenate([own(n_words, at, b), own(n_longer, at_longer, b)]), 0) for b in rows], pa.binary()),
                     ],
                     names,
                 )
@@ -167,7 +176,9 @@ def _answer(table: pa.Table) -> pa.Table:
     """One bucket: for each block its keys' training totals; block -1 has the bucket's training tokens and distinct words."""
     order = np.argsort(table.column("block").to_numpy(), kind="stable")
     block = table.column("block").to_numpy()[order]
-    counts = [np.frombuffer(zlib.decompress(table.column("counts")[int(k)].as_py()), dtype=np.int64) for k in order]
+    sent = [table.column("counts")[int(k)].as_py() for k in order]
+    every_key = [sum(int.from_bytes(table.column(c)[int(k)].as_py()[:8], "little") for c in ("words", "grams")) for k in order]
+    counts = [_unplaned(x, n, 0).view(np.int64) for x, n in zip(sent, every_key, strict=True)]
     parts, tokens, distinct = [], 0, 0
     sizes = None
     for name in ("words", "grams"):
@@ -191,8 +202,7 @@ def _answer(table: pa.Table) -> pa.Table:
     answers = []
     for b in named:
         both = np.concatenate([parts[0][b], parts[1][b]])
-        kind = np.uint8 if both.max(initial=0) < 256 else np.uint32 if both.max() < 1 << 32 else np.uint64
-        answers.append(np.dtype(kind).char.encode() + zlib.compress(both.astype(kind).tobytes(), 1))
+        answers.append(len(both).to_bytes(8, "little") + _planes(both, 0))
     named.append(-1)
     answers.append(np.array([tokens, distinct], dtype=np.int64).tobytes())
     bucket = table.column("bucket")[0].as_py()
@@ -200,7 +210,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 def _unanswered(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data[1:]), dtype=np.dtype(data[:1].decode())).astype(np.int64)
+    return _unplaned(data[8:], int.from_bytes(data[:8], "little"), 0).view(np.int64)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +283,7 @@ def automaton(grams: np.ndarray, offsets: np.ndarray, counts: np.ndarray, base:
     begins = np.zeros(grams.shape[1], dtype=bool)
     begins[offsets[:-1]] = True
     length = np.zeros(root + 1, dtype=np.int8)
-    context, failure = np.full(root + 1, root), np.full(root + 1, root)
+    context, failure = np.full(root + 1, root, dtype=np.int32), np.full(root + 1, root, dtype=np.int32)
     for k in range(order):
         length[grams[k]] = k + 1
         if k:
@@ -291,8 +301,8 @@ def automaton(grams: np.ndarray, offsets: np.ndarray, counts: np.ndarray, base:
         g = np.flatnonzero(length[:size] == k + 1)
         h = context[g]
         value[g] = (every[g] + own[h] * value[failure[g]]) / (every[h] + own[h])
-    number = np.arange(root + 1)
-    target = np.where(length == order, failure, np.where(every > 0, number, root))
+    number = np.arange(root + 1, dtype=np.int32)
+    target = np.where(length == order, failure, np.where(every > 0, number, np.int32(root)))
     return Automaton(every, length, np.log10(np.maximum(value, 1e-300)), target, failure, backoff, root, start if order > 1 else root)
 
 
@@ -336,7 +346,7 @@ def _traverse(order: int, bits: int, buckets: int, strength: float, growth: floa
         grams = _grams(tokens, offsets, order, bits)
         del tokens
         (words, number), (longer, number_longer) = _distinct(grams)
-        numbers = np.concatenate([number, number_longer + len(words)]).reshape(order, -1)
+        numbers = np.concatenate([number.astype(np.int32), (number_longer + len(words)).astype(np.int32)]).reshape(order, -1)
         del grams, number, number_longer
         # a bucket answers for its words and then for its longer n-grams
         counts = np.zeros(len(words) + len(longer), dtype=np.int64)
