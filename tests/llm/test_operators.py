@@ -19,11 +19,11 @@ from foldlake.llm import words as W
 from foldlake.llm.components import components
 from foldlake.llm.line_dedup import line_dedup
 from foldlake.llm.near_duplicates import near_duplicates
-from foldlake.llm.shared import crc_mod
+from foldlake.llm.shared import crc_mod, labelled_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use inside or give to their results.
-CLASHING = ["label", "leaks", "toxic_score", "offending", "licenses", "shard", "copy", "size", "target", "block", "line", "doc", "node", "_size", "_row", "_spans", "n", "homes"]
+CLASHING = ["a.b", "label", "leaks", "toxic_score", "offending", "licenses", "shard", "copy", "size", "target", "block", "line", "doc", "node", "_size", "_row", "_spans", "n", "homes"]
 
 
 def lower(text):
@@ -40,9 +40,7 @@ def frame(spark, rows):
 
 
 def cluttered(docs):
-    for c in CLASHING:
-        docs = docs.withColumn(c, F.lit(7))
-    return docs
+    return docs.select("*", *[F.lit(7).alias(c) for c in CLASHING])
 
 
 def vocabulary(n, seed=0):
@@ -406,6 +404,38 @@ def test_mixing_meets_targets_and_agrees_with_itself(spark):
     assert sorted((r.doc_id, r.k) for r in again) == sorted((r.doc_id, r.k) for r in got)
 
 
+@pytest.mark.parametrize("small", [0])
+def test_mixing_narrows_the_last_block_and_keeps_repeated_rows_apart(spark, monkeypatch, small):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(mixing, "BLOCKS", 6)
+    monkeypatch.setattr(mixing, "SMALL", small)
+    rng = random.Random(2)
+    rows = [(rng.choice([None, 5, k]), " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "a", "b", None])) for k in range(400)]
+    rows += [(None, "same text of five words", "a")] * 60
+    df = frame(spark, rows)
+    take = lambda: sorted((str(r.doc_id), str(r.source), r["size"], r.k, r.target) for r in mixing.plan(df).select("doc.doc_id", "doc.source", "size", "target", F.size("shards").alias("k")).collect())
+    got = take()
+    assert got == take() and len(got) == len(rows)
+    goal = water(collections.Counter({s: sum(len(tokens(t)) for _, t, o in rows if o == s) for s in ("a", "b", None)}))
+    for s in ("a", "b", None):
+        assert abs(sum(n * k for _, o, n, k, _ in got if o == str(s)) - goal[s]) <= 15
+    assert all(k <= 2 for _, _, _, k, _ in got)
+
+
+def test_the_tree_shares_out_every_draw(spark):
+    quotas = spark.createDataFrame([("a", 700), ("b", 5), ("c", 0), ("d", 64)], "source_key string, quota long")
+    leaves = mixing.tree(quotas, 24, 3).collect()
+    for source, n in (("a", 700), ("b", 5), ("c", 0), ("d", 64)):
+        spans = sorted((r.lo, r.hi) for r in leaves if r.source_key == source)
+        assert [x for lo, hi in spans for x in range(lo, hi)] == list(range(n))
+    sizes = collections.Counter()
+    for r in leaves:
+        assert 0 <= r.shard < 24 and r.hi > r.lo
+        sizes[r.shard] += r.hi - r.lo
+    assert max(sizes.values()) - min(sizes.values()) <= 2
+    assert sorted(leaves) == sorted(mixing.tree(quotas, 24, 3).collect())
+
+
 def test_mix_gives_the_planned_copies(spark, empty, odd):
     rows = [(i, " ".join(["w"] * (1 + i % 7)), f"s{i % 4}") for i in range(300)]
     df = frame(spark, rows)
@@ -478,6 +508,40 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in found) == brute_components(rows)
 
 
+def test_cells_own_each_pair_once(spark, monkeypatch):
+    from foldlake.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "BLOCK", 8)
+    rows = [(7, f"n{k}".encode(), 60, 60 - 25, int(k >= 25)) for k in range(60)] + [(8, f"m{k}".encode(), 6, 4, int(k >= 2)) for k in range(6)]
+    at = spark.createDataFrame(rows, "key long, node binary, rows long, outside long, out long")
+    cells = collections.defaultdict(list)
+    for r in module._cells(at).select("key", "block", "side", "node", "out").collect():
+        cells[r.key, r.block].append((bytes(r.node), r.side, r.out))
+    met = collections.Counter()
+    for (key, _), own in cells.items():
+        for i, (a, p, _) in enumerate(own):
+            met.update(tuple(sorted((a, b))) for b, q, _ in own[:i] if p != q or p == 0)
+    out = {r[1]: r[4] for r in rows}
+    want = {tuple(sorted((a[1], b[1]))) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and (out[a[1]] or out[b[1]])}
+    assert want <= set(met) and all(met[p] == 1 for p in want)
+    assert max(map(len, cells.values())) < 40
+
+
+def test_near_duplicates_among_pages_of_one_template(spark, monkeypatch):
+    from foldlake.llm import near_duplicates as module
+
+    monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "PAIRS", 2)
+    words = vocabulary(900, 16)
+    rng = random.Random(16)
+    shared = [rng.choice(words) for _ in range(60)]
+    rows = [(i, " ".join([*shared, *(rng.choice(words) for _ in range(12 + i % 5))]), "s") for i in range(90)]
+    hub = rows[0][1].split()
+    rows += [(200 + i, " ".join([*hub[:-1], f"end{i}"]), "s") for i in range(12)]
+    found = near_duplicates(frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in found) == brute_components(rows)
+
+
 def test_near_duplicates_odd(odd, empty):
     assert near_duplicates(empty).count() == 0
     got = {(str(r.doc_id), r.component_id) for r in near_duplicates(odd).collect()}
@@ -537,6 +601,61 @@ def test_leaks_are_all_and_only_those_within_the_budget(spark):
         assert edits_inside(normal(by[r.l.item_id]), normal(r.text[r.l.start : r.l.end])) <= decontamination.edit_budget(len(normal(by[r.l.item_id])))
 
 
+def plain_places(item, text, most):
+    """Matches by Sellers' recurrence: the fewest edits for each end and then the first start; then those that overlap none before."""
+    row = [(0, j) for j in range(len(text) + 1)]
+    for i, a in enumerate(item, 1):
+        new = [(i, 0)]
+        for j, b in enumerate(text, 1):
+            new.append(min((row[j - 1][0] + (a != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[j - 1][0] + 1, new[j - 1][1])))
+        row = new
+    out = []
+    for edits, start, end in sorted((e, s, j) for j, (e, s) in enumerate(row) if e <= most and j > s):
+        if all(end <= x or y <= start for _, x, y in out):
+            out.append((edits, start, end))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("together", [40, 1 << 22])
+def test_every_place_of_an_item_is_found(monkeypatch, together):
+    monkeypatch.setattr(decontamination, "TOGETHER", together)
+    rng = random.Random(together)
+    count = 0
+    for turn in range(24):
+        letters = ["ab", "abcdefgh", "abcdefghijklmnop"][turn % 3]
+        items = [(k, "".join(rng.choice(letters) for _ in range(n))) for k, n in enumerate((12, 30, 50, 70))]
+        items += [(8, ("".join(rng.choice(letters) for _ in range(3)) * 20)[:45]), (9, "".join(rng.choice(letters) for _ in range(2000)))]
+        text = ""
+        for _ in range(rng.randint(1, 9)):
+            own = list(rng.choice(items[:5])[1])
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randint(0, 1)] = rng.choice(["q", "", "a"])
+            text += "".join(own) + "".join(rng.choice(letters + "z") for _ in range(rng.choice([0, 0, 25])))
+        got = collections.defaultdict(list)
+        for x in decontamination._leaks(pa.array(["é " + text, None]), decontamination.build(items))[0]:
+            got[x["item_id"]].append((x["edits"], x["start"] - 2, x["end"] - 2))
+        for k, item in items[:5]:
+            assert sorted(got[k]) == plain_places(item, text, decontamination.edit_budget(len(item)))
+            count += len(got[k])
+    assert count > 60
+
+
+def test_a_short_item_beside_a_long_one(spark):
+    words = vocabulary(600, 18)
+    rng = random.Random(18)
+    short, long = (" ".join(rng.choice(words) for _ in range(n)) for n in (9, 400))
+    docs = frame(spark, [(1, f"{short} x {short}, {short} {short}", "s"), (2, "nothing", "s"), (3, f"{long[:900]} {long}", "s")])
+    alone = decontamination.find_leaks(docs, spark.createDataFrame([(1, short)], "item_id long, text string"))
+    both = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    want = {r.doc_id: [tuple(x) for x in r.leaks] for r in alone.collect()}
+    assert len(want[1]) == 4
+    for part_bytes in (1 << 20, 500):
+        got = {r.doc_id: r.leaks for r in decontamination.find_leaks(docs, both, part_bytes=part_bytes).collect()}
+        assert [tuple(x) for x in got[1] if x.item_id == 1] == want[1] and got[2] == []
+        assert [(x.item_id, x.edits) for x in got[3]] == [(2, 0)]
+
+
 def test_leaks_odd(spark, odd, empty):
     words = vocabulary(3000, 3)
     rng = random.Random(5)
@@ -592,6 +711,32 @@ def test_markov_model_tells_keys_from_identifiers(spark, secret_model):
     assert sum(got[i] for i in range(100)) >= 90 and sum(got[1000 + i] for i in range(100)) <= 5
 
 
+def test_whole_tokens_and_many_matches(spark, secret_model):
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    late = "".join(rng.choice(letters) for _ in range(72)) + "".join(rng.choice(letters + "0123456789") for _ in range(32))
+    many = " ".join(f"token={rng.randbytes(8).hex()} é" for _ in range(700))
+    got = {r.doc_id: r._spans for r in secrets.secrets(frame(spark, [(1, f"a {late} b", "s"), (2, many, "s"), (3, "-" * 400 + " " + "=" * 90, "s")]), secret_model).collect()}
+    assert [(x.start, x.end, x.kind) for x in got[1]] == [(2, 106, "markov")] and got[3] == []
+    assert [f"{x.kind}:{x.start}:{x.end}" for x in got[2]] == brute_spans(many)
+
+
+def test_markov_spans_beyond_the_training_formats(spark, secret_model):
+    """Keys and names of other makes than the labelled samples; the README gives the shares."""
+    rng = random.Random(13)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    draw = lambda n, of=mixed: "".join(rng.choice(of) for _ in range(n))
+    keys = [f"sk_live_{draw(24)}" for _ in range(80)] + [f"ghp_{draw(36)}" for _ in range(80)] + [draw(16) for _ in range(80)] + [rng.randbytes(16).hex().upper() for _ in range(80)]
+    plain = "river mountain winter garden silver orange market bridge castle forest harbor island journey kingdom lantern meadow needle ocean pepper quarter rocket saddle temple umbrella village whisper yellow zipper"
+    word = lambda: rng.choice(plain.split())
+    names = ["_".join(word() for _ in range(4)) + "_id" for _ in range(80)] + ["/".join([word(), "src", word(), word() + "_test"]) for _ in range(80)] + [f"{rng.randint(1990, 2030)}-{word()}-{word()}-{word()}" for _ in range(80)]
+    names += ["donaudampfschiff", "internationalization", "counterrevolutionaries", "x" * 40]
+    rows = [(k, f"see {t} here", "s") for k, t in enumerate(keys + names)]
+    got = {r.doc_id: bool(r._spans) for r in secrets.secrets(frame(spark, rows), secret_model).select("doc_id", "_spans").collect()}
+    assert sum(got[k] for k in range(len(keys))) >= 0.9 * len(keys)
+    assert sum(got[len(keys) + k] for k, t in enumerate(names) if len(t) >= 16) <= 0.1 * len(names)
+
+
 def test_secrets_odd(odd, empty, secret_model):
     assert secrets.secrets(empty, secret_model).count() == 0
     assert secrets.secrets(odd, secret_model).count() == 10
@@ -629,6 +774,72 @@ def test_quality_learns_held_out_labels(spark, odd, empty):
     assert quality.fit(docs, labels.limit(0), ~held).rules == []
 
 
+def plain_statistics(text):
+    raw = text.encode()
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+    lines = [x for x in re.split(rb"[\n\r]", raw) if x]
+    count = lambda chars: sum(b in chars for b in raw)
+    upper, lower_, w, n = count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count(b"abcdefghijklmnopqrstuvwxyz"), max(len(words), 1), max(len(raw), 1)
+    return [
+        math.log1p(len(words)),
+        sum(map(len, words)) / w,
+        upper / max(upper + lower_, 1),
+        count(b"0123456789") / n,
+        count(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") / n,
+        count(b"#$%&*+<=>@\\^_`{}~[]") / w,
+        count(b"|") / w,
+        count(b"!") / w,
+        sum(a == b for a, b in zip(words, words[1:])) / w,
+        len(set(words)) / w,
+        len(words) / max(len(lines), 1),
+        len(set(lines)) / max(len(lines), 1),
+        count(b".?") / w,
+    ]
+
+
+def test_statistics_equal_plain_python():
+    rng = random.Random(19)
+    pool = [*vocabulary(30, 19), "Émile", "A|B!", "9.5?", "same", "$$#", "\\", "漢字"]
+    texts = ["", " ", "\n\r\n", "same same same"] + ["".join(rng.choice(pool) + rng.choice([" ", "\n", "\r\n", "\t", "  "]) for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    for slice_bytes in (None, 50):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["__read"])
+        found = next(quality._measure([batch])).to_pydict() if slice_bytes is None else None
+        for k, text in enumerate(texts):
+            got = [found[s][k] for s in quality.STATISTICS] if found else quality._statistics(quality._long_counts(np.frombuffer(text.encode(), np.uint8))[None])[0].tolist()
+            assert np.allclose(got, plain_statistics(text), atol=1e-12), (text, slice_bytes)
+
+
+@pytest.mark.parametrize("most", [1, 9, 64])
+def test_toxicity_does_not_depend_on_the_slice(spark, monkeypatch, most):
+    rng = random.Random(most)
+    pool = ["vile", "nasty", "good", "x", "é", "漢字", "longerword"]
+    texts = ["".join(rng.choice(pool) + rng.choice([" ", ". ", "! ", "\n", "?"]) for _ in range(rng.randint(0, 60))) for _ in range(30)] + ["", None, "no end at all " * 20, "..."]
+    model = toxicity.Model(-1.0, np.random.default_rng(0).normal(0, 1.5, toxicity.BUCKETS).astype(np.float32))
+    kernels = []
+    monkeypatch.setattr(toxicity, "mapped", lambda docs, kernel, **added: kernels.append(kernel))
+    toxicity.scored(frame(spark, []), model)
+    whole = [x.to_pylist() for x in kernels[0](pa.array(texts))]
+    assert sum(map(len, whole[1])) > 100 and whole[0][-4] == whole[0][-3] == whole[0][-1] == 0.0
+    slices, chunks = W.slices, W.chunks
+    monkeypatch.setattr(W, "SLICE_BYTES", most)
+    monkeypatch.setattr(W, "slices", lambda offsets: slices(offsets, most))
+    monkeypatch.setattr(W, "chunks", lambda data, gaps=W.SPACE, behind=False: chunks(data, most, gaps, behind))
+    cut = [x.to_pylist() for x in kernels[0](pa.array(texts))]
+    assert np.allclose(cut[0], whole[0], atol=1e-12)
+    places = lambda rows: [[(x["start"], x["end"], round(x["score"], 9)) for x in own] for own in rows]
+    assert places(cut[1]) == places(whole[1])
+
+
+def test_learning_is_bounded_by_rows_and_bytes(spark):
+    docs, labels = labelled(spark, 120)
+    hot = frame(spark, [(3, f"text {k % 7} of a repeated id", "s") for k in range(300)])
+    sample = lambda **how: labelled_sample(docs.union(hot), labels, F.lit(True), F.max("toxic"), **{"rows": 1000, "most_bytes": 1 << 30, "seed": 1, **how})
+    assert sample().count() == 120 + 7 and sample(rows=50).count() == 50
+    assert sample(most_bytes=4000).agg(F.sum(F.octet_length("text"))).first()[0] <= 4000
+    model = toxicity.fit(docs.union(hot), labels, F.lit(True))
+    assert np.array_equal(model.weights, toxicity.fit(hot.union(docs), labels, F.lit(True)).weights)
+
+
 @pytest.mark.parametrize("most", [1, 7, 64, 1000])
 def test_statistics_do_not_depend_on_the_slice(monkeypatch, most):
     rng = random.Random(12)

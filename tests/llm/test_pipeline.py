@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_operators import DOCS, vocabulary
@@ -81,3 +82,16 @@ def test_rows_without_an_own_id_are_kept_by_their_texts(spark, folder):
     assert got == sorted((str(i), str(t)) for i, t in kept)
     source = {r.source for r in out.where("text = '" + b + "'").collect()}
     assert source == {"s1"}
+
+
+def test_columns_of_any_name_pass_every_stage(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60")
+    extra = ["a.b", "leaks", "toxic_score", "offending", "text_key", "doc", "_n_removed", "shard", "size"]
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in extra])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        if name == "mixing":
+            extra.remove("shard")
+            assert docs.columns[-2:] == ["shard", "copy"]
+        rows = docs.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
