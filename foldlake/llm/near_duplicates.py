@@ -36,12 +36,13 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import checkpointed, fields, left_join_unique, narrowed, whole
+from .shared import checkpointed, fields, inner_join_unique, left_join_unique, narrowed, whole
 
 COORDS, JOINED = 48, 3
 MATCHES = 25
 PARITY_BITS = 1024
-BLOCK = 1024
+#: Texts of a block of a list, and of a group in the cells of the last round.
+BLOCK, GROUP = 512, 384
 #: Pairs that one copy of a set answers.
 PAIRS = 256
 
@@ -252,12 +253,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _cells(at: DataFrame) -> DataFrame:
     """Rows of long lists in the cells of their list: block is the cell, side tells its two groups apart.
 
-    Texts outside the main component are cut into groups of about BLOCK, and so are those in it.
+    Texts outside the main component are cut into groups of about GROUP, and so are those in it.
     A cell holds two groups: two of those outside, or one outside and one of the main
     component.  Pairs inside a group outside meet in that group's own cell, of side 0 only.
     A list of at most BLOCK texts is one cell, of side 0.
     """
-    groups = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
+    groups = lambda n: F.greatest(F.lit(1), F.ceil(n / GROUP))
     out_groups, main_groups = groups(F.col("outside")), groups(F.col("rows") - F.col("outside"))
     out = F.col("out") == 1
     group = F.pmod(F.xxhash64("node", "key"), F.when(out, out_groups).otherwise(main_groups))
@@ -289,8 +290,8 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     )
     kinds = nodes.count()
     posts = nodes.select("node", F.explode("keys").alias("key"))
-    lists = posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1")
-    posts = left_join_unique(posts, lists, "key", "length", kinds * (COORDS // JOINED)).where("length is not null")
+    lists = checkpointed(posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1"))
+    posts = inner_join_unique(posts, lists, "key", "length", kinds * (COORDS // JOINED))
     posts = checkpointed(posts.join(nodes.select("node", "n", "signature", "parity"), "node"))
     shared = posts.count()
     posts = narrowed(posts, shared, 5_000)
@@ -315,7 +316,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     own_rows = at.groupBy("key", "label").agg(F.count("*").alias("own"), F.max("weight").alias("weight"))
     rank = F.struct("weight", "label")
     mains = own_rows.groupBy("key").agg(F.sum("own").alias("rows"), F.max_by("label", rank).alias("main"), (F.sum("own") - F.max_by("own", rank)).alias("outside"))
-    at = left_join_unique(at, mains.where("outside > 0"), "key", "rows", shared).where("main is not null")
+    at = inner_join_unique(at, checkpointed(mains.where("outside > 0")), "key", "rows", shared)
     at = at.withColumn("out", (F.col("label") != F.col("main")).cast("long"))
     at = _cells(at)
     pairs = checkpointed(narrowed(listed(at, False).join(decided.select("a", "b"), ["a", "b"], "left_anti"), shared))
