@@ -512,6 +512,7 @@ def test_cells_own_each_pair_once(spark, monkeypatch):
     from foldlake.llm import near_duplicates as module
 
     monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "GROUP", 8)
     rows = [(7, f"n{k}".encode(), 60, 60 - 25, int(k >= 25)) for k in range(60)] + [(8, f"m{k}".encode(), 6, 4, int(k >= 2)) for k in range(6)]
     at = spark.createDataFrame(rows, "key long, node binary, rows long, outside long, out long")
     cells = collections.defaultdict(list)
@@ -531,6 +532,7 @@ def test_near_duplicates_among_pages_of_one_template(spark, monkeypatch):
     from foldlake.llm import near_duplicates as module
 
     monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "GROUP", 6)
     monkeypatch.setattr(module, "PAIRS", 2)
     words = vocabulary(900, 16)
     rng = random.Random(16)
