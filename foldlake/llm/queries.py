@@ -46,8 +46,38 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log-probabilities of each document under the backoff automaton and the unigram base."""
-    return language_model.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+    """Log-probabilities of each document under the backoff automaton and the unigram base, to six decimals."""
+    out = language_model.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 10) == 0)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
+#: crc32 bit by bit: a byte is mixed in, and eight shifts follow it, each marked by -1.
+_CRC32 = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(range(1, length(id) + 1), lambda i: [CAST(ascii(substr(id, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+OP3_SQL = rf"""
+WITH ids AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
+docs AS (
+  SELECT r, doc_id, {_CRC32} % 10 = 0 AS held_out,
+         list_append(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' end') AS w FROM ids
+),
+words AS (SELECT r, held_out, unnest(w) AS w, unnest(generate_series(1, len(w))) AS i FROM docs),
+t AS (SELECT r, held_out, w, lag(w, 1, ' start') OVER o AS v, lag(w, 2, ' start') OVER o AS u FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+one AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+two AS (SELECT v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY v, w),
+three AS (SELECT u, v, w, count(*) AS c FROM t WHERE NOT held_out GROUP BY u, v, w),
+sums AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v, (SELECT count(*) FILTER (WHERE NOT held_out) FROM docs) AS starts FROM one),
+counted AS (
+  SELECT t.r, coalesce(one.c, 0) AS c1, coalesce(two.c, 0) AS c2, coalesce(three.c, 0) AS c3,
+         CASE WHEN t.v = ' start' THEN starts ELSE coalesce(h.c, 0) END AS h1, CASE WHEN t.v = ' start' THEN starts ELSE coalesce(g.c, 0) END AS h2, sums.n, sums.v
+  FROM t CROSS JOIN sums LEFT JOIN one ON one.w = t.w LEFT JOIN two ON two.v = t.v AND two.w = t.w LEFT JOIN three ON three.u = t.u AND three.v = t.v AND three.w = t.w
+  LEFT JOIN one AS h ON h.w = t.v LEFT JOIN two AS g ON g.v = t.u AND g.w = t.v
+),
+chance AS (SELECT r, c1, (c1 + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)) AS p1, c2, c3, h1, h2, 2 * pow(greatest(h1, 1), 0.9::DOUBLE) AS k1, 2 * pow(greatest(h2, 1), 0.9::DOUBLE) AS k2 FROM counted),
+backed AS (SELECT r, c1, p1, (c3 + k2 * (c2 + k1 * p1) / (h1 + k1)) / (h2 + k2) AS p FROM chance),
+scores AS (SELECT r, count(*) AS n_tokens, count(*) FILTER (WHERE c1 > 0) AS n_known, round(sum(log10(p1)), 6) AS base_score, round(sum(log10(p)), 6) AS score FROM backed GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, CAST(n AS BIGINT) AS train_tokens, base_score, score FROM docs JOIN scores ON docs.r = scores.r CROSS JOIN sums
+"""
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,4 +202,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_top_k": OP1_SQL, "op3_language_model": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL}
