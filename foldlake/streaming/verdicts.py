@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 
 def latest_generation(hits: DataFrame, request: str = "request", generation: str = "generation") -> DataFrame:
@@ -15,6 +17,23 @@ def latest_generation(hits: DataFrame, request: str = "request", generation: str
     return hits.withColumn("_newest", newest).where(F.col(generation) == F.col("_newest")).drop("_newest")
 
 
+def newest_only(hits: DataFrame, request: str = "request", generation: str = "generation") -> DataFrame:
+    """A stream of hits without those of a superseded generation, also of one superseded in an earlier micro-batch.
+
+    The state of a request is one number, the newest generation seen; hits of one request in
+    one micro-batch are judged by the newest of both.
+    """
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frames = list(batches)
+        newest = max([*([state.get[0]] if state.exists else []), *(int(f[generation].max()) for f in frames)])
+        state.update((newest,))
+        for f in frames:
+            yield f[f[generation] == newest]
+
+    return hits.groupBy(request).applyInPandasWithState(keep, hits.schema, "newest long", "append", "NoTimeout")
+
+
 def judge(hits: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str) -> StreamingQuery:
     """Writes the verdicts of each micro-batch of hits to a Parquet folder, a batch number with each row.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foldlake.operators import embed, geometry, meta, vector
 from foldlake.queries import QUERIES
+from foldlake.streaming import verdicts
 
 DATA = "/root/testdata/sf0.001"
 
@@ -85,3 +87,16 @@ def test_pooling_a_whole_chain_is_its_embedding(spark):
     assert len(norms) == embed.LAYERS * near
     by = {(r.chain, r.layer, r.i, r.j): r.norm for r in norms}
     assert any(abs(v - by[c, k, j, i]) > 1e-6 for (c, k, i, j), v in by.items())
+
+
+def test_a_generation_stays_superseded_in_later_batches(spark, tmp_path):
+    batches = [[(1, 1, "a"), (2, 5, "b")], [(1, 2, "c"), (1, 1, "late"), (2, 5, "d")], [(1, 1, "later"), (1, 2, "e"), (2, 4, "old")]]
+    stream = spark.readStream.schema("request long, generation long, hit string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "request long, generation long, hit string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    for k in range(len(batches)):
+        for f in (tmp_path / "in" / str(k)).glob("*.parquet"):
+            os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    query = verdicts.newest_only(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.hit for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["a", "b", "c", "d", "e"]
