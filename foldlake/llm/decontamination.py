@@ -267,7 +267,7 @@ def _parts(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = EDIT_RATE, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc, leaks): each row as a struct, and the places of items in its text."""
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where(F.col("item_id").isNotNull() & (F.octet_length("text") >= q)).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     kind = from_arrow_type(pa.list_(LEAK))
 
