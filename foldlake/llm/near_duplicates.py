@@ -20,8 +20,9 @@
 
 Sets are held as 64-bit hashes of shingles and named by 128 bits of them; shingles are not
 compared letter by letter, so two unlike ones are taken for one with a chance of 2**-64.
-Labels of large components, keys of long lists and texts of many copies are hot keys: they
-join by ``left_join_unique``, and the sets of hubs by numbered copies of the set.
+Labels of large components and texts of many copies are hot keys and join by
+``left_join_unique``; the sets of hubs join by numbered copies of the set.  Keys of long lists
+join with written tables of one row a key, so adaptive execution can split their side.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .shared import checkpointed, fields, inner_join_unique, left_join_unique, narrowed, whole
+from .shared import checkpointed, fields, left_join_unique, narrowed, whole
 
 COORDS, JOINED = 48, 3
 MATCHES = 25
@@ -291,8 +292,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     kinds = nodes.count()
     posts = nodes.select("node", F.explode("keys").alias("key"))
     lists = checkpointed(posts.groupBy("key").agg(F.count("*").alias("length")).where("length > 1"))
-    posts = inner_join_unique(posts, lists, "key", "length", kinds * (COORDS // JOINED))
-    posts = checkpointed(posts.join(nodes.select("node", "n", "signature", "parity"), "node"))
+    posts = checkpointed(posts.join(lists, "key").join(nodes.select("node", "n", "signature", "parity"), "node"))
     shared = posts.count()
     posts = narrowed(posts, shared, 5_000)
 
@@ -316,7 +316,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     own_rows = at.groupBy("key", "label").agg(F.count("*").alias("own"), F.max("weight").alias("weight"))
     rank = F.struct("weight", "label")
     mains = own_rows.groupBy("key").agg(F.sum("own").alias("rows"), F.max_by("label", rank).alias("main"), (F.sum("own") - F.max_by("own", rank)).alias("outside"))
-    at = inner_join_unique(at, checkpointed(mains.where("outside > 0")), "key", "rows", shared)
+    at = at.join(checkpointed(mains.where("outside > 0")), "key")
     at = at.withColumn("out", (F.col("label") != F.col("main")).cast("long"))
     at = _cells(at)
     pairs = checkpointed(narrowed(listed(at, False).join(decided.select("a", "b"), ["a", "b"], "left_anti"), shared))

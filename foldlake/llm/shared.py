@@ -67,16 +67,6 @@ def left_join_unique(left: DataFrame, right: DataFrame, key: str, size: str, tot
     return out.select(*left.columns, *(F.col(f"_got.{c}").alias(c) for c in names))
 
 
-def inner_join_unique(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """Inner join on ``key`` with the tables and the treatment of hot keys of ``left_join_unique``."""
-    names = [c for c in right.columns if c != key]
-    hot = F.col(size) * HOT_SHARE >= total
-    found = right.where(hot).select(F.col(key).alias("_hk"), *names)
-    met = left.join(F.broadcast(found), F.col(key) == F.col("_hk")).select(*left.columns, *names)
-    others = left.join(F.broadcast(found.select("_hk")), F.col(key) == F.col("_hk"), "left_anti")
-    return met.union(others.join(right.where(~hot), key).select(*left.columns, *names))
-
-
 def fields(docs: DataFrame, without: tuple[str, ...] = (), of: str = "doc") -> list[Column]:
     """The columns of ``docs``, whatever their names, out of the struct ``of``."""
     return [F.col(of).getField(c).alias(c) for c in docs.columns if c not in without]
