@@ -54,12 +54,13 @@ def left_join_unique(left: DataFrame, right: DataFrame, key: str, size: str, tot
 
     Keys that hold at least 1/HOT_SHARE of the ``total`` rows are at most HOT_SHARE and go by a
     broadcast of that proven size.  In the shuffle of the rest their rows, and those of a null
-    key, bear a salt that no row of ``right`` has, so no task receives a hot key.
+    key, bear a salt that no row of ``right`` has, so no task receives a hot key.  (The salt of
+    ``right`` is not written as a constant, which the optimiser would take out of the keys.)
     """
     names = [c for c in right.columns if c != key]
     hot = F.col(size) * HOT_SHARE >= total
     found = right.where(hot).select(F.col(key).alias("_hk"), F.struct(*names).alias("_hot"))
-    rest = right.where(~hot).select(F.col(key).alias("_rk"), F.lit(0).cast("long").alias("_rs"), F.struct(*names).alias("_rest"))
+    rest = right.where(~hot).select(F.col(key).alias("_rk"), F.when(F.col(size) < 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("_rs"), F.struct(*names).alias("_rest"))
     out = left.join(F.broadcast(found), left[key] == F.col("_hk"), "left")
     salt = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]).bitwiseOR(F.lit(1))
     out = out.withColumn("_ls", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), salt).otherwise(F.lit(0)))
