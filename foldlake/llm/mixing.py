@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, fields, left_join_unique, whole
+from .shared import checkpointed, fields, left_join_unique, narrowed, whole
 
 WEIGHTS = (3, 1, 2)
 FACTOR, MOST = 1.5, 2.0
@@ -144,7 +144,8 @@ def plan(
     keyed = docs.select(whole(docs), key.alias("source_key"), F.xxhash64("doc_id", "source", mark, F.lit(seed)).alias("_order"), F.col("doc_id").alias("_id"), size.alias("_size"))
     narrow = checkpointed(keyed.select("source_key", F.col("doc.source").alias("source"), "_order", "_id", "_size"))
     sizes = narrow.groupBy("source").agg(F.sum("_size").alias("source_size"), F.count("*").alias("rows"))
-    total, rows = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    total, rows, sources = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0)), F.count("*")).first()
+    few = lambda table: checkpointed(narrowed(table, sources + 2 * BLOCKS))  # noqa: E731  a row for each source or block
     if shards is None:
         shards = int(min(SHARDS, max(FEWEST, -(-factor * total // SHARD_WORDS))))
     slots = int(max(1, -(-factor * total // (shards * SHARD_WORDS))))
@@ -153,7 +154,7 @@ def plan(
     goals = goals.join(sizes.select(key.alias("source_key"), "rows"), "source_key")
     goals = goals.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goals = goals.withColumn("left", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("n0", F.ceil((F.col("source_size") + F.col("rows")) / load))
-    goals = checkpointed(goals.drop("source"))
+    goals = few(goals.drop("source"))
     narrow = narrow.drop("source")
     # the cut of each source: its block in each level, and what it may still take there
     levels = 1 + (math.ceil(math.log(load / BLOCK_WORDS, BLOCKS) - 1e-9) if load > BLOCK_WORDS else 0)
@@ -164,21 +165,21 @@ def plan(
         here = _joined(inside, goals.select("source_key", "rows", f"n{k}"), "source_key", "rows", rows).withColumn("block", digit(k))
         here = here if k == 0 else checkpointed(here)
         summed = here.groupBy("source_key", "block").agg(F.sum("_size").alias("words"), F.count("*").alias("n")).join(goals.select("source_key", "left", "passes"), "source_key")
-        summed = checkpointed(summed.withColumn("end", F.sum("words").over(in_source)))
+        summed = few(summed.withColumn("end", F.sum("words").over(in_source)))
         over = summed.where(F.col("end") > F.col("left")).groupBy("source_key").agg(F.min_by(F.struct("block", "n", "words", (F.col("left") - F.col("end") + F.col("words")).alias("left")), "block").alias("cut"))
         blocks = summed if k == 0 else blocks
         goals = goals.withColumnRenamed("left", f"left{k}").join(over, "source_key", "left")
         goals = goals.withColumn(f"cut{k}", F.coalesce("cut.block", F.col(f"n{k}"))).withColumn("left", F.coalesce("cut.left", F.lit(0.0)))
-        goals = checkpointed(goals.withColumn(f"n{k + 1}", F.least(F.lit(BLOCKS), F.ceil((F.coalesce("cut.words", F.lit(0)) + F.coalesce("cut.n", F.lit(0))) / BLOCK_WORDS))).withColumn(f"n{k + 1}", F.greatest(F.lit(1), f"n{k + 1}")).drop("cut"))
+        goals = few(goals.withColumn(f"n{k + 1}", F.least(F.lit(BLOCKS), F.ceil((F.coalesce("cut.words", F.lit(0)) + F.coalesce("cut.n", F.lit(0))) / BLOCK_WORDS))).withColumn(f"n{k + 1}", F.greatest(F.lit(1), f"n{k + 1}")).drop("cut"))
         here = _joined(here, goals.select("source_key", "rows", f"cut{k}", "left"), "source_key", "rows", rows)
         inside = here.where((F.col("block") == F.col(f"cut{k}")) & (F.col("left") > 0)).select("source_key", "_order", "_id", "_size")
     kinds = inside.where("_size > 0").groupBy("source_key", "_order", "_id", "_size").agg(F.count("*").alias("n")).join(goals.select("source_key", "left"), "source_key")
     chosen = kinds.withColumn("doc_id", F.coalesce("_id", F.lit(0))).groupBy("source_key").applyInPandas(_filled, "source_key string, _order long, _id long, _size long, c long")
-    chosen = checkpointed(chosen.where("c > 0"))
+    chosen = checkpointed(narrowed(chosen.where("c > 0"), sources * (BLOCK_WORDS // 100)))
     # the draws of a source in order: all blocks of the first pass, permuted, then those of the next
     first = goals.select("source_key", "cut0", F.col("left" if levels == 1 else "left1").alias("rest"))
     drawn = F.col("passes") + ((F.col("block") < F.col("cut0")) | ((F.col("block") == F.col("cut0")) & (F.col("rest") > 0))).cast("long")
-    blocks = checkpointed(blocks.join(first, "source_key").select("source_key", "block", "n", drawn.alias("drawn")))
+    blocks = few(blocks.join(first, "source_key").select("source_key", "block", "n", drawn.alias("drawn")))
     quotas = blocks.groupBy("source_key").agg(F.sum("drawn").alias("quota"))
     shares = tree(quotas, shards, seed).select("source_key", "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("draw"))
     draws = blocks.where("drawn > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("drawn") - 1)))
@@ -186,7 +187,7 @@ def plan(
     draws = draws.select("source_key", "block", "n", "copy", (F.row_number().over(in_pass) - 1).cast("long").alias("draw"))
     where = F.struct("source_key", "block").alias("_home")
     homes = draws.join(shares, ["source_key", "draw"]).groupBy("source_key", "block").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("homes"))
-    homes = checkpointed(homes.select(where, "n", "homes"))
+    homes = few(homes.select(where, "n", "homes"))
     # every row by the digits of its block, against the cut of its source
     per_source = goals.select("source_key", "rows", "source_size", "target", "passes", "left", *[f"{c}{k}" for k in range(levels) for c in ("n", "cut")])
     out = _joined(keyed, per_source, "source_key", "rows", rows)

@@ -151,8 +151,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     place[best] = np.arange(len(best))
     rows = chosen.mapInArrow(_examples(place), "label int, plain long, sentence array<int>, feature array<int>")
     rows = rows.toArrow()
-    order = sorted(range(rows.num_rows), key=lambda k: [rows.column(c)[k].as_py() for c in rows.column_names])
-    rows = rows.take(order)
+    ends = np.cumsum(pa.compute.list_value_length(rows.column("feature")).to_numpy())
+    flat = [rows.column(c).combine_chunks().flatten().to_numpy() for c in ("feature", "sentence")]
+    spans = list(zip(rows.column("label").to_pylist(), rows.column("plain").to_pylist(), np.append(0, ends[:-1]), ends, strict=True))
+    rows = rows.take(sorted(range(len(spans)), key=lambda k: (*spans[k][:2], *(x[spans[k][2] : spans[k][3]].tobytes() for x in flat))))
     label, plain = (rows.column(c).to_numpy().astype(np.float64) for c in ("label", "plain"))
     lengths = pa.compute.list_value_length(rows.column("feature")).to_numpy()
     feature, number = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("feature", "sentence"))
