@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, licenses, mixing, quality, secrets, topk, toxicity
+from . import decontamination, fill_middle, importance, language_id, language_model, licenses, mixing, quality, secrets, topk, toxicity
 from .line_dedup import line_dedup
 from .near_duplicates import near_duplicates
 from .shared import checkpointed, crc_mod, table
@@ -181,6 +181,102 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"), "offending")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the draw of a tenth of the documents of twenty words or more."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return importance.resampled(docs, table(spark, sf_dir, "benchmark"), carried=("doc_id",))
+
+
+#: crc32 of the bytes of w, as above.
+_CRC32_BYTES = """xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(range(0, octet_length(encode(w))), lambda i: [CAST(concat('0x', substr(hex(encode(w)), 2 * i + 1, 2)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END))"""
+
+OP11_SQL = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, text, true AS own FROM documents UNION ALL SELECT -row_number() OVER () AS r, NULL AS doc_id, text, false AS own FROM benchmark
+),
+words AS (SELECT r, doc_id, own, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+counted AS (SELECT r, own, w, count(*) AS n FROM (SELECT r, own, unnest(ws) AS w FROM words) AS u GROUP BY r, own, w),
+hashed AS (SELECT w, {_CRC32_BYTES} % 10000 AS b FROM (SELECT DISTINCT w FROM counted) AS d),
+buckets AS (SELECT b, sum(n) FILTER (WHERE own) AS s, sum(n) FILTER (WHERE NOT own) AS t FROM counted JOIN hashed USING (w) GROUP BY b),
+totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM buckets),
+gain AS (
+  SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST(s_all AS DOUBLE) + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (CAST(t_all AS DOUBLE) + 10000)))) AS BIGINT) AS g FROM buckets CROSS JOIN totals
+),
+sums AS (SELECT r, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n * g) AS BIGINT) AS total FROM counted JOIN hashed USING (w) JOIN gain USING (b) WHERE own GROUP BY r),
+weighed AS (
+  SELECT words.r, doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+         CAST(CAST(concat('0x', substr(sha256(concat('2024:', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, 8)) AS BIGINT) AS DOUBLE) AS h
+  FROM words LEFT JOIN sums ON words.r = sums.r WHERE own
+),
+scored AS (SELECT r, doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM weighed),
+ordered AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE n_features >= 20),
+size AS (SELECT count(*) * 10 // 100 AS k FROM ordered)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN rank END AS rank FROM scored LEFT JOIN ordered ON scored.r = ordered.r CROSS JOIN size
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's rearranged form, and of the text restored from it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fill_middle.fill_in_middle(docs, carried=("doc_id",))
+    back = fill_middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS d FROM documents),
+coins AS (
+  SELECT doc_id, text, n, CAST(concat('0x', substr(d, 1, 8)) AS BIGINT) % (n + 1) AS x, CAST(concat('0x', substr(d, 9, 8)) AS BIGINT) % (n + 1) AS y,
+         CAST(concat('0x', substr(d, 17, 8)) AS BIGINT) % 100 AS p, CAST(concat('0x', substr(d, 25, 8)) AS BIGINT) % 100 AS q FROM texts
+),
+cut AS (
+  SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR p >= 90 THEN 'plain' WHEN q < 20 THEN 'spm' ELSE 'psm' END AS form FROM coins
+),
+parts AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1, n - b) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle) ELSE concat('<S>', suffix, '<P>', prefix, '<M>', middle) END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE concat(prefix, middle, suffix) END) AS restored_sha256
+FROM parts
+"""
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document by rank-order profiles, learned from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod(F.col("doc_id"), 3) == 1
+    profile = language_id.profiles(docs, ~held_out)
+    out = language_id.identified(docs, profile, carried=("doc_id",))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.round("score", 9).alias("score"))
+
+
+OP13_SQL = rf"""
+WITH ids AS (SELECT row_number() OVER () AS r, doc_id, text, lang, coalesce(CAST(doc_id AS VARCHAR), '') AS id FROM documents),
+docs AS (SELECT r, doc_id, lang, {_CRC32} % 3 = 1 AS held_out, coalesce(regexp_matches(text, '\p{{L}}'), false) AS lettered, string_split(concat(' ', regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{M}}]+', ' ', 'g'), ' '), '') AS c FROM ids),
+points AS (SELECT r, unnest(c) AS x, unnest(generate_series(1, len(c))) AS i FROM docs),
+runs AS (SELECT r, x, lead(x) OVER o AS y, lead(x, 2) OVER o AS z FROM points WINDOW o AS (PARTITION BY r ORDER BY i)),
+grams AS (
+  SELECT r, x AS g FROM runs WHERE x <> ' ' UNION ALL SELECT r, x || y FROM runs WHERE y IS NOT NULL AND NOT (x = ' ' AND y = ' ')
+  UNION ALL SELECT r, x || y || z FROM runs WHERE z IS NOT NULL AND y <> ' '
+),
+own AS (SELECT r, g, count(*) AS n FROM grams GROUP BY r, g),
+documented AS (SELECT r, g, row_number() OVER (PARTITION BY r ORDER BY n DESC, g) - 1 AS place FROM own QUALIFY place < 400),
+learned AS (SELECT lang, g, sum(n) AS n FROM own JOIN docs USING (r) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g),
+profile AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) - 1 AS place FROM learned QUALIFY place < 400),
+lengths AS (SELECT r, count(*) AS n FROM documented GROUP BY r),
+saved AS (SELECT d.r, p.lang, sum(400 - abs(d.place - p.place)) AS s FROM documented AS d JOIN profile AS p ON d.g = p.g GROUP BY d.r, p.lang),
+langs AS (SELECT DISTINCT lang FROM profile),
+best AS (
+  SELECT l.r, langs.lang, 400 * l.n - coalesce(s, 0) AS distance, l.n FROM lengths AS l CROSS JOIN langs LEFT JOIN saved ON saved.r = l.r AND saved.lang = langs.lang
+  QUALIFY row_number() OVER (PARTITION BY l.r ORDER BY 400 * l.n - coalesce(s, 0), langs.lang) = 1
+)
+SELECT doc_id, held_out, CASE WHEN lettered AND best.lang IS NOT NULL THEN best.lang ELSE 'und' END AS lang_pred,
+       CASE WHEN lettered AND best.lang IS NOT NULL THEN round(1 - CAST(distance AS DOUBLE) / (400 * n), 9) ELSE 0.0 END AS score
+FROM docs LEFT JOIN best USING (r)
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -199,7 +295,10 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language_id": op13_language_id,
     "pipeline": pipeline,
 }
 
-ORACLE: dict[str, str] = {"op1_top_k": OP1_SQL, "op3_language_model": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL}
+ORACLE: dict[str, str] = {"op1_top_k": OP1_SQL, "op3_language_model": OP3_SQL, "op4_line_dedup": OP4_SQL, "op6_near_duplicates": OP6_SQL, "op11_importance_resampling": OP11_SQL, "op12_fill_in_middle": OP12_SQL, "op13_language_id": OP13_SQL}

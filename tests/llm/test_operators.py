@@ -84,7 +84,7 @@ def test_long_texts_hash_as_short_ones(monkeypatch):
     text = " ".join(vocabulary(500, 1))
     whole = [h.tolist() for _, _, h, _ in W.word_hashes(pa.array([text]))][0]
     monkeypatch.setattr(W, "SLICE_BYTES", 64)
-    monkeypatch.setattr(W.chunks, "__defaults__", (64, W.SPACE))
+    monkeypatch.setattr(W.chunks, "__defaults__", (64, W.SPACE, False))
     cut = [h.tolist() for _, _, h, _ in W.word_hashes(pa.array([text]))][0]
     assert whole == cut
 

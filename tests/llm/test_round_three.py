@@ -1,0 +1,219 @@
+"""Importance resampling, fill-in-the-middle and language identification, against plain versions and in odd cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from foldlake.llm import fill_middle, importance, language_id
+from tests.llm.test_operators import CLASHING, DOCS, cluttered, empty, frame, lower, odd, vocabulary  # noqa: F401
+
+NAMES = [*CLASHING, "n_features", "weight", "score", "rank", "output", "form", "lang_pred", "words", "bucket", "mark", "_at"]
+
+
+def crowded(docs):
+    return docs.select("*", *[F.lit(7).alias(c) for c in NAMES])
+
+
+# op11
+
+
+def grams(text, most):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    return words, [" ".join(words[i : i + k]) for k in range(1, most + 1) for i in range(len(words) - k + 1)]
+
+
+def plain_resample(docs, target, most, buckets, least, percent):
+    bucket = lambda g: zlib.crc32(g.encode()) % buckets
+    s, t = collections.Counter(), collections.Counter()
+    for _, text in docs:
+        s.update(map(bucket, grams(text, most)[1]))
+    for text in target:
+        t.update(map(bucket, grams(text, most)[1]))
+    s_all, t_all = sum(s.values()), sum(t.values())
+    rows = []
+    for i, text in docs:
+        words, own = grams(text, most)
+        total = sum(math.floor(1000 * math.log((t[b] + 1) * (s_all + buckets) / ((s[b] + 1) * (t_all + buckets)))) for b in map(bucket, own))
+        weight = total // len(own) if own else 0
+        h = int(hashlib.sha256(f"2024:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        rows.append([i, len(own), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32))), len(words)])
+    order = sorted((k for k, r in enumerate(rows) if r[4] >= least), key=lambda k: (-rows[k][3], rows[k][0] is None, rows[k][0]))
+    rank = {k: n + 1 for n, k in enumerate(order[: len(order) * percent // 100])}
+    return [(*r[:4], rank.get(k)) for k, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize(("most", "size"), [(1, 4 << 20), (1, 60), (3, 4 << 20), (3, 60)])
+def test_resampling_equals_a_plain_version(spark, monkeypatch, most, size):
+    monkeypatch.setattr(importance, "SLICE", size)
+    rng, words = random.Random(most), [*vocabulary(80, 1), "É", "漢字", "x2"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) + rng.choice(["", ".", "\x00-Q", "/"])) for i in range(120)] + [(500, None), (501, ""), (None, "one two THREE four five six")]
+    target = [" ".join(rng.choice(words[:20]) for _ in range(30)) for _ in range(5)] + [None, ""]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    goal = spark.createDataFrame([(t,) for t in target], "text string")
+    got = importance.resampled(df, goal, most, 97, 6, 30).select("doc_id", "n_features", "weight", "score", "rank").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(plain_resample(docs, target, most, 97, 6, 30), key=repr)
+
+
+def test_resampling_odd_rows(spark, odd, empty):  # noqa: F811
+    out = importance.resampled(crowded(odd), odd.limit(0), percent=50)
+    assert out.columns == [c for c in crowded(odd).columns if c not in ("n_features", "weight", "score", "rank")] + ["n_features", "weight", "score", "rank"]
+    rows = out.select("doc_id", "text", "n_features", "weight", "rank").collect()
+    assert len(rows) == odd.count() and sorted(r["rank"] for r in rows if r["rank"]) == [1]
+    assert {r["doc_id"]: r["n_features"] for r in rows if r["doc_id"] in (1, 2, 3, 4, 7)} == {1: 0, 2: 0, 3: 0, 4: 3, 7: 400_000}
+    assert importance.resampled(empty, odd).count() == 0
+
+
+def test_ranks_of_equal_rows_are_all_given(spark):
+    rows = spark.range(0, 1000, 1, 7).select(F.lit(5).alias("doc_id"), (F.col("id") % 2).alias("score"))
+    out = importance.ranked(rows, F.lit(True), [F.desc("score"), F.asc("doc_id")], 70).collect()
+    assert sorted(r["rank"] for r in out if r["rank"]) == list(range(1, 701))
+    assert all(r["score"] == 1 for r in out if r["rank"] and r["rank"] <= 500)
+
+
+# op12
+
+
+def test_automaton_counts_units_and_sentinels():
+    rng = random.Random(4)
+    pool = ["a", "<", ">", "P", "S", "M", "é", "漢", "\U0001f600", "<P", "<S>", "\x00", "́"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.choice([0, 1, 5, 63, 64, 65, 300]))) for _ in range(400)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    lanes = fill_middle.Lanes(data, offsets)
+    assert lanes.units.tolist() == [len(t) for t in texts]
+    assert lanes.marked.tolist() == [any(s in t for s in ("<P>", "<S>", "<M>")) for t in texts]
+    pick = [(k, rng.randrange(len(t))) for k, t in enumerate(texts) if t for _ in range(3)]
+    found = lanes.cuts(np.array([k for k, _ in pick]), np.array([u for _, u in pick]))
+    assert found.tolist() == [int(offsets[k]) + len(texts[k][:u].encode()) for k, u in pick]
+
+
+def test_automaton_depends_on_its_memory_alone():
+    a, rng = fill_middle.AUTOMATON, np.random.default_rng(0)
+    for _ in range(300):
+        tail = np.frombuffer("".join(rng.choice(list("<PSM>aé漢\U0001f600"), 4)).encode(), np.uint8)[-a.memory :]
+        ends = set()
+        for state in range(len(a.next) // 257):
+            for symbol in tail:
+                state = int(a.next[state * 257 + int(symbol)]) // 257
+            ends.add(state)
+        assert len(ends) == 1 or tail[0] & 0xC0 == 0x80
+
+
+def plain_fim(i, text):
+    text = text or ""
+    h = [int(hashlib.sha256(f"1:{'' if i is None else i}".encode()).hexdigest()[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(text)
+    if not n or any(s in text for s in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return i, n, "plain", None, None, text
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = text[:a], text[a:b], text[b:]
+    return (i, n, "spm", a, b - a, f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else (i, n, "psm", a, b - a, f"<P>{p}<S>{s}<M>{m}")
+
+
+@pytest.mark.parametrize("size", [8 << 20, 100])
+def test_fill_in_middle_equals_a_plain_version(spark, monkeypatch, odd, size):  # noqa: F811
+    monkeypatch.setattr(fill_middle, "SLICE", size)
+    rng = random.Random(9)
+    pool = ["a", " ", "<", ">", "P>", "é", "漢", "\U0001f600", "<S", "word"]
+    docs = [(i, "".join(rng.choice(pool) for _ in range(rng.choice([1, 2, 40, 500])))) for i in range(300)] + [(r["doc_id"], r["text"]) for r in odd.collect()] + [(900, "x<M>y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = fill_middle.fill_in_middle(crowded(df)).withColumn("back", fill_middle.restored(F.col("output"), F.col("form"))).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output")) for r in out), key=repr) == sorted((plain_fim(*d) for d in docs), key=repr)
+    assert all(r["back"] == (r["text"] or "") for r in out)
+    assert {r["form"] for r in out} == {"plain", "psm", "spm"}
+
+
+def test_fill_in_middle_of_no_rows(spark, empty):  # noqa: F811
+    out = fill_middle.fill_in_middle(cluttered(empty))
+    assert out.count() == 0 and out.columns[-5:] == ["n", "form", "prefix_chars", "middle_chars", "output"]
+
+
+# op13
+
+
+def letters(text):
+    return re.sub(r"[\W\d_]+", " ", f" {text.lower()} ")
+
+
+def profile_of(counts, most):
+    return {g: k for k, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most])}
+
+
+def runs_of(text):
+    own = collections.Counter()
+    s = letters(text)
+    for k in (1, 2, 3):
+        for i in range(len(s) - k + 1):
+            g = s[i : i + k]
+            if g.strip(" ") and "  " not in g and not (k == 3 and g[1] == " "):
+                own[g] += 1
+    return own
+
+
+def plain_languages(docs, most):
+    sums = collections.defaultdict(collections.Counter)
+    for i, text, lang in docs:
+        if lang and text and zlib.crc32(str(i).encode()) % 3 != 1:
+            sums[lang].update(runs_of(text))
+    known = {lang: profile_of(c, most) for lang, c in sums.items()}
+    out = []
+    for i, text, _ in docs:
+        own = profile_of(runs_of(text or ""), most)
+        if not own or not known:
+            out.append((i, "und", 0.0))
+            continue
+        far = {lang: sum(abs(k - p[g]) if g in p else most for g, k in own.items()) for lang, p in known.items()}
+        best = min(sorted(far), key=far.get)
+        out.append((i, best, round(1 - far[best] / (most * len(own)), 9)))
+    return out
+
+
+@pytest.mark.parametrize(("size", "together"), [(1 << 20, 512), (50, 512), (1 << 20, 1)])
+def test_languages_equal_a_plain_version(spark, monkeypatch, size, together):
+    monkeypatch.setattr(language_id.counted, "__defaults__", (size,))
+    rng = random.Random(2)
+    pools = {lang: ["".join(rng.choice(chars) for _ in range(rng.randint(1, 7))) for _ in range(60)] for lang, chars in (("xa", "abcdefé"), ("xb", "efghijñ"), ("xc", "漢字語文書本"))}
+    docs = [(i, rng.choice([" ", ", ", "\n", " 12-"]).join(rng.choice(pools[lang]) for _ in range(rng.randint(1, 60))).title(), lang) for i in range(200) for lang in [rng.choice(list(pools))]]
+    docs += [(300, None, "xa"), (301, "", "xa"), (302, "12 + 34!", "xb"), (303, "abc fed", None), (304, "abc", "")][:4]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    learned = language_id.profiles(df, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1, most=50)
+    got = language_id.identified(crowded(df), learned, most=50, together=together).select("doc_id", "lang_pred", F.round("score", 9)).collect()
+    want = plain_languages(docs, 50)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(g[1] == w[2] for g, w in zip(sorted(want), sorted(docs, key=lambda d: d[0]), strict=True)) > 180
+
+
+def test_a_long_text_is_counted_like_its_parts(odd):  # noqa: F811
+    text = " ".join(vocabulary(900, 4)) + " ééé 漢字語"
+    whole = [x[2:] for x in language_id.counted(pa.array([text]))][0]
+    for size in (17, 200, 1000):
+        cut = [x[2:] for x in language_id.counted(pa.array([text]), size)][0]
+        assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
+
+
+def test_languages_of_odd_rows(spark, odd, empty):  # noqa: F811
+    learned = language_id.profiles(odd, F.lit(True))
+    out = language_id.identified(crowded(odd), learned).select("doc_id", "lang_pred", "score").collect()
+    assert len(out) == odd.count() and all((r["lang_pred"] == "und") == (r["doc_id"] in (1, 2, 3)) and 0 <= r["score"] <= 1 for r in out)
+    assert {r["lang_pred"] for r in language_id.identified(odd, learned.limit(0)).collect()} == {"und"}
+    assert language_id.identified(empty, learned).count() == 0
+
+
+def test_languages_of_held_out_documents(spark):
+    from foldlake.llm.queries import QUERIES
+    from foldlake.llm.shared import table
+
+    folder = "/root/testdata/sf0.01"
+    found = QUERIES["op13_language_id"](spark, folder).join(table(spark, folder, "documents").select("doc_id", "lang"), "doc_id").where("held_out")
+    right, n = found.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 250 and right >= 0.97 * n

@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 def same(df, sql, folder):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder != SMALL else ''}')")
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
@@ -38,6 +38,7 @@ def odd_tables(spark, tmp_path_factory):
     docs = [(1, None, None), (2, "", "a"), (3, " \n\t", "a"), (4, "one two three four five", "b"), (5, "One two  three four\x0bfive", None), (6, "é 漢字 word", "c"), (7, long, "d"), (8, long + " more", "e"), (30, "one two three four five", "a")]
     docs += [(100 + k, f"shared line\n{k} own words of document {k}\nother line", f"s{k % 14}") for k in range(60)]
     spark.createDataFrame([(i, t, "en", s, None) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three own words of document"), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     vectors = [(50 * k, [0.5, float(k), -1.0]) for k in range(4)] + [(k, [k / 7, 1.0, k / 3]) for k in range(1, 40)] + [(300, None), (301, [1.0, None, 1.0]), (302, [float("nan"), 0.0, 0.0]), (303, [float("inf"), 0.0, 0.0]), (350, [1.0]), (351, [2.0]), (304, [])]
     spark.createDataFrame([(i, v, 0) for i, v in vectors], "vec_id long, embedding array<double>, label int").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), "label").write.parquet(f"{path}/embeddings.parquet")
     return path
