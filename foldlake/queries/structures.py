@@ -143,12 +143,44 @@ def cp_align_pairs(spark, d):
     return A.scored_pairs(_pairs(spark, d, 20), "piece").select("piece", F.round("tm", 3).alias("tm"), F.round("tm_cp", 3).alias("tm_cp"), "cut")
 
 
+def _next_pairs(spark, d):
+    """Each piece against the one that follows it, null where there is none."""
+    chains = A.packed_chains(_pieces(spark, d), "piece")
+    queries = chains.select("piece", X.next_piece(F.col("piece"), SPAN).alias("next"), F.col("xyz").alias("query"))
+    return queries.join(chains.select(F.col("piece").alias("next"), F.col("xyz").alias("target")), "next", "left").select("piece", "query", "target")
+
+
 def verify_filter(spark, d):
+    return A.verified(A.scored_pairs(_next_pairs(spark, d), "piece", fast=True)).select("piece", F.round("verdict", 3).alias("verdict"))
+
+
+def align_report(spark, d):
+    """The matched residues of each pair in their own numbering, in the order that scores more."""
+    rows = A.path(A.modes(A.permuted(A.dealt(_pairs(spark, d, 20))), "piece"), "piece")
+    return rows.where("preferred").select("piece", "i", "j", F.abs(F.round("d2", 4)).alias("d2"), F.round("closeness", 4).alias("closeness"))
+
+
+def align_round_trip(spark, d):
+    """Each pair brought from the query to the target and back: how many points there are, and how far they end from where they began."""
+    pairs = A.modes(A.aligned(A.dealt(_pairs(spark, d, 7)), "once").withColumn("moved", F.col("once")).withColumn("cut", F.lit(0)), "piece").where("mode = 'seq'")
+    there = A.packed_chains(A.fitted(pairs, "piece"), "piece")
+    back = A.brought(pairs.drop("target").join(there.withColumnRenamed("xyz", "target"), "piece"), "piece")
+    first = pairs.select("piece", F.posexplode(F.sequence(F.lit(0), (F.size("query") / 3).cast("int") - 1)).alias("i", "_k"), "query")
+    first = first.select("piece", "i", *[F.element_at("query", 3 * F.col("i") + k + 1).alias(c) for k, c in enumerate("xyz")])
+    gap = F.sqrt(sum((F.col(f"a.{c}") - F.col(f"b.{c}")) ** 2 for c in "xyz"))
+    return first.alias("a").join(back.alias("b"), ["piece", "i"]).groupBy("piece").agg(F.count("*").alias("n"), F.abs(F.round(F.max(gap), 6)).alias("gap"))
+
+
+def tm_given(spark, d):
+    """The score of each piece against the next one under one given transform."""
     points = _pieces(spark, d)
-    chains = A.packed_chains(points, "piece")
-    queries = chains.select("piece", X.next_piece(F.col("piece"), SPAN).alias("next"), F.col("xyz").alias("query"))
-    pairs = queries.join(chains.select(F.col("piece").alias("next"), F.col("xyz").alias("target")), "next", "left").select("piece", "query", "target")
-    return A.verified(A.scored_pairs(pairs, "piece", fast=True)).select("piece", F.round("verdict", 3).alias("verdict"))
+    moved = A.given(points.withColumn("piece", X.next_piece(F.col("piece"), SPAN)), points, "piece", [[0.0, -1.0, 0.0], [1.0, 0.0, 0.0], [0.0, 0.0, 1.0]], [1.0, -2.0, 0.5])
+    return moved.groupBy("piece", "n").agg(F.count("*").alias("paired"), (F.sum("closeness") / F.col("n")).alias("tm")).select("piece", "paired", F.round("tm", 6).alias("tm"))
+
+
+def align_seeds(spark, d):
+    """The fast score of each seed of an alignment of each piece with the next one."""
+    return A.seed_scores(A.dealt(_next_pairs(spark, d)), "piece").select("piece", "seed", "matched", F.round("score", 4).alias("score"))
 
 
 def event_windows(spark, d):
@@ -170,7 +202,7 @@ def newest_requests(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     pdb_roundtrip, mmcif_roundtrip, mixed_formats, longest_chain, ideal_helix, coordinates_roundtrip, half_floats, embed_batch, residue_contribution, subset_embeddings, contact_messages,
-    kabsch_rmsd, tm_self, cp_align_pairs, verify_filter, event_windows, event_sliding, event_sessions, newest_requests,
+    kabsch_rmsd, tm_self, cp_align_pairs, verify_filter, align_report, align_round_trip, tm_given, align_seeds, event_windows, event_sliding, event_sessions, newest_requests,
 )}
 
 _PIECES = f"{TRACE_SQL}, pieces AS (SELECT CAST(label * 1000 + i // 60 AS INTEGER) AS piece, CAST(i % 60 AS INTEGER) AS i, x, y, z FROM trace)"
@@ -187,6 +219,12 @@ ORACLE = {
         ELSE (CASE WHEN c >= 32768 THEN -1.0 ELSE 1.0 END) * (1 + (c % 1024) / 1024.0) * pow(2.0, (c // 1024) % 32 - 15) END AS value FROM range(0, 65536) AS t(c)""",
     "kabsch_rmsd": f"WITH {_PIECES} SELECT piece, CASE WHEN count(*) >= 4 THEN CAST(0 AS DOUBLE) END AS rmsd FROM pieces GROUP BY piece",
     "tm_self": f"WITH {_PIECES} SELECT piece, CASE WHEN count(*) >= 4 THEN CAST(1 AS DOUBLE) END AS tm FROM pieces GROUP BY piece",
+    "align_report": f"""WITH {_PIECES}, n AS (SELECT piece, count(*) AS n FROM pieces GROUP BY piece HAVING count(*) >= 4)
+        SELECT piece, CAST((i + 20) % n AS INTEGER) AS i, i AS j, CAST(0 AS DOUBLE) AS d2, CAST(1 AS DOUBLE) AS closeness FROM pieces JOIN n USING (piece)""",
+    "align_round_trip": f"WITH {_PIECES} SELECT piece, count(*) AS n, CAST(0 AS DOUBLE) AS gap FROM pieces GROUP BY piece HAVING count(*) >= 4",
+    "tm_given": f"""WITH {_PIECES}, n AS (SELECT piece, count(*) AS n FROM pieces GROUP BY piece),
+        p AS (SELECT t.piece, pow(-q.y + 1.0 - t.x, 2) + pow(q.x - 2.0 - t.y, 2) + pow(q.z + 0.5 - t.z, 2) AS d2 FROM pieces AS q JOIN pieces AS t ON t.piece = q.piece + 1 AND t.i = q.i)
+        SELECT piece, count(*) AS paired, round(sum(1 / (1 + d2 / pow(CASE WHEN n <= 21 THEN 0.5 ELSE greatest(0.5, 1.24 * cbrt(n - 15) - 1.8) END, 2))) / n, 6) AS tm FROM p JOIN n USING (piece) GROUP BY piece, n""",
     "event_windows": "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_sliding": """WITH w AS (SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600 * k AS start, event_type FROM events, range(0, 2) AS t(k)), g AS (SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2)
         SELECT event_type, CAST(sum(n) AS BIGINT) AS n, count(*) AS windows FROM g GROUP BY event_type""",

@@ -28,41 +28,11 @@ def points(spark, x, chain=0):
     return spark.createDataFrame([(chain, i, *map(float, p)) for i, p in enumerate(x)], "chain int, i int, x double, y double, z double")
 
 
-def test_rigid_motion_changes_no_score():
-    x = walk(60)
-    assert align.rmsd(x, turned(x)) < 1e-8
-    score, match, _, _ = align.align(x, turned(x))
-    assert abs(score - 1) < 1e-9 and np.array_equal(match, np.arange(60))
-
-
-@pytest.mark.parametrize("cut", [9, 20, 41])
-def test_a_circular_permutation_is_recovered(cut):
-    x = walk(60, 3)
-    plain, moved, found = align.permuted_align(np.roll(x, cut, axis=0), turned(x))
-    assert moved > 0.999 and plain < moved and found == cut
-
-
 def test_mirror_images_do_not_superpose():
     x = walk(40)
     assert align.rmsd(x, x * np.array([1, 1, -1])) > 1
 
 
-def test_chain_match_equals_plain_dynamic_programming():
-    rng = np.random.default_rng(5)
-    for _ in range(20):
-        gain = rng.random((rng.integers(3, 9), rng.integers(3, 9))) - 0.2
-        n, m = gain.shape
-        v, path = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), bool)
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                d, u, w = v[i - 1, j - 1] + gain[i - 1, j - 1], v[i - 1, j] - 0.6 * path[i - 1, j], v[i, j - 1] - 0.6 * path[i, j - 1]
-                path[i, j] = d >= u and d >= w
-                v[i, j] = max(d, u, w)
-        match = align.chain_match(gain, -0.6)
-        held = match[match >= 0]
-        assert (np.diff(held) > 0).all()
-
-
 def test_two_blobs_are_two_domains():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 6, (60, 3)), rng.normal(0, 6, (60, 3)) + 40])
