@@ -1,9 +1,13 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences, each with a word at least.  A sentence has the probability
-sigmoid(b + sum of the weights of its distinct words and word stems), a document the noisy-or
-1 - prod(1 - p).  Only document labels train the weights; the same weights then point at the
-offending sentences.
+A document is a bag of sentences.  A sentence has the probability sigmoid(b + sum of the weights
+of its distinct words and word stems), and 0 if it has none of the learned ones; a document the
+noisy-or 1 - prod(1 - p).  Only document labels train the weights; the same weights then point
+at the offending sentences.
+
+A score counts the sentences that are likelier toxic than not: thousands of unlikely ones would
+add up to a toxic text out of its length alone.  A text without any has the probability of its
+likeliest sentence.  So a score of 0.5 or more always comes with an offending sentence.
 
 Training reads at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of their text, the first
 by a hash of the id.  Words are hashed to ``BUCKETS`` places, so the model has one size
@@ -44,8 +48,8 @@ class Model:
     weights: np.ndarray
 
 
-def _bags(data: np.ndarray, offsets: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (sentence, bucket) pairs of a slice, which sentences hold a word, and the sentence at which each row begins.
+def _bags(data: np.ndarray, offsets: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (sentence, bucket) pairs of a slice, and the sentence at which each row begins.
 
     A sentence ends behind one of . ! ? or a line feed, and at the end of its row.  A word gives
     its own bucket and one for each of its first ``STEMS`` bytes; ``used`` leaves out the rest.
@@ -58,8 +62,6 @@ def _bags(data: np.ndarray, offsets: np.ndarray, used: np.ndarray | None = None)
     starts, stops = W.bounds(low, offsets, _GAPS)
     row = np.searchsorted(offsets, starts, side="right") - 1
     sentence = number[starts] + row
-    worded = np.zeros(first[-1], dtype=bool)
-    worded[sentence] = True
     hashes = W.span_hasher(low)
     pairs = []
     for k, stem in enumerate((0, *STEMS)):
@@ -69,7 +71,7 @@ def _bags(data: np.ndarray, offsets: np.ndarray, used: np.ndarray | None = None)
         own = sentence[long] * BUCKETS + bucket
         pairs.append(own if used is None else own[used[bucket]])
     pairs = np.unique(np.concatenate(pairs))
-    return pairs // BUCKETS, pairs % BUCKETS, worded, first
+    return pairs // BUCKETS, pairs % BUCKETS, first
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -91,7 +93,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = batch.column(0).to_numpy()
         held: dict[int, list[np.ndarray]] = {}
         for lo, hi, data, offsets in _pieces(batch.column(1)):
-            sentence, bucket, _, first = _bags(data, offsets)
+            sentence, bucket, first = _bags(data, offsets)
             at = np.searchsorted(sentence, first)
             for k in range(lo, hi):
                 held.setdefault(k, []).append(np.unique(bucket[at[k - lo] : at[k - lo + 1]]))
@@ -102,27 +104,23 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _examples(place: np.ndarray):
-    """(label, text) to (label, plain, sentence, feature): sentences without a feature are only counted, the others numbered."""
+    """(label, text) to (label, sentence, feature): sentences with a feature, numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used = place >= 0
         for batch in batches:
             n = batch.num_rows
-            plain, seen = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            seen = np.zeros(n, dtype=np.int64)
             pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(n)]
             for lo, hi, data, offsets in _pieces(batch.column(1)):
-                sentence, bucket, worded, first = _bags(data, offsets, used)
+                sentence, bucket, first = _bags(data, offsets, used)
                 at = np.searchsorted(sentence, first)
                 for k in range(lo, hi):
                     own, number = np.unique(sentence[at[k - lo] : at[k - lo + 1]], return_inverse=True)
-                    plain[k] += worded[first[k - lo] : first[k - lo + 1]].sum() - len(own)
                     pairs[k].append((number + seen[k], place[bucket[at[k - lo] : at[k - lo + 1]]]))
                     seen[k] += len(own)
             lists = [[np.concatenate([p[j] for p in own]).astype(np.int32) if own else [] for own in pairs] for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(plain), pa.array(lists[0], pa.list_(pa.int32())), pa.array(lists[1], pa.list_(pa.int32()))],
-                ["label", "plain", "sentence", "feature"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], ["label", "sentence", "feature"])
 
     return run
 
@@ -149,31 +147,29 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, sample: int = SAMPLE,
     best = best[gain[best] > 0]
     place = np.full(BUCKETS, -1, dtype=np.int64)
     place[best] = np.arange(len(best))
-    rows = chosen.mapInArrow(_examples(place), "label int, plain long, sentence array<int>, feature array<int>")
+    rows = chosen.mapInArrow(_examples(place), "label int, sentence array<int>, feature array<int>")
     rows = rows.toArrow()
     ends = np.cumsum(pa.compute.list_value_length(rows.column("feature")).to_numpy())
     flat = [rows.column(c).combine_chunks().flatten().to_numpy() for c in ("feature", "sentence")]
-    spans = list(zip(rows.column("label").to_pylist(), rows.column("plain").to_pylist(), np.append(0, ends[:-1]), ends, strict=True))
-    rows = rows.take(sorted(range(len(spans)), key=lambda k: (*spans[k][:2], *(x[spans[k][2] : spans[k][3]].tobytes() for x in flat))))
-    label, plain = (rows.column(c).to_numpy().astype(np.float64) for c in ("label", "plain"))
+    spans = list(zip(rows.column("label").to_pylist(), np.append(0, ends[:-1]), ends, strict=True))
+    rows = rows.take(sorted(range(len(spans)), key=lambda k: (spans[k][0], *(x[spans[k][1] : spans[k][2]].tobytes() for x in flat))))
+    label = rows.column("label").to_numpy().astype(np.float64)
     lengths = pa.compute.list_value_length(rows.column("feature")).to_numpy()
     feature, number = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("feature", "sentence"))
-    # sentences with a feature come first, then one for each document that stands for its plain ones
     ends = np.cumsum(lengths)
     sizes = np.array([number[e - n : e].max() + 1 if n else 0 for e, n in zip(ends, lengths, strict=True)], dtype=np.int64)
     sentence = number + np.repeat(np.cumsum(sizes) - sizes, lengths)
-    owner = np.concatenate([np.repeat(np.arange(len(label)), sizes), np.arange(len(label))])
-    times = np.concatenate([np.ones(sizes.sum()), plain])
+    owner = np.repeat(np.arange(len(label)), sizes)
     theta = np.zeros(len(best) + 1)
     theta[-1] = -5.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, turns + 1):
         z = theta[-1] + np.bincount(sentence, theta[feature], minlength=len(owner))
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.bincount(owner, times * np.log1p(-np.minimum(s, 1 - 1e-9)), minlength=len(label))
+        none = np.bincount(owner, np.log1p(-np.minimum(s, 1 - 1e-9)), minlength=len(label))
         some = np.maximum(-np.expm1(none), 1e-9)
         # d loss / d z of a sentence, spread from its document
-        pull = np.where(label > 0, -np.exp(none) / some, 1.0)[owner] * s * times
+        pull = np.where(label > 0, -np.exp(none) / some, 1.0)[owner] * s
         grad = np.append(np.bincount(feature, pull[sentence], minlength=len(best)), pull.sum()) / len(label)
         grad[:-1] += 2e-5 * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -193,15 +189,16 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     def kernel(text: pa.Array) -> list[pa.Array]:
         bias, weights = shared.value
         used = weights != 0
-        clean = np.zeros(len(text))
+        clean, likeliest = np.zeros(len(text)), np.zeros(len(text))
         found: list[list] = [[] for _ in range(len(text))]
         chars = np.zeros(len(text), dtype=np.int64)
         for lo, hi, data, offsets in _pieces(text):
-            sentence, bucket, worded, first = _bags(data, offsets, used)
+            sentence, bucket, first = _bags(data, offsets, used)
             z = bias + np.bincount(sentence, weights[bucket], minlength=first[-1])
-            s = np.where(worded, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
-            logs = np.log1p(-np.minimum(s, 1 - 1e-12))
+            s = np.where(np.bincount(sentence, minlength=first[-1]) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+            logs = np.where(s >= cut, np.log1p(-np.minimum(s, 1 - 1e-12)), 0.0)
             clean[lo:hi] += np.add.reduceat(logs, first[:-1]) if hi > lo else 0
+            likeliest[lo:hi] = np.maximum(likeliest[lo:hi], np.maximum.reduceat(s, first[:-1]) if hi > lo else 0)
             width = np.zeros(len(data) + 1, dtype=np.int64)
             np.cumsum((data & 0xC0) != 0x80, out=width[1:])
             hits = np.flatnonzero(s >= cut)
@@ -215,7 +212,7 @@ def scored(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
                     base = chars[lo + r] - width[offsets[r]]
                     found[lo + r].append({"start": int(width[start] + base), "end": int(width[end] + base), "score": float(s[k])})
             chars[lo:hi] += width[offsets[1:]] - width[offsets[:-1]]
-        return [pa.array(0.0 - np.expm1(clean)), pa.array(found, _OFFENDING)]
+        return [pa.array(np.where(clean < 0, -np.expm1(clean), likeliest)), pa.array(found, _OFFENDING)]
 
     return mapped(docs, kernel, toxic_score=DoubleType(), offending=from_arrow_type(_OFFENDING))
 
@@ -224,7 +221,7 @@ def toxicity(docs: DataFrame, model: Model, cut: float = 0.5) -> DataFrame:
     """``docs`` with toxic_score (0 to 1) and offending, its sentences of probability >= ``cut``.
 
     offending: array of (start, end, score), code points, end exclusive.  A text without a
-    word, a null one too, has score 0.  Nulls, ties and repeated rows change nothing else,
+    learned word, a null one too, has score 0.  Nulls, ties and repeated rows change nothing else,
     since a row is scored alone.  Columns of these two names are replaced; all others keep
     their names and values.
     """
