@@ -56,13 +56,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _fitting(*parts: np.ndarray) -> type:
-    """The type in which all inner products of rows of ``parts`` are exact."""
-    most = [max((int(p.max(initial=0)), -int(p.min(initial=0)))) for p in parts]
-    limit = max(most) ** 2 * parts[0].shape[1]
-    if limit >= 1 << 63:
-        raise ValueError("inner products exceed 63 bits")
-    return np.float64 if limit < EXACT else np.int64
+def _largest(*parts: np.ndarray) -> list[int]:
+    """The largest absolute value of each coordinate."""
+    return [max(int(p[:, j].max(initial=0)) if hi else -int(p[:, j].min(initial=0)) for p in parts for hi in (0, 1)) for j in range(parts[0].shape[1])]
+
+
+def _fitting(queries: np.ndarray, *rows: np.ndarray) -> type:
+    """The type in which all inner products of ``queries`` with ``rows`` are exact: Python integers, if no other is."""
+    limit = sum(a * b for a, b in zip(_largest(queries), _largest(*rows), strict=True))
+    return np.float64 if limit < EXACT else np.int64 if limit < 1 << 63 else object
 
 
 def _nearest(pivots: np.ndarray):
@@ -105,7 +107,7 @@ def _blocks(k: int):
             nonlocal n
             ids, rows = np.array([h[0] for h in held], np.int64), np.stack([h[1] for h in held])
             places = np.flatnonzero([h[2] for h in held])
-            kind = _fitting(rows)
+            kind = _fitting(rows[places], rows)
             scores = rows[places].astype(kind) @ rows.astype(kind).T
             own = np.ones(scores.shape, dtype=bool)
             own[np.arange(len(places)), places] = False
@@ -144,8 +146,12 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bounds(queries: np.ndarray, most: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """The summed term maxima of each (query, block)."""
+    """The summed term maxima of each (query, block); rounded upwards where they exceed 63 bits."""
     kind = _fitting(queries, most, least)
+    if kind is object:
+        q, rows = queries.astype(np.float64), [x.astype(np.float64) for x in (most, least)]
+        slack = np.abs(q) @ np.maximum(*map(np.abs, rows)).T * (4 * queries.shape[1] * np.finfo(np.float64).eps)
+        return np.maximum(q, 0) @ rows[0].T + np.minimum(q, 0) @ rows[1].T + slack
     q = queries.astype(kind)
     return np.maximum(q, 0) @ most.astype(kind).T + np.minimum(q, 0) @ least.astype(kind).T
 
@@ -168,7 +174,7 @@ def search(queries: np.ndarray, own: np.ndarray, bars: np.ndarray, blocks: list[
     most, least = np.stack([rows.max(axis=0) for _, _, rows in blocks]), np.stack([rows.min(axis=0) for _, _, rows in blocks])
     first = np.array([ids.min() for _, ids, _ in blocks])
     kind = _fitting(queries, most, least)
-    limits, q_values = bounds(queries, most, least).astype(kind), queries.astype(kind)
+    limits, q_values = bounds(queries, most, least), queries.astype(kind)
     order = np.argsort(-limits, axis=1, kind="stable")
     found = [(np.zeros(0, kind), np.zeros(0, np.int64)) for _ in queries]
     bar = bars.astype(kind)
@@ -261,7 +267,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, **columns) -> DataFr
     """(query_id, rank, vec_id, score): for each query row its ``k`` best other rows by inner product.
 
     ``is_query`` is a condition on vec_id.  Values are those of ``integers``; scores are exact,
-    and those beyond 63 bits an error.  Only vectors of one length have a product.  Ties go to
+    and a score that itself exceeds 63 bits is an error.  Only vectors of one length have a product.  Ties go to
     the smaller vec_id; a query with fewer than k other rows has them all.  A row that repeats
     an id is a candidate and, if asked for, a query of its own.  Without rows or queries the
     result is empty.

@@ -124,6 +124,26 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(df, F.col("vec_id") == 99).count() == 0
 
 
+@pytest.mark.parametrize(("outlier", "width"), [(2e6, 64), (3e11, 4), (-1.1e11, 64)])
+def test_top_k_with_large_finite_values(spark, outlier, width):
+    rng = np.random.default_rng(7)
+    rows = {i: rng.normal(0, 0.1, width).tolist() for i in range(120)}
+    rows[33] = [outlier, *rows[33][1:]]
+    rows[70] = [*rows[70][:-1], outlier]
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows.items()}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    found = topk.top_k(df, F.col("vec_id") % 2 == 0, 5).collect()
+    assert sorted(tuple(r) for r in found) == brute_top(whole, 5)
+
+
+def test_bounds_beyond_63_bits_are_bounds():
+    rng = np.random.default_rng(1)
+    q, a = rng.integers(-(1 << 40), 1 << 40, (6, 5)), rng.integers(-(1 << 40), 1 << 40, (9, 5))
+    limits = topk.bounds(q, a, a)
+    exact = [[sum(int(x) * int(y) for x, y in zip(u, v, strict=True)) for v in a] for u in q]
+    assert all(limits[i, j] >= exact[i][j] and limits[i, j] - exact[i][j] <= 1e-9 * (1 << 83) for i in range(6) for j in range(9))
+
+
 def test_top_k_prunes_clustered_vectors(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(0, 1, (20, 16))
@@ -890,3 +910,31 @@ def test_a_document_is_the_noisy_or_of_its_sentences(spark):
     whole = toxicity.toxicity(frame(spark, [(1, text, "s")]), model).first().toxic_score
     parts = [toxicity.toxicity(frame(spark, [(1, t, "s")]), model).first().toxic_score for t in re.split(r"[.!?\n]", text)]
     assert abs(whole - (1 - math.prod(1 - p for p in parts))) < 1e-9
+
+
+def test_a_long_clean_text_is_not_toxic(spark):
+    """However long, a text without an offending sentence stays below one half, and one such sentence inside it is found."""
+    words = vocabulary(400, 8)
+    rng = random.Random(11)
+    clean = lambda n: " ".join(" ".join(rng.choice(words) for _ in range(8)) + "." for _ in range(n))
+    bad = "you vile zzgrub get lost."
+    rows = [(i, clean(6) + (" " + bad if i % 5 == 0 else "") + " " + clean(4), "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels, F.lit(True))
+    megabyte = clean(22_000)
+    assert len(megabyte) > 1_000_000
+    texts = [(1, megabyte, "s"), (2, megabyte + " " + bad + " " + megabyte, "s"), (3, megabyte * 20, "s"), (4, "the weather is fine today. " * 20_000, "s"), (5, "\n".join(t for i, t, _ in rows if i % 5), "s")]
+    got = {r.doc_id: r for r in toxicity.toxicity(frame(spark, texts), model).collect()}
+    assert all(got[k].toxic_score < 0.5 and not got[k].offending for k in (1, 3, 4, 5))
+    assert got[2].toxic_score >= 0.5
+    assert [texts[1][1][o.start : o.end].strip() for o in got[2].offending] == [bad]
+
+
+def test_scores_of_half_or_more_have_an_offending_sentence(spark):
+    model = toxicity.Model(-1.0, np.random.default_rng(0).normal(0, 0.8, toxicity.BUCKETS).astype(np.float32))
+    rng, words = random.Random(3), vocabulary(300, 2)
+    rows = [(i, "".join(" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) + rng.choice(".!?\n") for _ in range(rng.randint(0, 30))), "s") for i in range(300)]
+    for r in toxicity.toxicity(frame(spark, rows), model).collect():
+        assert (r.toxic_score >= 0.5) == bool(r.offending)
+        if r.offending:
+            assert abs(r.toxic_score - (1 - math.prod(1 - o.score for o in r.offending))) < 1e-9
