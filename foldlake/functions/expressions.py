@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -145,3 +146,37 @@ def display_id(name: Column) -> Column:
         .when(name.rlike(scoped), F.concat(F.upper(F.regexp_extract(name, scoped, 1)), F.lit("_"), F.upper(F.regexp_extract(name, scoped, 2))))
         .otherwise(name)
     )
+
+
+_WORD = (1 << 32) - 1
+# The step of the seeded generator and the shifts and factors of its mixing.
+_STEP, _SHIFTS, _ODD = 0x9E3779B9, (15, 7, 14), (1, 61)
+
+
+def _product(a: Column, b: Column) -> Column:
+    """The low 32 bits of the product of two numbers of 32 bits, without leaving 63 bits."""
+    low, high = b.bitwiseAND(F.lit(0xFFFF)), F.shiftright(b, 16)
+    return (a * low + F.shiftleft((a * high).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(_WORD))
+
+
+def seeded_draw(seed: Column, k: Column) -> Column:
+    """The k-th number (from 0) in [0, 1) of a generator of 32 bits; any can be had without those before it.
+
+    ``seed`` counts modulo 2^32.  The state of draw k is the seed and k + 1 steps, and two rounds of
+    shifts and products mix it.
+    """
+    # each step is bound once: written out, the uses of its uses would double from step to step
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    fold = lambda x, n: x.bitwiseXOR(F.shiftright(x, n))
+    mixed = lambda t, k: _product(fold(t, _SHIFTS[k]), t.bitwiseOR(F.lit(_ODD[k])))
+    state = (seed.cast("long").bitwiseAND(F.lit(_WORD)) + (k.cast("long") + 1) * F.lit(_STEP)).bitwiseAND(F.lit(_WORD))
+    last = lambda t: bound(t.bitwiseXOR((t + mixed(t, 1)).bitwiseAND(F.lit(_WORD))), lambda u: fold(u, _SHIFTS[2]))
+    return bound(state, lambda t: bound(mixed(t, 0), last)) / F.lit(float(1 << 32))
+
+
+def seeded_normal(seed: Column, k: Column) -> Column:
+    """The k-th normal number: draws come in pairs, which give a radius and a turn to two numbers."""
+    pair = k - k % 2
+    radius = F.sqrt(-2 * F.log(F.greatest(seeded_draw(seed, pair), F.lit(1e-12))))
+    turn = 2 * math.pi * seeded_draw(seed, pair + 1)
+    return radius * F.when(k % 2 == 0, F.cos(turn)).otherwise(F.sin(turn))

@@ -80,6 +80,25 @@ def majority_label(labels: DataFrame, key: str, at: str, label: str) -> DataFram
     return best.select(key, at, F.col("best.label").alias(label), (F.col("best.rank.n") / F.col("runs")).alias("stability"))
 
 
+def trim_unstable(votes: DataFrame, key: str, at: str, label: str, stability: str, stable: float = 0.999, least: int = 40, keep: float = 0.45) -> DataFrame:
+    """``votes`` whose ends of each domain are unassigned (null) up to the first place of ``stable`` votes.
+
+    A domain of under ``least`` places stays, and none shrinks below ``least`` or the share
+    ``keep`` of its places.  The front is trimmed first.  Inner places stay whatever their votes.
+    """
+    w = Window.partitionBy(key, label).orderBy(at)
+    whole = Window.partitionBy(key, label)
+    sure = F.when(F.col(stability) >= stable, F.col("_k"))
+    rows = votes.withColumn("_k", F.row_number().over(w)).withColumn("_n", F.count("*").over(whole))
+    rows = rows.withColumn("_first", F.min(sure).over(whole)).withColumn("_last", F.max(sure).over(whole))
+    spare = F.greatest(F.lit(0), F.col("_n") - F.greatest(F.lit(least), F.ceil(F.col("_n") * keep)))
+    spare = F.when(F.col("_n") >= least, spare).otherwise(0)
+    front = F.least(F.coalesce(F.col("_first") - 1, F.col("_n")), spare)
+    back = F.least(F.coalesce(F.col("_n") - F.col("_last"), F.col("_n")), spare - front)
+    kept = (F.col("_k") > front) & (F.col("_k") <= F.col("_n") - back)
+    return rows.withColumn(label, F.when(kept, F.col(label))).drop("_k", "_n", "_first", "_last")
+
+
 def coassociation(labels: DataFrame, key: str, run: str, at: str, label: str, bins: int, n: Column) -> DataFrame:
     """(key, a, b, votes): of all runs, how many give the middles of bins a and b one label.
 

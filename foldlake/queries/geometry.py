@@ -169,7 +169,54 @@ def domain_consensus(spark, d):
     return voted.groupBy("chain").agg(F.count_distinct("label").alias("domains"), F.round(F.avg("stability"), 6).alias("stability"))
 
 
+def domain_averaged(spark, d):
+    """Domains of contacts averaged over three perturbed copies."""
+    points = _pieces(spark, d)
+    return S.runs(D.parse(points, "chain", edges=D.averaged_contacts(points, "chain", 3)), "chain", "i", "label")
+
+
+def domain_rescored(spark, d):
+    """Domains whose cuts count with their mean over three graphs and leave sheets whole."""
+    return S.runs(D.parse(_pieces(spark, d), "chain", score_runs=3, veto=2), "chain", "i", "label")
+
+
+def _vectors(spark, d):
+    """Each residue with the embedding that its step comes from."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = table(spark, d, "embeddings").select("label", place.alias("at"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return rows.select("label", F.explode(F.sequence(21 * F.col("at"), 21 * F.col("at") + 20)).alias("i"), "v")
+
+
+def learned_contacts(spark, d):
+    """Soft contacts weighed by the likeness of the embeddings behind their residues."""
+    edges = D.learned_contacts(G.soft_contacts(_trace(spark, d), "label"), _vectors(spark, d), "label")
+    return edges.groupBy("label", "i").agg(F.count("*").alias("n"), F.round(F.sum("w"), 4).alias("w"))
+
+
+def domain_learned(spark, d):
+    """Domains of contacts weighed by embeddings."""
+    points = _pieces(spark, d)
+    vectors = _vectors(spark, d).select(X.piece_key(F.col("label"), F.floor(F.col("i") / 240), 100).alias("chain"), (F.col("i") % 240).cast("int").alias("i"), "v")
+    return S.runs(D.parse(points, "chain", edges=D.learned_contacts(G.soft_contacts(points, "chain"), vectors, "chain")), "chain", "i", "label")
+
+
+def trim_unstable(spark, d):
+    """Runs of 150 vectors of a label whose ends are trimmed while their first component is large."""
+    place = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int")
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("key"), place.alias("at"), (1 - F.abs(F.get("embedding", F.lit(0)).cast("double"))).alias("stability"))
+    rows = rows.withColumn("label", F.floor(F.col("at") / 150).cast("int"))
+    return S.trim_unstable(rows, "key", "at", "label", "stability", 0.9, 10).groupBy("key", "label").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+
+
+def seeded_noise(spark, d):
+    """Draws and normal numbers of the seeded generator, one for each vector."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label")
+    seed = 40503 * F.col("label")
+    return rows.select("vec_id", F.round(X.seeded_draw(seed, F.col("vec_id")), 9).alias("draw"), F.round(X.seeded_normal(seed, F.col("vec_id")), 6).alias("normal"))
+
+
 QUERIES = {f.__name__: f for f in (
+    domain_averaged, domain_rescored, learned_contacts, domain_learned, trim_unstable, seeded_noise,
     trace_contacts, contact_degree_norm, torsion_tau, pos_encoding, terminal_flags, chain_breaks, secondary_structure, ss_run_lengths, ss_smoothed, virtual_cb,
     soft_contacts, beta_pairs, cut_profile, best_contiguous_cut, cut_score_at, rg_penalty, principal_axes_cov, principal_axes, score_field, cosine_field, domain_parse, domain_by_spectrum, domain_trimmed, domain_ladder,
     ladder_plateaus, domain_consensus,
@@ -220,6 +267,24 @@ ORACLE = {
         m AS (SELECT *, sqrt(vx * vx + vy * vy + vz * vz) AS m FROM v)
         SELECT label, i, {', '.join(f"round({c} + 3.5 * CASE WHEN m < 1e-6 THEN {1.0 if c == 'z' else 0.0} ELSE v{c} / m END, 4) AS {c}" for c in 'xyz')} FROM m""",
     "soft_contacts": f"WITH {_SOFT} SELECT label, i, count(*) AS n, round(sum(w), 4) AS w FROM edges WHERE w > 0 GROUP BY label, i",
+    "learned_contacts": f"""WITH {_SOFT}, v AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS at, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        e AS (SELECT e.label, e.i, e.j, CASE WHEN abs(e.i - e.j) = 1 THEN w ELSE w * pow((1 + list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))) / 2, 6) END AS w
+          FROM edges AS e JOIN v AS a ON a.label = e.label AND a.at = e.i // 21 JOIN v AS b ON b.label = e.label AND b.at = e.j // 21 WHERE w > 0)
+        SELECT label, i, count(*) AS n, round(sum(w), 4) AS w FROM e GROUP BY label, i""",
+    "trim_unstable": """WITH p AS (SELECT label AS key, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS spot, 1 - abs(CAST(embedding[1] AS DOUBLE)) >= 0.9 AS sure FROM embeddings),
+        q AS (SELECT key, spot, spot // 150 AS label, row_number() OVER (PARTITION BY key, spot // 150 ORDER BY spot) AS k, sure FROM p),
+        r AS (SELECT key, label, count(*) AS n, min(k) FILTER (WHERE sure) AS first, max(k) FILTER (WHERE sure) AS last FROM q GROUP BY key, label),
+        s AS (SELECT *, CASE WHEN n >= 10 THEN greatest(0, n - greatest(10, CAST(ceil(n * 0.45) AS INTEGER))) ELSE 0 END AS spare FROM r),
+        t AS (SELECT key, label, n, spare, least(coalesce(first - 1, n), spare) AS front, last FROM s),
+        u AS (SELECT q.key, q.spot, CASE WHEN k > front AND k <= n - least(coalesce(n - last, n), spare - front) THEN q.label END AS label FROM q JOIN t ON q.key = t.key AND q.label = t.label)
+        SELECT key, CAST(label AS INTEGER) AS label, count(*) AS n, min(spot) AS lo, max(spot) AS hi FROM u GROUP BY key, label""",
+    "seeded_noise": f"""WITH d AS (SELECT vec_id, unnest([0, 1, 2]) AS which, label FROM embeddings),
+        a AS (SELECT vec_id, which, CAST((40503 * CAST(label AS HUGEINT) + ((CASE which WHEN 0 THEN vec_id ELSE vec_id - vec_id % 2 + which - 1 END) + 1) * CAST(2654435769 AS HUGEINT)) & 4294967295 AS HUGEINT) AS t FROM d),
+        b AS (SELECT vec_id, which, (xor(t, t >> 15) * (t | 1)) & 4294967295 AS t FROM a),
+        c AS (SELECT vec_id, which, xor(t, (t + ((xor(t, t >> 7) * (t | 61)) & 4294967295)) & 4294967295) AS t FROM b),
+        u AS (SELECT vec_id, which, CAST(xor(t, t >> 14) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM c),
+        p AS (SELECT vec_id, max(u) FILTER (WHERE which = 0) AS draw, max(u) FILTER (WHERE which = 1) AS u, max(u) FILTER (WHERE which = 2) AS v FROM u GROUP BY vec_id)
+        SELECT vec_id, round(draw, 9) AS draw, round(sqrt(-2 * ln(greatest(u, 1e-12))) * CASE vec_id % 2 WHEN 0 THEN cos(2 * pi() * v) ELSE sin(2 * pi() * v) END, 6) AS normal FROM p""",
     "beta_pairs": f"WITH {TRACE_SQL} SELECT a.label, a.i, b.i AS j, round({_D2}, 4) AS d2 FROM trace AS a JOIN trace AS b ON a.label = b.label WHERE b.i - a.i >= 5 AND {_D2} <= 30.25",
     "cut_profile": f"WITH {_PROFILE} SELECT label, k, round(ncut, 5) AS ncut FROM prof",
     "best_contiguous_cut": f"WITH {_PROFILE}, r AS (SELECT label, k, ncut, row_number() OVER (PARTITION BY label ORDER BY round(ncut, 9), k) AS r FROM prof WHERE ncut IS NOT NULL) SELECT label, k, round(ncut, 5) AS ncut FROM r WHERE r = 1",

@@ -38,7 +38,7 @@ def test_two_blobs_are_two_domains():
     x = np.concatenate([rng.normal(0, 6, (60, 3)), rng.normal(0, 6, (60, 3)) + 40])
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     i, j = np.nonzero((d < 8) & (d > 0))
-    label = domains.labels_of(120, i, j, np.ones(len(i)), [0.08])[0]
+    label = domains.labels_of(domains.Graph.of(120, i, j, np.ones(len(i))), [0.08])[0]
     assert label[:60].max() == 0 and label[60:].min() == 1
 
 
@@ -48,17 +48,17 @@ def test_short_runs_join_their_neighbours():
         w[k, k + 1] = w[k + 1, k] = 2
     w[60:70, 100:140] = w[100:140, 60:70].T + 1
     label = np.array([0] * 60 + [1] * 10 + [0] * 20 + [2] * 60)
-    got = domains.absorbed(np.maximum(w, w.T), label)
+    got = domains.absorbed(domains.Graph.dense(np.maximum(w, w.T)), label)
     assert got[:90].max() == 0 or got[60] == 2
-    assert set(np.unique(domains.absorbed(np.zeros((90, 90)), np.array([0] * 50 + [1] * 40)))) == {0, 1}
+    assert set(np.unique(domains.absorbed(domains.Graph.dense(np.zeros((90, 90))), np.array([0] * 50 + [1] * 40)))) == {0, 1}
 
 
 def test_spectrum_counts_blobs_and_ends_are_trimmed():
     w = np.kron(np.eye(3), np.ones((50, 50))) + 1e-3
-    assert domains.eigengap(w) == 3
+    assert domains.eigengap(domains.Graph.dense(w)) == 3
     loose = np.zeros((80, 80))
     loose[10:, 10:] = 1
-    got = domains.trimmed(loose, np.zeros(80, dtype=int), 3)
+    got = domains.trimmed(domains.Graph.dense(loose), np.zeros(80, dtype=int), 3)
     assert (got[:10] == -1).all() and (got[10:] == 0).all()
 
 
