@@ -149,8 +149,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of each document: pattern spans and those that the Markov models add."""
-    model = secrets.fit(secrets.labelled_samples(spark))
-    found = secrets.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secrets.fit(secrets.labelled_samples(spark).unionByName(secrets.corpus_words(docs)))
+    found = secrets.secrets(docs, model)
     base = F.filter("_spans", lambda s: s["kind"] != "markov")
     count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(

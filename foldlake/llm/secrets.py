@@ -2,7 +2,7 @@
 
 Patterns give three kinds of span.  Beyond these, tokens of 16 or more key characters are
 scored whole by two first-order character Markov models, one of random strings and one of
-ordinary identifiers; a token whose mean log-likelihood ratio exceeds ``RATIO`` a character is
+ordinary identifiers and of the words of a sample of the documents; a token whose mean log-likelihood ratio exceeds ``RATIO`` a character is
 a span of kind "markov", unless it overlaps a pattern's span.
 
 Everything is DataFrame functions.  The position of a match comes from the lengths of the
@@ -30,6 +30,8 @@ LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 
 RATIO, SMOOTH = 0.7, 0.5
+#: Documents and bytes of each that ordinary words are learned from.
+SAMPLE, SAMPLE_BYTES = 2000, 1 << 16
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
 
@@ -83,6 +85,20 @@ def labelled_samples(spark: SparkSession, rows: int = 6000) -> DataFrame:
     return strings.union(plain)
 
 
+def corpus_words(docs: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, random): different words of a bounded sample of the documents, all ordinary.
+
+    Of the texts of at most ``most_bytes`` bytes, the first ``rows`` by a hash of id and text are
+    read whole.  What a pattern matches is left out, and so is a word of 16 characters or more,
+    which may be a secret.  Null texts give nothing.
+    """
+    own = docs.where(F.octet_length("text") <= most_bytes).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    first = own.select("key").distinct().orderBy("key").limit(rows)
+    plain = F.regexp_replace("text", f"{ASSIGN}|{LONG_ACCESS}|{LONG_HEX}", " ")
+    words = F.filter(F.regexp_extract_all(plain, F.lit(r"[A-Za-z0-9+/_=-]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & (F.length(w) < 16))
+    return own.join(F.broadcast(first), "key").select(F.explode(words).alias("text")).distinct().select("text", F.lit(False).alias("random"))
+
+
 def _symbol(c: Column) -> Column:
     """1 to len(SYMBOLS) + 1; a dash and anything else share the last."""
     at = F.instr(F.lit(SYMBOLS), c)
