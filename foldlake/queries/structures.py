@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from ..functions import expressions as X
 from ..operators import align as A
 from ..operators import embed as E
 from ..operators import geometry as G
+from ..plans.lineage import cut
 from ..plans.views import TRACE_SQL, table, trace
 from ..sources import coordinates as C
+from ..sources import sharded as R
 from ..sources import structures as T
 from ..streaming import verdicts as V
 
@@ -89,6 +93,18 @@ def coordinates_roundtrip(spark, d):
     return both.groupBy("piece").agg(F.count("*").alias("n"), F.count_if(gap > 0.52).alias("off"))
 
 
+def sharded_rows(spark, d):
+    """Residues of the pieces whose row lies in a range, read from shards by the bytes of their blocks."""
+    points, book = cut(_pieces(spark, d)), C.step_book()
+    rows = cut(C.packed(points, book, "piece")).withColumn("row", F.col("piece"))
+    path = f"{spark.sparkContext.getCheckpointDir()}/shards-{uuid.uuid4().hex}"
+    R.write(rows.select("row", "record").where("row >= 0"), path)
+    spark.dataSource.register(R.ShardedRecords)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    found = spark.read.format("sharded_records").load(path).where("row between 1005 and 3010")
+    return C.unpacked(found, book, "row").groupBy("row").agg(F.count("*").alias("n"))
+
+
 def half_floats(spark, d):
     del d
     rows = spark.range(65536).select(F.col("id").cast("int").alias("code"))
@@ -201,7 +217,7 @@ def newest_requests(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    pdb_roundtrip, mmcif_roundtrip, mixed_formats, longest_chain, ideal_helix, coordinates_roundtrip, half_floats, embed_batch, residue_contribution, subset_embeddings, contact_messages,
+    pdb_roundtrip, mmcif_roundtrip, mixed_formats, longest_chain, ideal_helix, coordinates_roundtrip, sharded_rows, half_floats, embed_batch, residue_contribution, subset_embeddings, contact_messages,
     kabsch_rmsd, tm_self, cp_align_pairs, verify_filter, align_report, align_round_trip, tm_given, align_seeds, event_windows, event_sliding, event_sessions, newest_requests,
 )}
 
@@ -215,6 +231,7 @@ ORACLE = {
         SELECT label, chain, n FROM r WHERE r = 1""",
     "ideal_helix": "SELECT 'H' AS ss, CAST(196 AS BIGINT) AS n UNION ALL SELECT 'C', CAST(4 AS BIGINT)",
     "coordinates_roundtrip": f"WITH {_PIECES} SELECT piece, count(*) AS n, CAST(0 AS BIGINT) AS off FROM pieces GROUP BY piece",
+    "sharded_rows": f"WITH {_PIECES} SELECT CAST(piece AS BIGINT) AS row, count(*) AS n FROM pieces WHERE piece BETWEEN 1005 AND 3010 GROUP BY piece",
     "half_floats": """SELECT CAST(c AS INTEGER) AS code, CASE WHEN (c // 1024) % 32 = 31 THEN NULL WHEN (c // 1024) % 32 = 0 THEN (CASE WHEN c >= 32768 THEN -1.0 ELSE 1.0 END) * (c % 1024) * pow(2.0, -24)
         ELSE (CASE WHEN c >= 32768 THEN -1.0 ELSE 1.0 END) * (1 + (c % 1024) / 1024.0) * pow(2.0, (c // 1024) % 32 - 15) END AS value FROM range(0, 65536) AS t(c)""",
     "kabsch_rmsd": f"WITH {_PIECES} SELECT piece, CASE WHEN count(*) >= 4 THEN CAST(0 AS DOUBLE) END AS rmsd FROM pieces GROUP BY piece",
