@@ -11,14 +11,18 @@ from ..plans.lineage import cut
 def prefix_offsets(rows: DataFrame, at: str, size: str, block: int = 4096) -> DataFrame:
     """``rows`` with offset: the sum of ``size`` over all rows before.
 
-    Sums run inside blocks of rows in parallel; only one total a block is summed in one place.
+    Sums run inside blocks of ``block`` rows in parallel, then over the totals of as many blocks at
+    a time; one number for each ``block`` times ``block`` rows is summed in one place.
     """
-    blocked = rows.withColumn("_block", F.floor(F.col(at) / block))
-    totals = blocked.groupBy("_block").agg(F.sum(size).alias("_t"))
-    base = totals.withColumn("_base", F.coalesce(F.sum("_t").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_block").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    out = blocked.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(base.select("_block", "_base"), "_block")
-    return out.withColumn("offset", F.col("_base") + F.col("_in")).drop("_block", "_base", "_in")
+    blocked = rows.withColumn("_block", F.floor(F.col(at) / block)).withColumn("_group", F.floor(F.col("_block") / block))
+    before = lambda *by, place: Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    running = lambda what, w: F.coalesce(F.sum(what).over(w), F.lit(0))
+    totals = blocked.groupBy("_group", "_block").agg(F.sum(size).alias("_t"))
+    groups = totals.groupBy("_group").agg(F.sum("_t").alias("_g"))
+    groups = groups.select("_group", running("_g", before(place="_group")).alias("_far"))
+    base = totals.withColumn("_near", running("_t", before("_group", place="_block"))).join(groups, "_group").select("_block", (F.col("_far") + F.col("_near")).alias("_base"))
+    out = blocked.withColumn("_in", running(size, before("_block", place=at))).join(base, "_block")
+    return out.withColumn("offset", F.col("_base") + F.col("_in")).drop("_group", "_block", "_base", "_in")
 
 
 def locate(rows: DataFrame, shards: DataFrame, at: str = "row", first: str = "row0") -> DataFrame:
