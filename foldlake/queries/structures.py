@@ -80,8 +80,9 @@ def longest_chain(spark, d):
 
 
 def ideal_helix(spark, d):
-    helix = T.ideal_helix(spark, 200).withColumn("chain", F.lit(0))
-    return G.secondary_structure(helix, "chain").groupBy("ss").agg(F.count("*").alias("n"))
+    """Secondary structure of an ideal helix as long as each label has vectors."""
+    lengths = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return G.secondary_structure(T.ideal_helix(lengths, "label"), "label").groupBy("label", "ss").agg(F.count("*").alias("n"))
 
 
 def coordinates_roundtrip(spark, d):
@@ -106,10 +107,10 @@ def sharded_rows(spark, d):
 
 
 def half_floats(spark, d):
-    del d
-    rows = spark.range(65536).select(F.col("id").cast("int").alias("code"))
+    """The half float whose bits a hash of each order's key gives."""
+    rows = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 40503 % 65536).cast("int").alias("code"))
     value = C.half_float(F.col("code"))
-    return rows.select("code", F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).when(value == 0, 0.0).otherwise(value).alias("value"))
+    return rows.select("o_orderkey", "code", F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).when(value == 0, 0.0).otherwise(value).alias("value"))
 
 
 def embed_batch(spark, d):
@@ -229,11 +230,13 @@ ORACLE = {
     "mixed_formats": f"WITH {_PIECES} SELECT piece, count(*) AS n FROM pieces GROUP BY piece",
     "longest_chain": f"""WITH {TRACE_SQL}, c AS (SELECT label, substr('ABCDE', i % 97 % 5 + 1, 1) AS chain, count(*) AS n FROM trace GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, chain) AS r FROM c)
         SELECT label, chain, n FROM r WHERE r = 1""",
-    "ideal_helix": "SELECT 'H' AS ss, CAST(196 AS BIGINT) AS n UNION ALL SELECT 'C', CAST(4 AS BIGINT)",
+    "ideal_helix": """WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+        SELECT label, 'H' AS ss, n - 4 AS n FROM n WHERE n > 4 UNION ALL SELECT label, 'C', least(n, 4) FROM n""",
     "coordinates_roundtrip": f"WITH {_PIECES} SELECT piece, count(*) AS n, CAST(0 AS BIGINT) AS off FROM pieces GROUP BY piece",
     "sharded_rows": f"WITH {_PIECES} SELECT CAST(piece AS BIGINT) AS row, count(*) AS n FROM pieces WHERE piece BETWEEN 1005 AND 3010 GROUP BY piece",
-    "half_floats": """SELECT CAST(c AS INTEGER) AS code, CASE WHEN (c // 1024) % 32 = 31 THEN NULL WHEN (c // 1024) % 32 = 0 THEN (CASE WHEN c >= 32768 THEN -1.0 ELSE 1.0 END) * (c % 1024) * pow(2.0, -24)
-        ELSE (CASE WHEN c >= 32768 THEN -1.0 ELSE 1.0 END) * (1 + (c % 1024) / 1024.0) * pow(2.0, (c // 1024) % 32 - 15) END AS value FROM range(0, 65536) AS t(c)""",
+    "half_floats": """WITH c AS (SELECT o_orderkey, o_orderkey * 40503 % 65536 AS c FROM orders)
+        SELECT o_orderkey, CAST(c AS INTEGER) AS code, CASE WHEN (c // 1024) % 32 = 31 THEN NULL WHEN (c // 1024) % 32 = 0 THEN (CASE WHEN c >= 32768 THEN -1.0 ELSE 1.0 END) * (c % 1024) * pow(2.0, -24)
+        ELSE (CASE WHEN c >= 32768 THEN -1.0 ELSE 1.0 END) * (1 + (c % 1024) / 1024.0) * pow(2.0, (c // 1024) % 32 - 15) END AS value FROM c""",
     "kabsch_rmsd": f"WITH {_PIECES} SELECT piece, CASE WHEN count(*) >= 4 THEN CAST(0 AS DOUBLE) END AS rmsd FROM pieces GROUP BY piece",
     "tm_self": f"WITH {_PIECES} SELECT piece, CASE WHEN count(*) >= 4 THEN CAST(1 AS DOUBLE) END AS tm FROM pieces GROUP BY piece",
     "align_report": f"""WITH {_PIECES}, n AS (SELECT piece, count(*) AS n FROM pieces GROUP BY piece HAVING count(*) >= 4)

@@ -137,7 +137,8 @@ def chosen_chain(rows: DataFrame, least: int = 4) -> DataFrame:
     return rows.join(best, ["structure_id", "chain"], "left_semi")
 
 
-def ideal_helix(spark: SparkSession, n: int) -> DataFrame:
-    """(i, x, y, z) of a helix of 100 degrees, 1.5 up and radius 2.3 a residue."""
-    angle = F.radians(F.col("id") * 100.0)
-    return spark.range(n).select(F.col("id").cast("int").alias("i"), (2.3 * F.cos(angle)).alias("x"), (2.3 * F.sin(angle)).alias("y"), (1.5 * F.col("id")).alias("z"))
+def ideal_helix(lengths: DataFrame, key: str) -> DataFrame:
+    """(key, i, x, y, z) of a helix of n residues for each row of (key, n): 100 degrees, 1.5 up and radius 2.3 a residue."""
+    rows = lengths.where("n > 0").select(key, F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"))
+    angle = F.radians(F.col("i") * 100.0)
+    return rows.select(key, "i", (2.3 * F.cos(angle)).alias("x"), (2.3 * F.sin(angle)).alias("y"), (1.5 * F.col("i")).alias("z"))
