@@ -95,3 +95,12 @@ def test_columns_of_any_name_pass_every_stage(spark, folder):
             assert docs.columns[-2:] == ["shard", "copy"]
         rows = docs.collect()
         assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in extra)
+
+
+def test_a_long_clean_document_stays(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    clean = " ".join(r.text for r in docs.where("doc_id % 8 <> 0").orderBy("doc_id").collect())
+    long = spark.createDataFrame([(9001, clean * 20, "en", "s1", len(clean) * 20), (9002, "the weather is fine today. " * 20_000, "en", "s1", 540_000)], DOCS)
+    assert len(clean) * 20 > 1_000_000
+    kept = corpus_pipeline.reject_toxic(spark, docs.union(long), folder)
+    assert {r.doc_id for r in kept.where("doc_id >= 9000").select("doc_id").collect()} == {9001, 9002}
