@@ -25,6 +25,7 @@ import bisect
 import heapq
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,13 +107,23 @@ _XOR = _rng.integers(0, 1 << 32, 64, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, 64, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+@lru_cache(1 << 16)
+def _mixing(i: int) -> tuple[np.uint32, np.uint32]:
+    """The two constants of coordinate i, however many bands a setting takes."""
+    if i < len(_XOR):
+        return _XOR[i], _MUL[i]
+    rng = np.random.default_rng((77, i))
+    return np.uint32(rng.integers(0, 1 << 32)), np.uint32(rng.integers(0, 1 << 31) * 2 + 1)
+
+
 def bands_for(similarity: float, probability: float = COLLISION) -> int:
     """Bands of one coordinate that collide with at least ``probability`` at ``similarity``."""
     return 1 if similarity >= 1 else math.ceil(math.log(1 - probability) / math.log(1 - similarity))
 
 
 def _coordinate(low: np.ndarray, i: int) -> np.ndarray:
-    v = (low ^ _XOR[i]) * _MUL[i]
+    x, m = _mixing(i)
+    v = (low ^ x) * m
     v ^= v >> np.uint32(15)
     return v * np.uint32(0x2C1B3C6D)
 

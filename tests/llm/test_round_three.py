@@ -245,3 +245,16 @@ def test_words_of_a_corpus_are_no_secrets(spark):
     rows = [(i, "".join(rng.choice(parts) for _ in range(6))) for i in range(100)] + [(1000 + i, "".join(rng.choice(letters) for _ in range(24))) for i in range(100)]
     found = {r.doc_id for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string"), model).where("size(_spans) > 0").collect()}
     assert sum(i >= 1000 for i in found) >= 97 and sum(i < 1000 for i in found) <= 2
+
+
+# op2: settings that take many bands
+
+
+def test_lax_settings_take_as_many_bands_as_they_need():
+    from foldlake.llm import licenses
+
+    found = licenses.groups(licenses.TEMPLATES, share=0.5, inserted=2.0)
+    assert max(g.bands for g in found) > 64
+    low = np.arange(1000, dtype=np.uint32)
+    columns = [licenses._coordinate(low, i).tobytes() for i in range(200)]
+    assert len(set(columns)) == 200
