@@ -13,8 +13,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Each turn takes the smallest label among a node's neighbours and then the label of that
     label, so chains shorten by half; it stops when no label changes.  Rows are two ids wide;
-    adaptive execution splits the side of a hub or of a large component's label.  An empty
-    edge table gives an empty result; repeated edges and loops change nothing.
+    adaptive execution splits the side of a hub or of a large component's label.  Turns join by
+    sort and merge, so no table of labels passes the driver.  An empty edge table gives an
+    empty result; repeated edges and loops change nothing.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct()
     both = checkpointed(both)
@@ -23,10 +24,10 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
     labels = checkpointed(narrowed(labels, rows))
     for _ in range(most):
-        near = narrowed(both.join(labels, both["b"] == labels["node"]), rows).groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
+        near = narrowed(both.join(labels.hint("merge"), both["b"] == labels["node"]), rows).groupBy("a").agg(F.min("label").alias("near"))
+        low = labels.join(near.hint("merge"), labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
         parent = labels.select(F.col("node").alias("p"), F.col("label").alias("up"))
-        turned = narrowed(low, rows).join(parent, low["low"] == parent["p"])
+        turned = narrowed(low, rows).join(parent.hint("merge"), low["low"] == parent["p"])
         turned = turned.select("node", F.least("low", "up").alias("label"), (F.least("low", "up") != F.col("label")).alias("moved"))
         turned = checkpointed(narrowed(turned, rows))
         labels = turned.select("node", "label")
