@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import checkpointed, narrowed
+from .shared import checkpointed, left_join_unique, narrowed
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -34,3 +34,22 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         if not turned.where("moved").limit(1).count():
             return labels
     raise RuntimeError(f"no fixed point after {most} turns")
+
+
+def merged(labels: DataFrame, edges: DataFrame, nodes: int) -> DataFrame:
+    """(node, label) of the components ``labels`` (node, label) of at most ``nodes`` nodes after further ``edges`` (a, b).
+
+    Each component is one node of the graph whose turns are taken, named by its label, so what
+    was found before is not walked again.  Nodes of ``edges`` may be new.  Without edges, or
+    with loops only, the labels stay.
+    """
+    ends = edges.select("a", "b")
+    for end in "ab":
+        own = labels.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    roots = components(ends.where("a != b"))
+    weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+    roots = checkpointed(roots.select(F.col("node").alias("label"), F.col("label").alias("root")).join(weights, "label", "left"))
+    moved = left_join_unique(labels, roots.where("weight is not null"), "label", "weight", nodes)
+    new = roots.where("weight is null").select(F.col("label").alias("node"), F.col("root").alias("label"))
+    return checkpointed(moved.select("node", F.coalesce("root", "label").alias("label")).unionByName(new))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .components import components
+from .components import components, merged
 from .shared import checkpointed, fields, left_join_unique, narrowed, whole
 
 COORDS, JOINED = 48, 3
@@ -323,7 +323,7 @@ def _classes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: st
     sets = _full_sets(pairs, nodes, base, sets, size)
     late = checkpointed(_confirmed(pairs, sets, percent).where("linked").select("a", "b"))
     if late.limit(1).count():
-        labels = components(edges.union(late))
+        labels = merged(labels, late, kinds)
     classes = nodes.select("node", "first_id", "first", "members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("first.doc_id").isNull(), "first.doc_id", "first.text_key")
     smallest = classes.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min_by("first", order).alias("representative"), F.count("*").alias("kinds"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from foldlake.llm import decontamination, language_model, licenses, mixing, quality, secrets, topk, toxicity
 from foldlake.llm import words as W
-from foldlake.llm.components import components
+from foldlake.llm.components import components, merged
 from foldlake.llm.line_dedup import line_dedup
 from foldlake.llm.near_duplicates import near_duplicates
 from foldlake.llm.shared import crc_mod, labelled_sample
@@ -570,6 +570,23 @@ def test_near_duplicates_odd(odd, empty):
     assert got == {("1", 1), ("2", 2), ("3", 3), ("4", 4), ("5", 4), ("None", 4), ("6", 6), ("7", 7), ("8", 7)}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_merged_components_equal_those_of_all_edges(spark, seed):
+    rng = random.Random(seed)
+    pair = lambda n: [(f"{rng.randrange(n):03d}", f"{rng.randrange(n):03d}") for _ in range(n // 3)]
+    first, late = pair(200), [*pair(300), ("000", "000"), ("x", "y"), ("y", "x"), ("000", "x")]
+    edges = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    before = components(edges(first))
+    want = {r.node: r.label for r in components(edges(first + late)).collect()}
+    rows = merged(before, edges(late), 500).collect()
+    got = {r.node: r.label for r in rows}
+    # a node that meets itself only is in no component of two
+    assert len(rows) == len(got) and all(want[n] == label for n, label in got.items())
+    assert all(label == node for node, label in want.items() if node not in got)
+    unchanged = merged(before, edges([]), 500)
+    assert sorted(unchanged.collect()) == sorted(before.collect())
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     edges = edges.union(spark.createDataFrame([(500, 501), (501, 500), (7, 7)], "a long, b long"))
