@@ -19,17 +19,28 @@ XYZ = ("x", "y", "z")
 def contacts(points: DataFrame, key: str, radius: float) -> DataFrame:
     """(key, i, j, d2): ordered pairs of a chain within ``radius``, each point with itself too.
 
-    Points meet through a grid of cells as wide as the radius: an equi-join on the cell, with
-    27 copies of one side, and no pair beyond the neighbouring cells is made.
+    Points meet through a grid of cells twice as wide as the radius, so that a point reaches one
+    neighbour along each axis.  It is copied to those of the eight cells that come after its own,
+    4.5 with its own on average, and a pair of two cells is made once and turned.  The sides are
+    sorted and merged: their sizes before the copies are made would have them broadcast.
     """
-    cells = [F.floor(F.col(c) / radius) for c in XYZ]
-    left = points.select(F.col(key), "i", *XYZ, *[c.alias(f"c{n}") for c, n in zip(cells, XYZ, strict=True)])
-    near = F.array(*[F.struct(*[F.lit(v).alias(f"d{n}") for v, n in zip((a, b, c), XYZ, strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    right = points.select(F.col(key).alias("_key"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in XYZ], F.explode(near).alias("o"))
-    right = right.select("_key", "j", *[f"{c}2" for c in XYZ], *[(F.floor(F.col(f"{c}2") / radius) + F.col(f"o.d{c}")).alias(f"e{c}") for c in XYZ])
+    # a little wider, so that no rounding of a quotient hides a pair at the radius
+    width = 2 * radius * (1 + 1e-9)
+    own = [F.floor(F.col(c) / width) for c in XYZ]
+    near = [F.when(F.col(c) - cell * F.lit(width) < radius, -1).otherwise(1) for c, cell in zip(XYZ, own, strict=True)]
+    left = points.select(F.col(key), "i", *XYZ, *[c.alias(f"c{n}") for c, n in zip(own, XYZ, strict=True)])
+    right = points.select(F.col(key).alias("_key"), F.col("i").alias("j"), *[F.col(c).alias(f"{c}2") for c in XYZ], *[c.alias(f"c{n}") for c, n in zip(own, XYZ, strict=True)], *[c.alias(f"n{n}") for c, n in zip(near, XYZ, strict=True)])
+    offsets = F.array(*[F.struct(*[(F.col(f"n{n}") if v else F.lit(0)).alias(f"d{n}") for v, n in zip((a, b, c), XYZ, strict=True)]) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
+    # the first axis that differs says which of two cells comes after the other
+    after = F.filter(offsets, lambda o: F.when(o["dx"] != 0, o["dx"] > 0).when(o["dy"] != 0, o["dy"] > 0).otherwise(o["dz"] >= 0))
+    right = right.withColumn("o", F.explode(after))
+    away = (F.col("o.dx") != 0) | (F.col("o.dy") != 0) | (F.col("o.dz") != 0)
+    right = right.select("_key", "j", *[f"{c}2" for c in XYZ], *[(F.col(f"c{c}") + F.col(f"o.d{c}")).alias(f"e{c}") for c in XYZ], away.alias("_away"))
     on = [F.col(key) == F.col("_key"), *[F.col(f"c{n}") == F.col(f"e{n}") for n in XYZ]]
     d2 = sum((F.col(c) - F.col(f"{c}2")) ** 2 for c in XYZ)
-    return left.join(right, on).select(key, "i", "j", d2.alias("d2")).where(F.col("d2") <= radius * radius)
+    pairs = left.join(right.hint("merge"), on).select(key, "i", "j", d2.alias("d2"), "_away").where(F.col("d2") <= radius * radius)
+    ways = F.when(F.col("_away"), F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).otherwise(F.array(F.struct("i", "j")))
+    return pairs.select(key, "d2", F.inline(ways)).select(key, "i", "j", "d2")
 
 
 def degrees(edges: DataFrame, key: str) -> DataFrame:
