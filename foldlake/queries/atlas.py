@@ -18,10 +18,10 @@ from .vector import _CODES, _DUAL, DIMS, LO, STEP, _dual, _points, _tops
 
 def map_records(spark, d):
     s = F.col("s_suppkey")
-    fields = [s * 3 - 500, s % 1000 - 100, -s, s * 7 % 65536, F.when(s % 5 == 0, 65535).otherwise(s), s % 11, s % 4, F.when(s % 3 == 0, 65535).otherwise(s % 2)]
-    rows = table(spark, d, "supplier").select(s.alias("k"), F.floor(s / 64).alias("shard"), F.hex(F.concat(*[B.little_endian(f) for f in fields])).alias("h"))
+    fields = [s * 3 - 500, s % 1000 - 100, -s, s * 7 % 65536, F.when(s % 5 == 0, (1 << 32) - 1).otherwise(s), s % 11, s % 4, F.when(s % 3 == 0, 65535).otherwise(s % 2)]
+    rows = table(spark, d, "supplier").select(s.alias("k"), F.floor(s / 64).alias("shard"), F.hex(F.concat(*[B.little_endian(f, int(kind[-1])) for f, (_, kind) in zip(fields, B.WIDE_MAP_RECORD, strict=True)])).alias("h"))
     shards = rows.groupBy(F.col("shard").cast("string").alias("shard")).agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")).alias("content"), F.count("*").alias("rows"))
-    found = B.map_rows(B.fixed_rows(shards.select("shard", "content"), B.MAP_RECORD, shards.select("shard", "rows")))
+    found = B.map_rows(B.fixed_rows(shards.select("shard", "content"), B.WIDE_MAP_RECORD, shards.select("shard", "rows")), B.WIDE_MAP_RECORD)
     return found.select("x", "y", "z", F.round("delta", 6).alias("delta"), "nres", "fold", "cls", "cp")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 # The fields of a map record, all little-endian.
 MAP_RECORD = (("x", "<i2"), ("y", "<i2"), ("z", "<i2"), ("delta", "<u2"), ("nres", "<u2"), ("fold", "<u2"), ("cls", "<u2"), ("cp", "<u2"))
-UNKNOWN = 0xFFFF
+#: The same fields for maps whose places or lengths outgrow 16 bits.
+WIDE_MAP_RECORD = (("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("delta", "<u2"), ("nres", "<u4"), ("fold", "<u2"), ("cls", "<u2"), ("cp", "<u2"))
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -41,9 +42,9 @@ def fixed_rows(shards: DataFrame, fields: tuple[tuple[str, str], ...], expected:
     return shards.select("shard", "content", "rows").mapInArrow(run, f"shard string, row long, {types}")
 
 
-def map_rows(records: DataFrame) -> DataFrame:
-    """Map records with unknown as null and delta from 0 to 1."""
-    known = lambda c: F.when(F.col(c) != UNKNOWN, F.col(c))
+def map_rows(records: DataFrame, fields: tuple[tuple[str, str], ...] = MAP_RECORD) -> DataFrame:
+    """Map records with unknown (the largest number of its field) as null and delta from 0 to 1."""
+    known = lambda c: F.when(F.col(c) != int(np.iinfo(dict(fields)[c]).max), F.col(c))
     return records.select("shard", "row", "x", "y", "z", (known("delta") / 65535.0).alias("delta"), *[known(c).alias(c) for c in ("nres", "fold", "cls", "cp")])
 
 
