@@ -2,7 +2,8 @@
 
 A folder holds shards: ``NAME.records``, records one behind the other, and ``NAME.index``, which has
 the offset of each block of ``BLOCK`` rows (64 bits each) and then the length of each row's record
-(32 bits, 0 for a row without one).  ``shards.json`` lists them with first row, rows and bytes.
+(32 bits, 0 for a row without one).  Rows that lie far apart are stretches of one shard, each with
+such a part of the index.  ``shards.json`` lists them with first row, rows, bytes and both places.
 
     spark.dataSource.register(ShardedRecords)
     spark.read.format("sharded_records").load(path).where("row between 1000 and 1063")
@@ -27,6 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 BLOCK = 64
 RANGE_BYTES = 16 << 20
+#: Rows without a record that the index steps over rather than lists.
+GAP = 16 * BLOCK
 _LISTING = "shards.json"
 
 
@@ -63,24 +66,33 @@ def write(records: DataFrame, path: str, shards: int = 8, row: str = "row", reco
                     lengths.append(len(data))
         if not rows:
             return
-        width = np.zeros(rows[-1] - rows[0] + 1, dtype="<u4")
-        width[np.array(rows) - rows[0]] = lengths
-        base = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[:-1:BLOCK].astype("<u8")
+        place, width = np.array(rows, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        starts = np.concatenate([[0], np.cumsum(width)])
+        ends = np.concatenate([[0], np.flatnonzero(np.diff(place) > GAP) + 1, [len(place)]])
+        found, head = [], 0
         with store.open_output_stream(f"{folder}/{name}.index") as out:
-            out.write(base.tobytes() + width.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows[0]], pa.int64()), pa.array([len(width)], pa.int64()), pa.array([sum(lengths)], pa.int64())], ["name", "row0", "rows", "bytes"])
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                own = np.zeros(int(place[hi - 1] - place[lo]) + 1, dtype="<u4")
+                own[place[lo:hi] - place[lo]] = width[lo:hi]
+                base = (starts[lo] + np.concatenate([[0], np.cumsum(own, dtype=np.int64)])[:-1:BLOCK]).astype("<u8")
+                data = base.tobytes() + own.tobytes()
+                out.write(data)
+                found.append((name, int(place[lo]), len(own), int(starts[hi] - starts[lo]), int(starts[lo]), head))
+                head += len(data)
+        columns = [pa.array(c, pa.string() if k == 0 else pa.int64()) for k, c in enumerate(zip(*found, strict=True))]
+        yield pa.RecordBatch.from_arrays(columns, ["name", "row0", "rows", "bytes", "start", "head"])
 
     store, folder = _store(path)
     store.create_dir(folder, recursive=True)
     ordered = records.where(F.col(row).isNotNull() & F.col(record).isNotNull()).select(F.col(row).cast("long").alias("row"), F.col(record).alias("record"))
-    found = ordered.repartitionByRange(shards, "row").sortWithinPartitions("row").mapInArrow(run, "name string, row0 long, rows long, bytes long").collect()
+    found = ordered.repartitionByRange(shards, "row").sortWithinPartitions("row").mapInArrow(run, "name string, row0 long, rows long, bytes long, start long, head long").collect()
     with store.open_output_stream(f"{folder}/{_LISTING}") as out:
         out.write(json.dumps(sorted((r.asDict() for r in found), key=lambda s: s["row0"])).encode())
 
 
 @dataclass
 class Range(InputPartition):
-    """Rows row0..row0 + rows - 1 of a shard (from its row ``at`` on), where their lengths begin in the index, and the bytes of their records."""
+    """Rows row0..row0 + rows - 1 of a stretch of a shard (from its row ``at`` on), where their lengths begin in the index, and the bytes of their records."""
 
     name: str
     row0: int
@@ -123,7 +135,8 @@ class Reader(DataSourceReader):
             if not self._some(s["row0"], s["row0"] + s["rows"] - 1):
                 continue
             blocks = -(-s["rows"] // BLOCK)
-            base = np.append(np.frombuffer(_bytes(store, f"{folder}/{s['name']}.index", 0, 8 * blocks), "<u8"), np.uint64(s["bytes"])).astype(np.int64)
+            start, head = s.get("start", 0), s.get("head", 0)
+            base = np.append(np.frombuffer(_bytes(store, f"{folder}/{s['name']}.index", head, head + 8 * blocks), "<u8"), np.uint64(start + s["bytes"])).astype(np.int64)
             for k in range(blocks):
                 rows = min(BLOCK, s["rows"] - k * BLOCK)
                 if not self._some(s["row0"] + k * BLOCK, s["row0"] + k * BLOCK + rows - 1):
@@ -133,7 +146,7 @@ class Reader(DataSourceReader):
                 if last and last.name == s["name"] and last.stop == base[k] and last.at + last.rows == k * BLOCK and base[k + 1] - last.start <= self.most:
                     last.rows, last.stop = last.rows + rows, int(base[k + 1])
                 else:
-                    out.append(Range(s["name"], s["row0"] + k * BLOCK, rows, k * BLOCK, 8 * blocks + 4 * k * BLOCK, int(base[k]), int(base[k + 1])))
+                    out.append(Range(s["name"], s["row0"] + k * BLOCK, rows, k * BLOCK, head + 8 * blocks + 4 * k * BLOCK, int(base[k]), int(base[k + 1])))
         return out
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
