@@ -122,6 +122,16 @@ def next_piece(key: Column, span: int) -> Column:
     return F.when(F.pmod(key - F.shiftright(key + F.lit(1 << 39), 40) * F.lit(1 << 40), F.lit(span)) < span - 1, key + 1).otherwise(key + F.lit((1 << 40) - span + 1))
 
 
+def piece_layer(key: Column) -> Column:
+    """How many times ``span`` pieces come before a ``piece_key`` in its chain."""
+    return F.shiftright(key + F.lit(1 << 39), 40)
+
+
+def piece_name(key: Column, span: int) -> Column:
+    """label * span + number of a ``piece_key``: the number that pieces of different chains share once chains have over ``span`` pieces."""
+    return key - piece_layer(key) * F.lit((1 << 40) - span)
+
+
 def cluster_path(cluster: Column, fanout: int = 256) -> Column:
     """Two lower-case hex digits of cluster / fanout, then the cluster."""
     return F.concat(F.lpad(F.lower(F.hex(F.floor(cluster / fanout))), 2, "0"), F.lit("/"), cluster.cast("string"))
