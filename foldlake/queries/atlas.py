@@ -43,8 +43,8 @@ def normal_codes(spark, d):
 
 
 def map_partner_counts(spark, d):
-    rows = U.normal_codes(V.quantise(table(spark, d, "embeddings"), DIMS, LO, STEP), LO, STEP)
-    found = V.partners(rows.select("vec_id", "unit"), 0.5, vector="unit")
+    rows = V.quantise(table(spark, d, "embeddings"), DIMS, LO, STEP)
+    found = V.partners(rows.select("vec_id", U.decoded("code", LO, STEP).alias("v")), 0.5, vector="v", cosine=True)
     return found.groupBy("query_id").agg(F.count("*").alias("n"))
 
 
