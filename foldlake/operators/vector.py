@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 
 LANE_ROWS = 16384
+#: Scores that a task holds at a time.
+BLOCK_SCORES = 1 << 20
+#: How near a cutoff the sums of a matrix product may be wrong about.
+ROUNDING = 1e-9
 
 
 def ranked(scored: DataFrame, k: int, key: str, row: str = "vec_id", floor: float | None = None) -> DataFrame:
@@ -55,29 +59,32 @@ def pinned(hits: DataFrame, order_by: str, most: int, pin: Column, descending: b
     return hits.withColumn("place", F.row_number().over(Window.orderBy(key, "rank"))).where((F.col("place") <= most) | pin)
 
 
-def blocked(db: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], vector: str = "embedding", row: str = "vec_id") -> DataFrame:
+def blocked(db: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], vector: str = "embedding", row: str = "vec_id") -> DataFrame:
     """(query_id, vec_id, score): inner products of every query with every row, reduced in place.
 
-    Both sides are dealt to a grid of lanes of about LANE_ROWS rows; ``pick`` gets a block's
-    scores, query ids and row ids and returns the positions (query, row) worth keeping.
+    Both sides are dealt to a grid of lanes of about LANE_ROWS rows; ``pick`` gets the scores of
+    some queries of a block, query ids, row ids and both sides' vectors, and returns the positions
+    (query, row) worth keeping.  Vectors travel as they are stored, and a task holds BLOCK_SCORES
+    scores whatever the tables' size.
     """
     lanes = max(1, -(-db.count() // LANE_ROWS))
     groups = max(1, -(-queries.count() // LANE_ROWS))
 
     def dealt(df: DataFrame, n: int, own: str, other: str, m: int) -> DataFrame:
         copies = F.sequence(F.lit(0), F.lit(m - 1))
-        return df.select(F.col(row).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(row), F.lit(n)).cast("int").alias(own), F.explode(copies).alias(other))
+        return df.select(F.col(row).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(row), F.lit(n)).cast("int").alias(own), F.explode(copies).alias(other))
 
     def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        a, b = np.stack(q["v"].to_numpy()), np.stack(d["v"].to_numpy())
+        a, b = np.stack(q["v"].to_numpy()), np.stack(d["v"].to_numpy()).astype(np.float64)
         qid, did = q["id"].to_numpy(), d["id"].to_numpy()
-        out = []
-        for lo in range(0, len(a), 1024):
-            scores = a[lo : lo + 1024] @ b.T
-            i, j = pick(scores, qid[lo : lo + 1024], did)
-            out.append(pd.DataFrame({"query_id": qid[lo : lo + 1024][i], "vec_id": did[j], "score": scores[i, j]}))
+        out, each = [], max(1, BLOCK_SCORES // len(b))
+        for lo in range(0, len(a), each):
+            own = a[lo : lo + each].astype(np.float64)
+            scores = own @ b.T
+            i, j = pick(scores, qid[lo : lo + each], did, own, b)
+            out.append(pd.DataFrame({"query_id": qid[lo : lo + each][i], "vec_id": did[j], "score": scores[i, j]}))
         return pd.concat(out, ignore_index=True)
 
     left = dealt(db, lanes, "lane", "part", groups).groupBy("lane", "part")
@@ -88,8 +95,9 @@ def blocked(db: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.nd
 def top_k_batch(db: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, vector: str = "embedding", row: str = "vec_id") -> DataFrame:
     """The ``k`` best rows of each query by inner product: (query_id, rank, vec_id, score)."""
 
-    def pick(scores: np.ndarray, qid: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        scores = np.where(qid[:, None] == did[None, :], -np.inf, scores) if exclude_self else scores
+    def pick(scores: np.ndarray, qid: np.ndarray, did: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if exclude_self:
+            scores[qid[:, None] == did[None, :]] = -np.inf
         if scores.shape[1] > k:
             bar = np.partition(scores, -k, axis=1)[:, -k][:, None]
             return np.nonzero((scores >= bar) & (scores > -np.inf))
@@ -100,11 +108,32 @@ def top_k_batch(db: DataFrame, queries: DataFrame, k: int, exclude_self: bool =
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def partners(db: DataFrame, cutoff: float, vector: str = "embedding", row: str = "vec_id") -> DataFrame:
-    """Ordered pairs of different rows with an inner product of at least ``cutoff``: (query_id, vec_id, score)."""
+def _in_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last as SQL does."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total
 
-    def pick(scores: np.ndarray, qid: np.ndarray, did: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero((scores >= cutoff) & (qid[:, None] != did[None, :]))
+
+def partners(db: DataFrame, cutoff: float, vector: str = "embedding", row: str = "vec_id", cosine: bool = False) -> DataFrame:
+    """Ordered pairs of different rows with an inner product (or ``cosine``) of at least ``cutoff``: (query_id, vec_id, score).
+
+    A score within ROUNDING of the cutoff is summed again in the order of the components: codes of
+    few levels meet a cutoff exactly, and the order of the sum decides.
+    """
+
+    def pick(scores: np.ndarray, qid: np.ndarray, did: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if cosine:
+            long, other = np.sqrt(_in_turn(a, a)), np.sqrt(_in_turn(b, b))
+            scores /= np.maximum(long, 1e-12)[:, None]
+            scores /= np.maximum(other, 1e-12)
+        i, j = np.nonzero((scores >= cutoff - ROUNDING) & (qid[:, None] != did[None, :]))
+        near = np.flatnonzero(scores[i, j] <= cutoff + ROUNDING)
+        exact = _in_turn(a[i[near]], b[j[near]])
+        scores[i[near], j[near]] = exact / np.maximum(long[i[near]] * other[j[near]], 1e-24) if cosine else exact
+        kept = scores[i, j] >= cutoff
+        return i[kept], j[kept]
 
     return blocked(db, db, pick, vector, row)
 
