@@ -25,6 +25,8 @@ MAX_CUT, LEAST, SHORT, MOST = 0.08, 40, 50, 8
 CEILING_LENGTH = 250
 #: How far the contact distance moves between perturbed runs, and the noise of their coordinates.
 CUT_SHIFT, NOISE = 0.4, 0.4
+#: Residues whose edges are weighed by one task.
+VECTOR_BLOCK = 2048
 #: Seed of run k: (first, step); one pair for each use of perturbed copies.
 RUN_SEEDS = {"vote": (0x9E37, 7919), "graph": (0x51ED, 2654435761), "score": (0x7A19, 40503)}
 
@@ -355,8 +357,9 @@ def learned_contacts(edges: DataFrame, vectors: DataFrame, key: str, power: floa
     """``edges`` (key, i, j, w) weighed by ((1 + c) / 2) to ``power``, c the cosine of the vectors of both ends; neighbours keep their weight.
 
     ``vectors`` has (key, i, v), and run where there are several of perturbed copies: then c is
-    their mean.  A chain's vectors and edges meet once; no vector is copied to its edges.  A zero
-    vector has cosine 0; edges of residues without a vector keep their weight.
+    their mean.  A chain's edges lie in blocks of VECTOR_BLOCK residues, and a vector goes once to
+    each block that has an edge of its residue, not to the edges.  A zero vector has cosine 0;
+    edges of residues without a vector keep their weight.
     """
     rows = vectors if "run" in vectors.columns else vectors.withColumn("run", F.lit(0))
     kind = edges.schema[key].dataType.simpleString()
@@ -364,24 +367,30 @@ def learned_contacts(edges: DataFrame, vectors: DataFrame, key: str, power: floa
     def weigh(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if not len(e):
             return e[[key, "i", "j", "w"]]
-        n = int(max(e["i"].max(), e["j"].max(), v["i"].max() if len(v) else 0)) + 1
         total, seen = np.zeros(len(e)), np.zeros(len(e))
         i, j = e["i"].to_numpy(), e["j"].to_numpy()
+        names = np.unique(np.concatenate([i, j]))
+        at, to = np.searchsorted(names, i), np.searchsorted(names, j)
         for _, own in v.groupby("run"):
             width = len(own["v"].iloc[0])
-            unit, held = np.zeros((n, width)), np.zeros(n, dtype=bool)
-            unit[own["i"]], held[own["i"]] = np.stack(own["v"].to_list()), True
+            unit, held = np.zeros((len(names), width)), np.zeros(len(names), dtype=bool)
+            place = np.searchsorted(names, own["i"].to_numpy())
+            unit[place], held[place] = np.stack(own["v"].to_list()), True
             unit /= np.where((size := np.linalg.norm(unit, axis=1)) > 0, size, 1)[:, None]
             for lo in range(0, len(e), 65536):
                 part = slice(lo, lo + 65536)
-                both = held[i[part]] & held[j[part]]
-                total[part] += np.where(both, (unit[i[part]] * unit[j[part]]).sum(axis=1), 0)
+                both = held[at[part]] & held[to[part]]
+                total[part] += np.where(both, (unit[at[part]] * unit[to[part]]).sum(axis=1), 0)
                 seen[part] += both
         cosine = total / np.maximum(seen, 1)
         factor = np.where((seen > 0) & (np.abs(i - j) != 1), ((1 + np.clip(cosine, -1, 1)) / 2) ** power, 1.0)
         return pd.DataFrame({key: e[key].to_numpy(), "i": i, "j": j, "w": e["w"].to_numpy() * factor})
 
-    return edges.select(key, "i", "j", "w").groupBy(key).cogroup(rows.select(key, "run", "i", "v").groupBy(key)).applyInPandas(weigh, f"`{key}` {kind}, i int, j int, w double")
+    block = F.floor(F.col("i") / VECTOR_BLOCK).alias("_block")
+    own = edges.select(key, "i", "j", "w", block)
+    wanted = own.select(key, "_block", F.explode(F.array("i", "j")).alias("i")).distinct()
+    sent = wanted.join(rows.select(key, "run", F.col("i").cast("int").alias("i"), "v").hint("merge"), [key, "i"]).select(F.col(key).alias("_chain"), F.col("_block").alias("_part"), "run", F.col("i").alias("i"), "v")
+    return own.groupBy(key, "_block").cogroup(sent.groupBy("_chain", "_part")).applyInPandas(weigh, f"`{key}` {kind}, i int, j int, w double")
 
 
 def consensus_runs(points: DataFrame, key: str, runs: int = 5, distance: float = 8.0) -> DataFrame:
