@@ -141,14 +141,29 @@ def virtual_side(points: DataFrame, key: str, offset: float = 3.5) -> DataFrame:
     return rows.select(key, "i", *[(F.col(c) + offset * out[c]).alias(c) for c in XYZ])
 
 
-def soft_contacts(points: DataFrame, key: str, distance: float = 8.0, soft: float = 1.0, backbone: float = 2.0) -> DataFrame:
-    """(key, i, j, w), both ways: ``backbone`` between neighbours, else 1 up to distance - soft and 0 from distance + soft on."""
+def _taper(d: Column, distance: Column | float, soft: float) -> Column:
+    """1 up to distance - soft, 0 from distance + soft on, half a cosine between."""
+    return F.when(d <= distance - soft, 1.0).when(d < distance + soft, (1 + F.cos(math.pi * (d - (distance - soft)) / (2 * soft))) / 2).otherwise(0.0)
+
+
+def soft_contacts(points: DataFrame, key: str, *distances: Column | float, soft: float = 1.0, backbone: float = 2.0, widest: float | None = None, carried: str | None = None) -> DataFrame:
+    """(key, i, j, w), both ways: ``backbone`` between neighbours, else 1 up to distance - soft and 0 from distance + soft on.
+
+    The distance is 8 unless given.  Over several ``distances`` w is the mean of their weights,
+    out of one search of the widest; one told by the key is a column, and ``widest`` its largest
+    value.  A column ``carried`` by the points comes along as _a for i and _b for j.
+    """
+    distances = distances or (8.0,)
+    widest = max(distances) if widest is None else widest
     d = F.sqrt("d2")
-    taper = F.when(d <= distance - soft, 1.0).otherwise((1 + F.cos(math.pi * (d - (distance - soft)) / (2 * soft))) / 2)
-    pairs = contacts(points, key, distance + soft).where(F.abs(F.col("i") - F.col("j")) > 1).select(key, "i", "j", taper.alias("w")).where("w > 0")
+    w = sum(_taper(d, x, soft) for x in distances) / len(distances)
+    point = F.struct("i", carried) if carried else F.struct("i")
+    ends = lambda a, b: [F.col(f"{a}.i").alias("i"), F.col(f"{b}.i").alias("j"), *([F.col(f"{a}.{carried}").alias("_a"), F.col(f"{b}.{carried}").alias("_b")] if carried else [])]
+    near = contacts(points.select(key, point.alias("i"), *XYZ), key, widest + soft).where(F.abs(F.col("i.i") - F.col("j.i")) > 1)
+    pairs = near.select(key, *ends("i", "j"), w.alias("w")).where("w > 0")
     n = Window.partitionBy(key).orderBy("i")
-    steps = points.select(key, "i", F.lead("i").over(n).alias("j")).where("j is not null").withColumn("w", F.lit(backbone))
-    return pairs.unionByName(steps).unionByName(steps.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    steps = points.select(key, point.alias("p"), F.lead(point).over(n).alias("q")).where("q is not null").withColumn("w", F.lit(backbone))
+    return pairs.unionByName(steps.select(key, *ends("p", "q"), "w")).unionByName(steps.select(key, *ends("q", "p"), "w"))
 
 
 def beta_pairs(points: DataFrame, key: str, within: float = 5.5, apart: int = 5) -> DataFrame:
