@@ -100,7 +100,7 @@ def graph(points: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     kept = points.join(sized, key, "left_semi")
     edges = G.contacts(kept, key, 10.0)
     last = F.max("i").over(Window.partitionBy(key))
-    nodes = G.torsions(kept, key).withColumn("_last", last).join(G.degrees(edges, key), [key, "i"])
+    nodes = G.torsions(kept, key).withColumn("_last", last).join(G.degrees(edges, key).hint("merge"), [key, "i"])
     ends = [(F.col("i") == 0).cast("double"), (F.col("i") == F.col("_last")).cast("double")]
     features = F.concat(F.array(F.col("share"), *ends, F.col("tau")), G.position_code(F.col("i")))
     return nodes.select(key, "i", features.alias("features")), edges
