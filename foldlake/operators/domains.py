@@ -25,6 +25,8 @@ MAX_CUT, LEAST, SHORT, MOST = 0.08, 40, 50, 8
 CEILING_LENGTH = 250
 #: How far the contact distance moves between perturbed runs, and the noise of their coordinates.
 CUT_SHIFT, NOISE = 0.4, 0.4
+#: Points of a graph whose spectrum is taken from the whole matrix, which is 2 MB at most.
+WHOLE = 512
 #: Residues whose edges are weighed by one task.
 VECTOR_BLOCK = 2048
 #: Seed of run k: (first, step); one pair for each use of perturbed copies.
@@ -134,6 +136,12 @@ def spectrum(g: Graph, most: int) -> np.ndarray:
     """The ``most`` smallest eigenvalues of the normalised Laplacian after the first, which is 0."""
     if not len(g.w) or g.n < 2:
         return np.zeros(0)
+    if g.n <= WHOLE:
+        degree = g.degree()
+        scale = np.where(degree > 0, 1 / np.sqrt(np.maximum(degree, 1e-300)), 0)
+        whole = np.zeros((g.n, g.n))
+        np.add.at(whole, (g.i, g.j), g.w * scale[g.i] * scale[g.j])
+        return 1 - np.linalg.eigvalsh(whole)[::-1][1 : most + 1]
     apply, first = _spread(g)
     known, out = first[None], []
     for k in range(min(most, g.n - 1)):
