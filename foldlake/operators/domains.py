@@ -304,8 +304,8 @@ def labels_of(
 _SHEET = -1
 
 
-def parse(points: DataFrame, key: str, ceilings: tuple[float, ...] = (MAX_CUT,), distance: float = 8.0, edges: DataFrame | None = None, veto: int = 0, score_runs: int = 1, **how) -> DataFrame:
-    """(key, rung, i, label): the domains of each chain under each ceiling, numbered by first residue.
+def parse(points: DataFrame, key: str, ceilings: tuple[float, ...] = (MAX_CUT,), distance: float = 8.0, edges: DataFrame | None = None, veto: int = 0, score_runs: int = 1, packed: bool = False, **how) -> DataFrame:
+    """(key, rung, i, label): the domains of each chain under each ceiling, numbered by first residue; if ``packed`` (key, rung, labels), a row for each ceiling.
 
     ``edges`` (key, i, j, w) replace the soft contacts of ``distance``.  ``veto`` is the number of
     sheet pairs that a later cut may not take apart.  With ``score_runs`` a cut is scored on that
@@ -328,10 +328,12 @@ def parse(points: DataFrame, key: str, ceilings: tuple[float, ...] = (MAX_CUT,),
         sheet = pdf.loc[pdf["run"] == _SHEET, ["i", "j"]].to_numpy()
         others = tuple(graph(p) for run, p in pdf.groupby("run") if run > 0)
         found = labels_of(graph(first[first["w"] > 0]), steps, sheet=sheet, veto=veto, others=others, **how)
+        if packed:
+            return pd.DataFrame({key: pdf[key].iloc[0], "rung": range(len(found)), "labels": found})
         return pd.concat([pd.DataFrame({key: pdf[key].iloc[0], "rung": r, "i": np.arange(n), "label": x}) for r, x in enumerate(found)])
 
     kind = points.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(one, f"`{key}` {kind}, rung int, i int, label int")
+    return rows.groupBy(key).applyInPandas(one, f"`{key}` {kind}, rung int, " + ("labels array<int>" if packed else "i int, label int"))
 
 
 def jittered(points: DataFrame, key: str, runs: int, sigma: float = NOISE, use: str = "vote") -> DataFrame:
@@ -348,12 +350,10 @@ def jittered(points: DataFrame, key: str, runs: int, sigma: float = NOISE, use:
 def perturbed_contacts(points: DataFrame, key: str, runs: int, distance: float = 8.0, use: str = "graph", sigma: float = NOISE, shift: float = CUT_SHIFT) -> DataFrame:
     """(key, run, i, j, w): soft contacts of perturbed copies, whose distance moves by -1, 0 or 1 times ``shift``; run 0 is unperturbed."""
     moved = cut(jittered(points, key, runs, sigma, use)).withColumn("_copy", F.struct(F.col(key).alias("k"), F.col("run").alias("r")))
-    turn = F.when(F.col("run") == 0, 0).otherwise(F.col("run") % 3 - 1)
-    out = None
-    for k in (-1, 0, 1):
-        own = G.soft_contacts(moved.where(turn == k).select("_copy", "i", *G.XYZ), "_copy", distance + k * shift)
-        out = own if out is None else out.unionByName(own)
-    return out.select(F.col("_copy.k").alias(key), F.col("_copy.r").alias("run"), "i", "j", "w")
+    run = F.col("_copy.r")
+    turn = F.when(run == 0, 0).otherwise(run % 3 - 1)
+    out = G.soft_contacts(moved.select("_copy", "i", *G.XYZ), "_copy", distance + turn * F.lit(shift), widest=distance + abs(shift))
+    return out.select(F.col("_copy.k").alias(key), run.alias("run"), "i", "j", "w")
 
 
 def averaged_contacts(points: DataFrame, key: str, runs: int, distance: float = 8.0) -> DataFrame:
@@ -401,15 +401,15 @@ def learned_contacts(edges: DataFrame, vectors: DataFrame, key: str, power: floa
     return own.groupBy(key, "_block").cogroup(sent.groupBy("_chain", "_part")).applyInPandas(weigh, f"`{key}` {kind}, i int, j int, w double")
 
 
-def consensus_runs(points: DataFrame, key: str, runs: int = 5, distance: float = 8.0) -> DataFrame:
-    """(key, run, i, label) of perturbed parses; votes over them are in ``segments``."""
+def consensus_runs(points: DataFrame, key: str, runs: int = 5, distance: float = 8.0, packed: bool = False) -> DataFrame:
+    """(key, run, i, label) of perturbed parses, or (key, run, labels) if ``packed``; votes over them are in ``segments``."""
     edges = perturbed_contacts(points, key, runs, distance, "vote")
     copy = lambda df: df.withColumn("_copy", F.struct(F.col(key).alias("k"), F.col("run").alias("r")))
     every = copy(points.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1)))))
     name = F.to_json("_copy")
-    found = parse(every.withColumn("_copy", name), "_copy", edges=copy(edges).withColumn("_copy", name))
+    found = parse(every.withColumn("_copy", name), "_copy", edges=copy(edges).withColumn("_copy", name), packed=packed)
     back = F.from_json("_copy", every.schema["_copy"].dataType.simpleString())
-    return found.select(back["k"].alias(key), back["r"].alias("run"), "i", "label")
+    return found.select(back["k"].alias(key), back["r"].alias("run"), *(["labels"] if packed else ["i", "label"]))
 
 
 def plateaus(rungs: DataFrame, key: str) -> DataFrame:

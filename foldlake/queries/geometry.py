@@ -155,17 +155,14 @@ def domain_ladder(spark, d):
 
 
 def ladder_plateaus(spark, d):
-    found = D.parse(_pieces(spark, d), "chain", LADDER)
-    joined = found.groupBy("chain", "rung").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "label"))), lambda s: s["label"].cast("string")), ",").alias("s"))
-    return D.plateaus(joined.select("chain", "rung", F.md5("s").alias("signature")), "chain").select("chain", "first", "last", "length")
+    found = D.parse(_pieces(spark, d), "chain", LADDER, packed=True)
+    return D.plateaus(found.select("chain", "rung", F.md5(F.array_join("labels", ",")).alias("signature")), "chain").select("chain", "first", "last", "length")
 
 
 def domain_consensus(spark, d):
-    runs = D.consensus_runs(_pieces(spark, d), "chain")
-    counts = runs.groupBy("chain", "run").agg(F.count_distinct("label").cast("int").alias("k"))
-    modal = S.modal_count(counts, "chain", "k")
-    agreeing = runs.join(counts, ["chain", "run"]).join(modal.select("chain", "modal"), "chain").where("k = modal")
-    voted = S.majority_label(agreeing.select("chain", "i", "label"), "chain", "i", "label")
+    runs = D.consensus_runs(_pieces(spark, d), "chain", packed=True)
+    agreeing = S.of_modal_count(runs.withColumn("k", F.size(F.array_distinct("labels"))), "chain", "k")
+    voted = S.majority_label(agreeing.select("chain", F.posexplode("labels").alias("i", "label")), "chain", "i", "label")
     return voted.groupBy("chain").agg(F.count_distinct("label").alias("domains"), F.round(F.avg("stability"), 6).alias("stability"))
 
 
