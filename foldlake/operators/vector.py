@@ -63,7 +63,7 @@ def blocked(db: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.nd
     """(query_id, vec_id, score): inner products of every query with every row, reduced in place.
 
     Both sides are dealt to a grid of lanes of about LANE_ROWS rows; ``pick`` gets the scores of
-    some queries of a block, query ids, row ids and both sides' vectors, and returns the positions
+    some queries of a block, query ids, row ids (ascending) and both sides' vectors, and returns the positions
     (query, row) worth keeping.  Vectors travel as they are stored, and a task holds BLOCK_SCORES
     scores whatever the tables' size.
     """
@@ -77,6 +77,7 @@ def blocked(db: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.nd
     def cell(d: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(d) or not len(q):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        d = d.sort_values("id", kind="stable")
         a, b = np.stack(q["v"].to_numpy()), np.stack(d["v"].to_numpy()).astype(np.float64)
         qid, did = q["id"].to_numpy(), d["id"].to_numpy()
         out, each = [], max(1, BLOCK_SCORES // len(b))
@@ -93,15 +94,37 @@ def blocked(db: DataFrame, queries: DataFrame, pick: Callable[[np.ndarray, np.nd
 
 
 def top_k_batch(db: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, vector: str = "embedding", row: str = "vec_id") -> DataFrame:
-    """The ``k`` best rows of each query by inner product: (query_id, rank, vec_id, score)."""
+    """The ``k`` best rows of each query by inner product: (query_id, rank, vec_id, score).
 
-    def pick(scores: np.ndarray, qid: np.ndarray, did: np.ndarray, *_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    A block leaves at most ``k`` rows a query, whatever number of copies score alike.  A matrix product gives
+    copies scores of different last digits, so what may be among the best is summed again in the
+    order of the components.
+    """
+
+    def pick(scores: np.ndarray, qid: np.ndarray, did: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if exclude_self:
-            scores[qid[:, None] == did[None, :]] = -np.inf
+            lo, hi = np.searchsorted(did, qid), np.searchsorted(did, qid, side="right")
+            for r in np.flatnonzero(hi > lo):
+                scores[r, lo[r] : hi[r]] = -np.inf
+        near = np.full(len(scores), -np.inf)
         if scores.shape[1] > k:
-            bar = np.partition(scores, -k, axis=1)[:, -k][:, None]
-            return np.nonzero((scores >= bar) & (scores > -np.inf))
-        return np.nonzero(scores > -np.inf)
+            bar = np.partition(scores, -k, axis=1)[:, -k]
+            near = bar - ROUNDING * np.maximum(1, np.abs(bar))
+        kept = (scores >= near[:, None]) & (scores > -np.inf)
+        crowded = np.flatnonzero(np.count_nonzero(kept, axis=1) > k)
+        columns = np.ascontiguousarray(b.T) if len(crowded) else b.T
+        for r in crowded:
+            exact = np.zeros(len(b))
+            for x, column in zip(a[r], columns, strict=True):
+                exact += x * column
+            exact[~kept[r]] = -np.inf
+            bar = np.partition(exact, -k)[-k]
+            above, level = exact > bar, np.flatnonzero(exact == bar)
+            above[level[: k - np.count_nonzero(above)]] = True
+            kept[r] = above
+        i, j = np.nonzero(kept)
+        scores[i, j] = _in_turn(a[i], b[j])
+        return i, j
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = blocked(db, queries, pick, vector, row)
