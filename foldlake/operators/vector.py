@@ -251,10 +251,17 @@ def save_clusters(clustered: DataFrame, path: str) -> None:
     clustered.repartition("cluster").sortWithinPartitions("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
 
 
+def _in_blocks(v: pd.Series, columns: int) -> Iterator[np.ndarray]:
+    """The vectors of a batch, as many together as have BLOCK_SCORES scores with ``columns`` others."""
+    each = max(1, BLOCK_SCORES // columns)
+    for lo in range(0, len(v), each):
+        yield np.stack(v.to_numpy()[lo : lo + each]).astype(np.float64)
+
+
 def assign_clusters(db: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], vector: str = "embedding") -> DataFrame:
     """``db`` with cluster: the centroid of the largest inner product, ties to the first given.
 
-    One matrix product for each Arrow batch; the centroids are a fixed list and travel with the
+    A few matrix products for each Arrow batch; the centroids are a fixed list and travel with the
     task.
     """
     names = np.array([k for k, _ in centroids], dtype=np.int64)
@@ -264,7 +271,7 @@ def assign_clusters(db: DataFrame, centroids: Sequence[tuple[int, Sequence[float
     def nearest(v: pd.Series) -> pd.Series:
         if not len(v):
             return pd.Series([], dtype="int64")
-        return pd.Series(names[np.argmax(np.stack(v.to_numpy()).astype(np.float64) @ matrix, axis=1)])
+        return pd.Series(np.concatenate([names[np.argmax(x @ matrix, axis=1)] for x in _in_blocks(v, matrix.shape[1])]))
 
     return db.withColumn("cluster", nearest(vector))
 
@@ -285,27 +292,42 @@ def fit_clusters(db: DataFrame, clusters: int, sample: int = 20_000, turns: int
     return [(k, v.tolist()) for k, v in enumerate(c)]
 
 
-def probes_for(db: DataFrame, clustered: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], queries: DataFrame, k: int = 10, recall: float = 0.9, vector: str = "embedding", row: str = "vec_id") -> int:
-    """The fewest clusters to probe so that ``queries`` find the share ``recall`` of their ``k`` best rows of all."""
-    names = np.array([c for c, _ in centroids], dtype=np.int64)
+def cluster_places(exact: DataFrame, clustered: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], queries: DataFrame, vector: str = "embedding", row: str = "vec_id") -> DataFrame:
+    """(query_id, place): of each row of ``exact`` (query_id, ``row``), how many clusters a query probes until it meets that row's."""
+    at = {c: k for k, (c, _) in enumerate(centroids)}
     matrix = np.array([v for _, v in centroids], dtype=np.float64).T
 
-    @F.pandas_udf("array<long>")
-    def nearest_first(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(names[np.argsort(-(np.stack(v.to_numpy()).astype(np.float64) @ matrix), axis=1, kind="stable")]))
-
-    exact = top_k_batch(db, queries, k, vector=vector, row=row)
-    order = queries.select(F.col(row).alias("query_id"), nearest_first(vector).alias("order"))
-    place = exact.join(clustered.select(row, "cluster"), row).join(order, "query_id").select(F.array_position("order", F.col("cluster")).alias("place"))
-    seen = {r["place"]: r["n"] for r in place.groupBy("place").agg(F.count("*").alias("n")).collect()}
+    @F.pandas_udf("array<int>")
+    def places(v: pd.Series, met: pd.Series) -> pd.Series:
+        out: list[np.ndarray] = []
+        for x in _in_blocks(v, len(at)):
+            order = np.argsort(-(x @ matrix), axis=1, kind="stable")
+            place = np.empty_like(order)
+            np.put_along_axis(place, order, np.arange(1, len(at) + 1)[None, :], axis=1)
+            own = met.to_numpy()[len(out) : len(out) + len(x)]
+            out += [p[[at[c] for c in clusters]].astype(np.int32) for p, clusters in zip(place, own, strict=True)]
+        return pd.Series(out, dtype=object)
+
+    met = exact.join(clustered.select(row, "cluster"), row).groupBy("query_id").agg(F.collect_list("cluster").alias("met"))
+    both = queries.select(F.col(row).alias("query_id"), F.col(vector).alias("v")).join(met, "query_id")
+    return both.select("query_id", F.explode(places("v", "met")).alias("place"))
+
+
+def fewest_probes(places: DataFrame, clusters: int, recall: float = 0.9) -> int:
+    """The fewest of ``clusters`` to probe so that the share ``recall`` of all rows of ``places`` (place) is met."""
+    seen = {r["place"]: r["n"] for r in places.groupBy("place").agg(F.count("*").alias("n")).collect()}
     total, met = sum(seen.values()), 0
-    for p in range(1, len(centroids) + 1):
+    for p in range(1, clusters + 1):
         met += seen.get(p, 0)
         if met >= recall * total:
             return p
-    return len(centroids)
+    return clusters
+
+
+def probes_for(db: DataFrame, clustered: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], queries: DataFrame, k: int = 10, recall: float = 0.9, vector: str = "embedding", row: str = "vec_id") -> int:
+    """The fewest clusters to probe so that ``queries`` find the share ``recall`` of their ``k`` best rows of all."""
+    places = cluster_places(top_k_batch(db, queries, k, vector=vector, row=row), clustered, centroids, queries, vector, row)
+    return fewest_probes(places, len(centroids), recall)
 
 
 def probe(clustered: DataFrame, centroids: Sequence[tuple[int, Sequence[float]]], query: Sequence[float], nprobe: int) -> DataFrame:
