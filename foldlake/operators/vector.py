@@ -139,13 +139,45 @@ def _in_turn(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _two_sum(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """x + y rounded, and what the rounding left."""
+    s = x + y
+    z = s - x
+    return s, (x - (s - z)) + (y - z)
+
+
+def _fused(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """x * y + s rounded once; the rest of the sum is rounded to odd first, so that the last rounding is right."""
+    halves = [(c - (c - v), v - (c - (c - v))) for v, c in ((x, x * 134217729.0), (y, y * 134217729.0))]
+    (xh, xl), (yh, yl) = halves
+    p = x * y
+    t, low = _two_sum(s, ((xh * yh - p) + xh * yl + xl * yh) + xl * yl)
+    v, high = _two_sum(p, t)
+    rest, left = _two_sum(low, high)
+    even = (rest.view(np.int64) & 1) == 0
+    rest = np.where((left != 0) & even, np.nextafter(rest, np.where(left > 0, np.inf, -np.inf)), rest)
+    return v + rest
+
+
+def _as_sql(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``i`` of ``a`` and ``j`` of ``b`` to the digit of DuckDB's list_dot_product: in turn, a product and its sum rounded once."""
+    total = np.zeros(len(i))
+    for k in range(a.shape[1]):
+        total = _fused(a[i, k], b[j, k], total)
+    return total
+
+
 def partners(db: DataFrame, cutoff: float, vector: str = "embedding", row: str = "vec_id", cosine: bool = False) -> DataFrame:
     """Ordered pairs of different rows with an inner product (or ``cosine``) of at least ``cutoff``: (query_id, vec_id, score).
 
-    A score within ROUNDING of the cutoff is summed again in the order of the components: codes of
-    few levels meet a cutoff exactly, and the order of the sum decides.
+    A score within ROUNDING of the cutoff is summed again as SQL does, its lengths too: codes of
+    few levels meet a cutoff exactly, and there the roundings of the sum decide.
     """
 
+    def lengths(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own, back = np.unique(at, return_inverse=True)
+        return np.sqrt(_as_sql(x, x, own, own))[back]
+
     def pick(scores: np.ndarray, qid: np.ndarray, did: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if cosine:
             long, other = np.sqrt(_in_turn(a, a)), np.sqrt(_in_turn(b, b))
@@ -153,8 +185,10 @@ def partners(db: DataFrame, cutoff: float, vector: str = "embedding", row: str =
             scores /= np.maximum(other, 1e-12)
         i, j = np.nonzero((scores >= cutoff - ROUNDING) & (qid[:, None] != did[None, :]))
         near = np.flatnonzero(scores[i, j] <= cutoff + ROUNDING)
-        exact = _in_turn(a[i[near]], b[j[near]])
-        scores[i[near], j[near]] = exact / np.maximum(long[i[near]] * other[j[near]], 1e-24) if cosine else exact
+        exact = _as_sql(a, b, i[near], j[near])
+        if cosine and len(near):
+            exact /= np.maximum(lengths(a, i[near]) * lengths(b, j[near]), 1e-24)
+        scores[i[near], j[near]] = exact
         kept = scores[i, j] >= cutoff
         return i[kept], j[kept]
 
