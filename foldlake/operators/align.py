@@ -31,6 +31,8 @@ UNBROKEN = 4.25
 TASK_CELLS = 2_000_000
 #: Problems of a pair that are matched in step: its seeds with each opening.
 PROBLEMS = 8
+#: How far, in parts of its scale, points may be apart that a score counts in full (to 12 digits).
+MEETS = 1e-6
 COARSE, SEEDS = 40, ("thread", "kinds", "local", "fragment")
 
 
@@ -74,6 +76,11 @@ class Block:
         self.scale = np.array([search_scale(int(k)) for k in short])
         self.cap = np.array([score_cutoff(int(k)) for k in short])
 
+    def part(self, rows: np.ndarray) -> Block:
+        """Some of the pairs, at the size of the longest of them."""
+        n, m = (int(side[rows].max(initial=0)) for side in (self.n, self.m))
+        return Block(self.x[rows, :n], self.y[rows, :m], self.kx[rows, :n], self.ky[rows, :m], self.n[rows], self.m[rows])
+
     def paired(self, owner: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The matched points of each row, side by side at the front, and how many there are."""
         count = (match >= 0).sum(axis=1)
@@ -96,7 +103,9 @@ class Block:
         for k in range(0, len(owner), each):
             o, own = owner[k : k + each], slice(k, k + each)
             same = by_kind(self.kx[o], self.ky[o]) if bonus else None
-            out[own] = matched(by_distance(S.moved(self.x[o], r[own], t[own]), self.y[o], scale[own], same, bonus), self.n[o], self.m[o], opening[own])[:, : out.shape[1]] if len(o) else out[own]
+            found = matched(by_distance(S.moved(self.x[o], r[own], t[own]), self.y[o], scale[own], same, bonus), self.n[o], self.m[o], opening[own])
+            # as wide as the longest target of the group
+            out[own, : found.shape[1]] = found
         return out
 
 
@@ -208,10 +217,14 @@ def kinds_and_distance(block: Block, match: np.ndarray) -> np.ndarray:
     return block.match(np.arange(len(match)), r, t, block.scale + 1.5, np.full(len(match), -1.0), 0.5)
 
 
-def seeds(block: Block, fast: bool) -> dict[str, np.ndarray]:
-    """The matches (b, m) that an alignment starts from."""
-    spread = 5 if fast else 1
-    return dict(zip(SEEDS, (thread(block, spread), like_kinds(block), local(block, spread), fragment(block, fast)), strict=True))
+def _spread(fast: bool) -> int:
+    return 5 if fast else 1
+
+
+def seeds(block: Block, fast: bool, threaded: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The matches (b, m) that an alignment starts from; ``threaded`` is the first of them, if it is there already."""
+    first = thread(block, _spread(fast)) if threaded is None else threaded
+    return dict(zip(SEEDS, (first, like_kinds(block), local(block, _spread(fast)), fragment(block, fast)), strict=True))
 
 
 def refined(block: Block, owner: np.ndarray, match: np.ndarray, turns: np.ndarray, share: np.ndarray, openings: tuple[float, ...] = OPENINGS) -> tuple[np.ndarray, np.ndarray]:
@@ -244,11 +257,47 @@ def refined(block: Block, owner: np.ndarray, match: np.ndarray, turns: np.ndarra
     return best, kept
 
 
+def _met(block: Block, match: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, squared gaps, rotation, shift) of the fit of each match; whole: it brings every point of the shorter chain onto one of the other."""
+    x, y, count = block.paired(np.arange(len(match)), match)
+    valid = np.arange(x.shape[1]) < count[:, None]
+    r, t = fit(x, y, valid)
+    d2 = np.where(valid, S.gaps(x, y, r, t), 0)
+    least = np.array([final_scale(int(k)) for k in block.short])
+    return (count == block.short) & (d2.max(axis=1) <= (MEETS * least) ** 2), d2, r, t
+
+
+def _told(block: Block, k: int, match: np.ndarray, **found) -> dict:
+    j = np.flatnonzero(match >= 0)
+    return {**found, "scale": final_scale(int(block.m[k])), "i": match[j], "j": j}
+
+
 def solved(block: Block, fast: bool = True) -> list[dict]:
-    """The alignment of each pair: the best of five seeds, cut at the distance that a score counts, and both final scores."""
+    """The alignment of each pair.
+
+    A match in which all of the shorter chain meets the other has the highest scores there are,
+    since no pair counts more than 1.  So a pair whose chains meet without gaps is done, and the
+    others are searched.
+    """
+    threaded = thread(block, _spread(fast))
+    whole, d2, r, t = _met(block, threaded)
+    found = iter(_searched(block.part(~whole), threaded[~whole, : block.m[~whole].max(initial=0)], fast)) if not whole.all() else iter(())
+    out = []
+    for k, done in enumerate(whole):
+        if done:
+            near = (d2[k] / final_scale(int(length)) ** 2 for length in (block.m[k], block.n[k]))
+            tm, tm_query = ((1 / (1 + d[: block.short[k]])).sum() / length for d, length in zip(near, (block.m[k], block.n[k]), strict=True))
+            out.append(_told(block, k, threaded[k], tm=tm, tm_query=tm_query, rmsd=np.sqrt(d2[k].sum() / block.short[k]), rotation=r[k].ravel(), shift=t[k]))
+        else:
+            out.append(next(found))
+    return out
+
+
+def _searched(block: Block, threaded: np.ndarray, fast: bool) -> list[dict]:
+    """The best of five seeds, cut at the distance that a score counts, and both final scores."""
     b, long = len(block.n), 2 if fast else 30
     every = np.arange(b)
-    begun = seeds(block, fast)
+    begun = seeds(block, fast, threaded)
     owner, match = np.tile(every, len(begun)), np.concatenate(list(begun.values()))
     name = np.repeat(list(begun), b)
     few = np.where(block.short <= 40, 0.1, 0.4)
@@ -288,11 +337,7 @@ def solved(block: Block, fast: bool = True) -> list[dict]:
     if len(other):
         own = (x[other], y[other], count[other], block.n[other], scales[1][other])
         tm_query[other], _, _ = S.settled(*own, *S.search(*own, 1))
-    out = []
-    for k in every:
-        j = np.flatnonzero(cut[k] >= 0)
-        out.append({"tm": max(tm[k], 0.0), "tm_query": max(tm_query[k], 0.0), "rmsd": apart[k], "scale": scales[0][k], "i": cut[k, j], "j": j, "rotation": r[k].ravel(), "shift": t[k]})
-    return out
+    return [_told(block, k, cut[k], tm=max(tm[k], 0.0), tm_query=max(tm_query[k], 0.0), rmsd=apart[k], rotation=r[k].ravel(), shift=t[k]) for k in every]
 
 
 def one(x: np.ndarray, y: np.ndarray, fast: bool = True) -> dict:
@@ -412,9 +457,12 @@ def permuted(pairs: DataFrame, query: str = "query", target: str = "target", tho
     """``pairs`` with once (in order), moved (the query turned by its cut, or null) and cut (0: none).
 
     The cut is the densest window of the doubled query; one that holds fewer pairs than the
-    order itself is dropped.
+    order itself is dropped.  None is looked for where the order itself brings all of the shorter
+    chain onto the other, since no turned one can score more.
     """
-    rows = aligned(aligned(pairs, "once", query, target), "_twice", query, target, doubled=True)
+    short = F.least(F.size(query), F.size(target)) / 3
+    whole = (F.size("once.i") == short) & (F.col("once.tm") * F.size(target) / 3 >= short * (1 - MEETS**2))
+    rows = aligned(aligned(pairs, "once", query, target), "_twice", query, target, doubled=True, turn=F.when(~F.coalesce(whole, F.lit(False)), 0))
     cut = F.when(F.col("_twice.held") >= F.size("once.i"), F.col("_twice.cut")).otherwise(0)
     rows = rows.withColumn("cut", F.coalesce(cut, F.lit(0))).drop("_twice")
     turn = F.when((F.col("cut") > 0) | F.lit(thorough), F.col("cut"))
